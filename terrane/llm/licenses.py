@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Minimum hashes of a window. The least part that a template's occurrence is of its window is about 0.8 * 0.5 / 1.5,
@@ -45,9 +45,10 @@ TEMPLATES = {
 
 def _shingled(df: DataFrame, text: str) -> DataFrame:
     """df with `sh`: hashes of the text's shingles of WORDS words (a-z and 0-9), in order; a shorter text is one shingle, none has none."""
-    df = df.withColumn("w", F.expr(f"filter(split(lower({text}), '[^a-z0-9]+'), x -> x <> '')"))
-    many = f"transform(sequence(1, size(w) - {WORDS - 1}), i -> xxhash64(concat_ws(' ', slice(w, i, {WORDS}))))"
-    return df.withColumn("sh", F.expr(f"if(size(w) = 0, array(), if(size(w) < {WORDS}, array(xxhash64(concat_ws(' ', w))), {many}))").cast("array<bigint>")).drop("w")
+    df = df.withColumn("w", F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")))
+    many = f"regexp_extract_all(w, '(?<![^ ])(?=((?:[^ ]+ ){{{WORDS - 1}}}[^ ]+))', 1)"
+    few = "if(w = '', array(), array(w))"
+    return df.withColumn("sh", F.expr(f"transform(if(w rlike '^(?:[^ ]+ ){{{WORDS - 1}}}', {many}, {few}), x -> xxhash64(x))")).drop("w")
 
 
 def _class_of(n: int) -> int:
@@ -80,9 +81,10 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t, classes = templates_df(spark, TEMPLATES if templates is None else templates)
     known = sorted({h for r in t.select("t_sh").collect() for h in r.t_sh})  # the templates are ours and few
     d = _shingled(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text").drop("text")
-    d = d.withColumn("shares", F.arrays_overlap("sh", F.lit([int(h) for h in known]).cast("array<bigint>")))
-    none = d.where("not coalesce(shares, false)").select("doc_id", F.lit(0).cast("bigint").alias("n_licenses"), F.lit("").alias("licenses"), F.lit(0.0).alias("best"))
-    some = d.where("shares").groupBy("doc_id", "sh").agg(F.count(F.lit(1)).alias("copies"))
+    hit = F.arrays_overlap("sh", F.lit([int(h) for h in known]).cast("array<bigint>"))
+    d = checkpointed(d.select("doc_id", F.when(hit, F.col("sh")).alias("sh")))
+    none = d.where("sh is null").select("doc_id", F.lit(0).cast("bigint").alias("n_licenses"), F.lit("").alias("licenses"), F.lit(0.0).alias("best"))
+    some = d.where("sh is not null").groupBy("doc_id", "sh").agg(F.count(F.lit(1)).alias("copies"))
     cut = F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
     starts = F.expr("explode(sequence(1, size(sh), greatest(1, int(class / 2))))")
     windows = some.select("doc_id", "sh", "copies", cut).select("doc_id", "sh", "copies", "class", starts.alias("at"))
