@@ -1,6 +1,620 @@
-"""Registry of the queries over the driver's tables and of the SQL they are held against."""
+"""Queries over the driver's tables and the SQL they are held against.
+
+The tables stand in for registries and maps: region, nation, customer and orders
+are four levels of a hierarchy, events carry tag bags, keys give coordinates.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import geo, tags as tg, units
+from .functions import text as tx
+from .operators import changes, hierarchy, spatial
+from .plans import documents as docs_plan
+from .plans import graph, render, routing, search, vehicle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lat_of(key: str):
+    return ((F.col(key) * 37) % 17000).cast("double") / 100 - 85
+
+
+def lon_of(key: str):
+    return ((F.col(key) * 91) % 36000).cast("double") / 100 - 180
+
+
+def LAT(key: str) -> str:
+    return f"(cast(({key} * 37) % 17000 as double) / 100 - 85)"
+
+
+def LON(key: str) -> str:
+    return f"(cast(({key} * 91) % 36000 as double) / 100 - 180)"
+
+
+def HAV(a: str, b: str, c: str, d: str) -> str:
+    h = f"(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))"
+    return f"(2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
+
+
+# ---- registry ---------------------------------------------------------------------------------------------------------
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, parent, level, type, name): regions, nations, customers."""
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("level"), F.lit("region").alias("type"), F.col("r_name").alias("name"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit(2), F.lit("nation"), F.col("n_name"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), F.lit(3), F.lit("customer"), F.col("c_name"))
+    return r.union(n).union(c)
+
+
+REGISTRY_SQL = """
+reg as (
+  select 'R' || r_regionkey as id, cast(null as varchar) as parent, 1 as level, 'region' as type, r_name as name from region
+  union all select 'N' || n_nationkey, 'R' || n_regionkey, 2, 'nation', n_name from nation
+  union all select 'C' || c_custkey, 'N' || c_nationkey, 3, 'customer', c_name from customer)"""
+TITLE_SQL = "case when level > 1 then type || ' ' || name else name end"
+
+
+@query(f"""with recursive {REGISTRY_SQL},
+up as (select id, parent, {TITLE_SQL} as full_title, 1 as levels from reg where parent is null
+  union all select r.id, r.parent, u.full_title || ', ' || case when r.level > 1 then r.type || ' ' || r.name else r.name end, u.levels + 1 from reg r join up u on r.parent = u.id)
+select id, full_title, cast(levels as integer) as levels, cast(len(string_split(full_title, ',')) as integer) as priority from up""")
+def registry_full_title(spark, sf_dir):
+    reg = registry(spark, sf_dir).withColumn("title", tx.object_title(F.col("level"), F.col("type"), F.col("name")))
+    out = hierarchy.full_titles(reg, "id", "parent", "title", depth=4)
+    return out.select("id", "full_title", "levels", tx.part_count(F.col("full_title")).alias("priority"))
+
+
+@query(f"""with recursive {REGISTRY_SQL},
+up as (select id as start_id, id, parent, 0 as level from reg where type = 'customer'
+  union all select u.start_id, r.id, r.parent, u.level + 1 from up u join reg r on u.parent = r.id)
+select u.start_id, cast(u.level as integer) as level, u.id, r.name from up u join reg r on u.id = r.id""")
+def registry_details(spark, sf_dir):
+    reg = registry(spark, sf_dir)
+    chain = hierarchy.ancestors(reg, reg.where("type = 'customer'"), "id", "parent", depth=3)
+    return chain.join(reg.select("id", "name"), "id").select("start_id", "level", "id", "name")
+
+
+@query(f"with {REGISTRY_SQL} select id, name from reg where parent = 'R1'")
+def registry_children(spark, sf_dir):
+    return hierarchy.children(registry(spark, sf_dir), "parent", "R1").select("id", "name")
+
+
+@query(f"with {REGISTRY_SQL} select id, name from reg r where not exists (select 1 from reg p where p.id = r.parent)")
+def registry_roots(spark, sf_dir):
+    return hierarchy.roots(registry(spark, sf_dir), "id", "parent").select("id", "name")
+
+
+@query(f"with {REGISTRY_SQL} select id, name from reg r where not exists (select 1 from reg c where c.parent = r.id)")
+def registry_leaves(spark, sf_dir):
+    return hierarchy.leaves(registry(spark, sf_dir), "id", "parent").select("id", "name")
+
+
+@query("""with t as (select distinct p_type as scname, 'T-' || p_type as socrname from part where p_size % 2 = 0)
+select p_partkey, p_name, coalesce(socrname, p_type) as type_name, socrname is not null as known from part left join t on p_type = scname""")
+def object_type_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    types = part.where("p_size % 2 = 0").select(F.col("p_type").alias("scname"), F.concat(F.lit("T-"), F.col("p_type")).alias("socrname")).distinct()
+    return part.join(types, part["p_type"] == types["scname"], "left").select("p_partkey", "p_name", F.coalesce("socrname", "p_type").alias("type_name"), F.col("socrname").isNotNull().alias("known"))
+
+
+@query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by o_orderstatus")
+def shard_union(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    shards = [o.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")]
+    every = shards[0].unionByName(shards[1]).unionByName(shards[2])
+    return every.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderdate <= timestamp '1995-06-01' and timestamp '1995-06-01' < o_orderdate + interval 90 day")
+def valid_at(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("ends", F.col("o_orderdate") + F.expr("interval 90 days"))
+    return changes.valid_at(o, "o_orderdate", "ends", F.expr("timestamp_ntz '1995-06-01'")).select("o_orderkey", "o_custkey")
+
+
+@query("select c_nationkey, count(*) as n from customer where c_nationkey in (3, 7, 11) group by c_nationkey")
+def region_prune(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where(F.col("c_nationkey").isin(3, 7, 11)).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- tags -------------------------------------------------------------------------------------------------------------
+
+
+def bags(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("tags", tg.from_json_map(F.col("props")))
+
+
+@query("select event_id from events where list_has_any(json_keys(props), ['k', 'name'])")
+def tags_has_any(spark, sf_dir):
+    return bags(spark, sf_dir).where(tg.has_any_key(F.col("tags"), ["k", "name"])).select("event_id")
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def tags_get(spark, sf_dir):
+    return bags(spark, sf_dir).select("event_id", tg.get(F.col("tags"), "k").alias("k"))
+
+
+@query("select distinct unnest(json_keys(props)) as key from events")
+def tags_keys_distinct(spark, sf_dir):
+    return tg.distinct_keys(bags(spark, sf_dir), "tags")
+
+
+@query("""with m as (select user_id, event_type, max(coalesce(value, 0)) as v from events group by user_id, event_type)
+select user_id, string_agg(event_type || '=' || cast(cast(round(v * 100) as bigint) as varchar), ';' order by event_type) as bag from m group by user_id""")
+def tag_map_agg(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.coalesce("value", F.lit(0.0)).alias("v")).withColumn("down", -F.col("v"))
+    m = tg.merge_maps(e.withColumn("v", F.round(F.col("v") * 100).cast("bigint").cast("string")), ["user_id"], "event_type", "v", ["down"])
+    pairs = F.transform(F.array_sort(F.map_entries("tags")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return m.select("user_id", F.array_join(pairs, ";").alias("bag"))
+
+
+@query("select p_partkey, case when p_size % 3 = 0 then p_name else p_brand end as label from part")
+def name_or_ref(spark, sf_dir):
+    bag = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("name"), F.col("p_name"), F.lit("ref"), F.col("p_brand"))).otherwise(F.create_map(F.lit("ref"), F.col("p_brand")))
+    return table(spark, sf_dir, "part").select("p_partkey", tg.name_or_ref(bag).alias("label"))
+
+
+@query("select p_partkey, p_name from part where regexp_full_match(p_name, '(red|blue) .*t') order by p_name, p_partkey limit 20")
+def similar_to(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(F.col("p_name").rlike(tx.similar_to("(red|blue) %t"))).select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(20)
+
+
+@query("""select event_id from events where (event_type = 'purchase' and json_extract_string(props, '$.k') = '7') or event_type = 'signup' and value > 50""")
+def attr_filter(spark, sf_dir):
+    e = bags(spark, sf_dir).withColumn("data", F.map_concat(F.coalesce("tags", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map(F.lit("type"), F.col("event_type"), F.lit("high"), (F.col("value") > 50).cast("string"))))
+    return e.where(search.attribute_filter(F.col("data"), [{"type": "purchase", "k": "7"}, {"type": "signup", "high": "true", "a;b": "x"}])).select("event_id")
+
+
+# ---- changes ----------------------------------------------------------------------------------------------------------
+
+
+def delta(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", F.lit("X").alias("o_orderstatus"))
+    return o.unionByName(o.withColumn("o_orderkey", -F.col("o_orderkey")))
+
+
+DELTA_SQL = """base as (select o_orderkey, o_custkey, o_orderstatus from orders),
+d as (select o_orderkey, o_custkey, 'X' as o_orderstatus from orders where o_orderkey % 10 = 0 union all select -o_orderkey, o_custkey, 'X' from orders where o_orderkey % 10 = 0)"""
+
+
+def base(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query(f"with {DELTA_SQL} select distinct * from d union all select * from base where o_orderkey not in (select o_orderkey from d)")
+def upsert_latest(spark, sf_dir):
+    return changes.latest_wins(base(spark, sf_dir), delta(spark, sf_dir), ["o_orderkey"])
+
+
+@query(f"with {DELTA_SQL} select * from base union all select distinct * from d where o_orderkey not in (select o_orderkey from base)")
+def insert_first_wins(spark, sf_dir):
+    return changes.first_wins(base(spark, sf_dir), delta(spark, sf_dir), ["o_orderkey"], ["o_custkey"])
+
+
+@query(f"with {DELTA_SQL} select * from base where o_orderkey not in (select o_orderkey from d)")
+def tombstone_delete(spark, sf_dir):
+    return changes.without(base(spark, sf_dir), delta(spark, sf_dir), ["o_orderkey"])
+
+
+@query(f"with {DELTA_SQL} select * from base union all select * from d")
+def append_only_update(spark, sf_dir):
+    return changes.append(base(spark, sf_dir), delta(spark, sf_dir))
+
+
+@query("select event_id, event_type from events where event_id > 500 and event_id <= (select max(event_id) - 100 from events)")
+def delta_since_watermark(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return changes.since(e, "event_id", 500, changes.next_watermark(e, "event_id") - 100).select("event_id", "event_type")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_quantity from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) as rn from lineitem) where rn = 1")
+def distinct_on(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return changes.distinct_on(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity"])
+
+
+# ---- members, ways, graph ---------------------------------------------------------------------------------------------
+
+
+@query("select p.p_partkey, t.kind, p.p_name from (select unnest(['part','part','other','part']) as kind, unnest([1, 5, 7, 1000000]) as id) t join part p on p.p_partkey = t.id and t.kind = 'part'")
+def zip_ids_join(spark, sf_dir):
+    pairs = F.arrays_zip(F.array(*map(F.lit, ("part", "part", "other", "part"))).alias("kind"), F.array(*map(F.lit, (1, 5, 7, 1000000))).alias("id"))
+    ids = spark.range(1).select(F.explode(pairs).alias("x")).select(F.col("x.kind").alias("kind"), F.col("x.id").alias("id")).where("kind = 'part'")
+    part = table(spark, sf_dir, "part")
+    return part.join(F.broadcast(ids), part["p_partkey"] == ids["id"]).select("p_partkey", "kind", "p_name")
+
+
+def ways(spark, sf_dir):
+    """Orders as ways whose nodes are their lines' parts."""
+    l = table(spark, sf_dir, "lineitem")
+    return l.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("nodes"))
+
+
+@query("""with f as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, count(*) over (partition by l_orderkey) as n from lineitem)
+select l_orderkey as way, cast(pos - 1 as integer) as pos, cast(n as integer) as n, l_partkey as node from f""")
+def member_explode(spark, sf_dir):
+    return graph.way_nodes(ways(spark, sf_dir)).select("way", "pos", "n", "node")
+
+
+@query(f"""with {REGISTRY_SQL} select 'R2' as id, 0 as level union all select id, 1 from reg where parent = 'R2' union all select c.id, 2 from reg c join reg n on c.parent = n.id where n.parent = 'R2'""")
+def subarea_levels(spark, sf_dir):
+    reg = registry(spark, sf_dir)
+    edges = reg.where("parent is not null").select("parent", F.col("id").alias("child"))
+    return hierarchy.descendants(edges, reg.where("id = 'R2'").select("id"), "parent", "child", 2)
+
+
+@query("""with m as (select distinct l_orderkey, l_partkey from lineitem where l_orderkey % 7 = 0)
+select distinct x.l_orderkey as a, y.l_orderkey as b from m x join m y on x.l_partkey = y.l_partkey and x.l_orderkey < y.l_orderkey""")
+def shared_node_pairs(spark, sf_dir):
+    return graph.shared_node_pairs(ways(spark, sf_dir).where("id % 7 = 0"))
+
+
+@query("""with f as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, count(*) over (partition by l_orderkey) as n from lineitem)
+select distinct l_partkey as node from f where pos = 1 or pos = n""")
+def core_nodes(spark, sf_dir):
+    return graph.core_nodes(ways(spark, sf_dir), crossings=False)
+
+
+def order_points(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_suppkey"))
+    return l.select("l_orderkey", pos.alias("pos"), (F.col("l_returnflag") == "R").alias("cut"), lat_of("l_partkey").alias("lat"), lon_of("l_partkey").alias("lon"))
+
+
+POINTS_SQL = f"""p as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag, l_suppkey) as pos, l_returnflag = 'R' as cut, {LAT('l_partkey')} as lat, {LON('l_partkey')} as lon from lineitem)"""
+
+
+@query(f"""with {POINTS_SQL},
+s as (select l_orderkey, pos as to_pos, lag(pos) over w as from_pos, lag(lat) over w as a, lag(lon) over w as b, lat, lon,
+        coalesce(sum(cast(cut as integer)) over (partition by l_orderkey order by pos rows between unbounded preceding and 1 preceding), 0) as edge_no from p window w as (partition by l_orderkey order by pos))
+select l_orderkey, cast(edge_no as bigint) as edge_no, cast(min(from_pos) as integer) as from_pos, cast(max(to_pos) as integer) as to_pos, count(*) + 1 as n_points, round(sum({HAV('a', 'b', 'lat', 'lon')}), 2) as distance
+from s where from_pos is not null group by l_orderkey, edge_no""")
+def edge_segmentation(spark, sf_dir):
+    out = graph.segments(order_points(spark, sf_dir), "l_orderkey", "pos", "cut", "lat", "lon")
+    return out.select("l_orderkey", "edge_no", "from_pos", "to_pos", "n_points", F.round("distance", 2).alias("distance"))
+
+
+@query("""with e as (select l_orderkey * 10 + l_linenumber as edge, l_orderkey as way, l_partkey as from_node, l_suppkey as to_node from lineitem where l_orderkey % 5 = 0),
+r as (select distinct l_orderkey as from_way, l_orderkey as to_way, l_partkey as via_node from lineitem where l_orderkey % 5 = 0)
+select distinct f.edge as from_edge, t.edge as to_edge, r.via_node from r
+join e f on f.way = r.from_way and (f.from_node = r.via_node or f.to_node = r.via_node) join e t on t.way = r.to_way and (t.from_node = r.via_node or t.to_node = r.via_node)""")
+def restriction_lift(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    edges = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge"), F.col("l_orderkey").alias("way"), F.col("l_partkey").alias("from_node"), F.col("l_suppkey").alias("to_node"))
+    rest = l.select(F.col("l_orderkey").alias("from_way"), F.col("l_orderkey").alias("to_way"), F.col("l_partkey").alias("via_node")).distinct()
+    return graph.lift(rest, edges)
+
+
+@query("select l_orderkey, l_partkey, l_suppkey from lineitem l where not exists (select 1 from lineitem r where r.l_returnflag = 'R' and r.l_orderkey = l.l_orderkey and r.l_partkey = l.l_partkey and r.l_suppkey = l.l_suppkey)")
+def anti_restriction(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    return changes.without(l, l.where("l_returnflag = 'R'"), ["l_orderkey", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_partkey", "l_suppkey")
+
+
+@query(f"""with {POINTS_SQL}, q as (select l_orderkey, pos, lag(lat) over w as y1, lag(lon) over w as x1, lat as y2, lon as x2, lead(lat) over w as y3, lead(lon) over w as x3 from p window w as (partition by l_orderkey order by pos)),
+a as (select l_orderkey, pos, (x1-x2)*(x3-x2)+(y1-y2)*(y3-y2) as dot, sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)) * sqrt((x3-x2)*(x3-x2)+(y3-y2)*(y3-y2)) as size from q where y1 is not null and y3 is not null),
+g as (select l_orderkey, cast(pos as integer) as pos, case when size = 0 then 180.0 else degrees(acos(greatest(-1.0, least(1.0, dot / size)))) end as angle from a)
+select l_orderkey, pos, round(angle, 3) as angle from g where angle < 60""")
+def sharp_angle(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("pos")
+    p = order_points(spark, sf_dir).select("l_orderkey", "pos", "lat", "lon", *[f(c).over(w).alias(n) for f, c, n in ((F.lag, "lat", "y1"), (F.lag, "lon", "x1"), (F.lead, "lat", "y3"), (F.lead, "lon", "x3"))])
+    p = p.where("y1 is not null and y3 is not null").withColumn("angle", geo.angle(F.col("y1"), F.col("x1"), F.col("lat"), F.col("lon"), F.col("y3"), F.col("x3")))
+    return p.where("angle < 60").select("l_orderkey", "pos", F.round("angle", 3).alias("angle"))
+
+
+def nation_edges(spark, sf_dir):
+    """Each nation leads to three others by its number."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("a"))
+    e = n.select("a", F.explode(F.array(F.lit(1), F.lit(5), F.lit(7))).alias("s"))
+    return e.select((F.col("a") * 10 + F.col("s")).alias("edge"), "a", ((F.col("a") * 3 + F.col("s")) % 25).alias("b"), ((F.col("a") * F.col("s")) % 11 + 1).cast("double").alias("w"))
+
+
+EDGES_SQL = "e as (select a * 10 + s as edge, a, (a * 3 + s) % 25 as b, cast((a * s) % 11 + 1 as double) as w from (select cast(n_nationkey as bigint) as a from nation), (select unnest([1, 5, 7]) as s))"
+
+
+@query(f"with {EDGES_SQL} select source, node, min(cost) as cost from (select 0 as source, 0 as node, 0.0 as cost union all select 0, b, w from e where a = 0) group by source, node")
+def frontier_relax(spark, sf_dir):
+    start = spark.range(1).select(F.lit(0).cast("bigint").alias("source"), F.lit(0).cast("bigint").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via"))
+    return routing.relax(start, nation_edges(spark, sf_dir)).select("source", "node", "cost")
+
+
+@query(f"""with recursive {EDGES_SQL}, k as (select cast(n_nationkey as bigint) as source, cast(n_nationkey as bigint) as node, 0.0::double as cost, 0 as hops from nation where n_nationkey < 5
+  union all select source, b, cost + w, hops + 1 from k join e on k.node = e.a where hops < 4)
+select source, node, min(cost) as cost from k group by source, node""")
+def k_hop_cost(spark, sf_dir):
+    sources = table(spark, sf_dir, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").cast("bigint").alias("source"))
+    return routing.k_hop_costs(nation_edges(spark, sf_dir), sources, 4).select("source", "node", "cost")
+
+
+@query(f"""with recursive {EDGES_SQL}, k as (select cast(n_nationkey as bigint) as source, cast(n_nationkey as bigint) as node, 0.0::double as cost, 0 as hops from nation where n_nationkey < 4
+  union select source, b, cost + w, hops + 1 from k join e on k.node = e.a where hops < 8)
+select source * 100 + node as query, min(cost) as cost from k where node in (6, 13, 20) group by source, node""")
+def shortest_path_mm(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"), (F.col("n_nationkey") % 5).cast("double").alias("lat"), (F.col("n_nationkey") % 7).cast("double").alias("lon"))
+    q = n.where("node < 4").select(F.col("node").alias("source"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in (6, 13, 20)])).alias("target")).withColumn("query", F.col("source") * 100 + F.col("target"))
+    return routing.shortest_paths(q, nation_edges(spark, sf_dir), n, method="mm", corridor=30.0).where("cost is not null").select("query", "cost")
+
+
+@query(f"""with {EDGES_SQL}, f as (select b, min(w) as g from e where a = 0 group by b), r as (select a, min(w) as g from e where b = 3 group by a)
+select f.b as x, r.a as y, f.g + r.g + abs(f.b - r.a) as bound from f, r""")
+def frontier_pairs(spark, sf_dir):
+    e = nation_edges(spark, sf_dir)
+    f = e.where("a = 0").groupBy(F.col("b").alias("x")).agg(F.min("w").alias("gx"))
+    r = e.where("b = 3").groupBy(F.col("a").alias("y")).agg(F.min("w").alias("gy"))
+    both = f.join(F.broadcast(r.groupBy().agg(F.collect_list(F.struct("y", "gy")).alias("r"))))  # the far frontier is one search's own, a few nodes
+    return both.select("x", "gx", F.explode("r").alias("p")).select("x", F.col("p.y").alias("y"), (F.col("gx") + F.col("p.gy") + F.abs(F.col("x") - F.col("p.y"))).alias("bound"))
+
+
+# ---- vehicles ---------------------------------------------------------------------------------------------------------
+
+_HW = ["motorway", "primary", "residential", "service", "footway"]
+_HW_SQL = "['motorway', 'primary', 'residential', 'service', 'footway'][1 + cast(p_partkey % 5 as integer)]"
+_MS_SQL = "case when p_size % 3 = 0 then cast(p_size as varchar) when p_size % 3 = 1 then p_size || ' mph' end"
+
+
+@query(f"""with t as (select p_partkey, {_HW_SQL} as hw, {_MS_SQL} as ms, case when p_partkey % 11 = 0 then 'no' when p_partkey % 13 = 0 then 'private' end as acc, case when p_partkey % 13 = 0 then 'yes' end as car,
+  case p_partkey % 4 when 0 then 'yes' when 1 then '-1' when 2 then 'no' end as oneway from part),
+b as (select *, case hw when 'motorway' then 120.0 when 'primary' then 90.0 when 'residential' then 50.0 when 'service' then 30.0 end as base, case when car = 'yes' then true when acc in ('no', 'private') then false else true end as ok from t),
+s as (select *, case when base is not null and ok then coalesce(0.75 * try_cast(ms as double), base) end as speed from b)
+select p_partkey, round(3.6 / speed, 6) as factor, round(3.6 / speed / case hw when 'motorway' then 10.0 when 'primary' then 8.0 when 'residential' then 5.0 else 4.0 end, 6) as class_factor,
+  cast(case oneway when 'yes' then 1 when '-1' then 2 else 0 end + case when hw = 'motorway' then 3 else 0 end as integer) as direction from s""")
+def vehicle_factor(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pairs = [
+        (F.lit("highway"), F.element_at(F.array(*map(F.lit, _HW)), (k % 5).cast("int") + 1)), (F.lit("maxspeed"), F.when(s % 3 == 0, s.cast("string")).when(s % 3 == 1, F.concat(s.cast("string"), F.lit(" mph")))),
+        (F.lit("access"), F.when(k % 11 == 0, "no").when(k % 13 == 0, "private")), (F.lit("motorcar"), F.when(k % 13 == 0, "yes")), (F.lit("oneway"), F.when(k % 4 == 0, "yes").when(k % 4 == 1, "-1").when(k % 4 == 2, "no")),
+    ]
+    p = table(spark, sf_dir, "part").withColumn("tags", F.map_filter(F.create_map(*[x for kv in pairs for x in kv]), lambda _, v: v.isNotNull()))
+    car, bag = vehicle.PROFILES["car"], F.col("tags")
+    f = vehicle.factors(bag, car)
+    return p.select("p_partkey", F.round(f["fastest"], 6).alias("factor"), F.round(f["classifications"], 6).alias("class_factor"), vehicle.direction(bag, car).cast("int").alias("direction"))
+
+
+@query("""select p_partkey, round(cast(p_size as double) * 1.60934, 6) as kmh, round(cast(p_size as double) * 1000, 6) as kg, round(cast(p_size as double) * 0.3048 + 3 * 0.0254, 6) as m, round(cast(p_size as double) * 1.852, 6) as knots from part""")
+def unit_parse(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(units.speed_kmh(F.concat(size, F.lit(" mph"))), 6).alias("kmh"), F.round(units.weight_kg(F.concat(size, F.lit(" t"))), 6).alias("kg"),
+        F.round(units.length_m(F.concat(size, F.lit("'3\""))), 6).alias("m"), F.round(units.speed_kmh(F.concat(size, F.lit(" knots"))), 6).alias("knots"),
+    )
+
+
+# ---- space ------------------------------------------------------------------------------------------------------------
+
+
+def customer_points(spark, sf_dir):
+    return table(spark, sf_dir, "customer").withColumns({"lat": lat_of("c_custkey"), "lon": lon_of("c_custkey")})
+
+
+CP_SQL = f"cp as (select *, {LAT('c_custkey')} as lat, {LON('c_custkey')} as lon from customer)"
+
+
+@query(f"with {CP_SQL} select c_custkey, round({HAV('lat', 'lon', '48.85', '2.35')}, 3) as distance from cp order by {HAV('lat', 'lon', '48.85', '2.35')}, c_custkey limit 25")
+def haversine_topk(spark, sf_dir):
+    return spatial.nearest(customer_points(spark, sf_dir), "lat", "lon", 48.85, 2.35, 25, "c_custkey").select("c_custkey", F.round("distance", 3).alias("distance"))
+
+
+@query(f"with {CP_SQL} select c_custkey, round(sqrt((lat - 48.85) * (lat - 48.85) + (lon - 2.35) * (lon - 2.35)), 6) as distance from cp order by (lat - 48.85) * (lat - 48.85) + (lon - 2.35) * (lon - 2.35), c_custkey limit 25")
+def planar_knn(spark, sf_dir):
+    return spatial.nearest(customer_points(spark, sf_dir), "lat", "lon", 48.85, 2.35, 25, "c_custkey", planar=True).select("c_custkey", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""with s as (select s_suppkey, {LAT('s_suppkey')} as y1, {LON('s_suppkey')} as x1, lead({LAT('s_suppkey')}) over w as y2, lead({LON('s_suppkey')}) over w as x2 from supplier window w as (partition by s_nationkey order by s_suppkey)),
+t as (select *, greatest(0.0, least(1.0, coalesce(((10.0 - x1) * (x2 - x1) + (20.0 - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0.0))) as t from s where y2 is not null),
+d as (select s_suppkey, t, sqrt(pow(y1 + t * (y2 - y1) - 20.0, 2) + pow(x1 + t * (x2 - x1) - 10.0, 2)) as d from t)
+select s_suppkey, round(t, 6) as t, round(d, 6) as distance from d order by d, s_suppkey limit 3""")
+def snap_to_segment(spark, sf_dir):
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", lat_of("s_suppkey").alias("y1"), lon_of("s_suppkey").alias("x1"))
+    s = s.withColumns({"y2": F.lead("y1").over(w), "x2": F.lead("x1").over(w)}).where("y2 is not null")
+    p = geo.closest_on_segment(F.lit(20.0), F.lit(10.0), F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
+    d = s.withColumn("p", p).withColumn("d", F.sqrt(geo.planar2(F.col("p.lat"), F.col("p.lon"), F.lit(20.0), F.lit(10.0))))
+    return d.orderBy("d", "s_suppkey").limit(3).select("s_suppkey", F.round("p.t", 6).alias("t"), F.round("d", 6).alias("distance"))
+
+
+@query(f"with {CP_SQL} select c_custkey from cp where lat between -70 and -40 and lon between -160 and -60")
+def bbox_window(spark, sf_dir):
+    return customer_points(spark, sf_dir).where(geo.in_box(F.col("lat"), F.col("lon"), -70, -160, -40, -60)).select("c_custkey")
+
+
+AREA_SQL = f"""area as (select n_nationkey, {LAT('n_nationkey * 311')} as south, {LON('n_nationkey * 97')} as west, {LAT('n_nationkey * 311')} + 12 as north, {LON('n_nationkey * 97')} + 25 as east from nation)"""
+
+
+def areas(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 311).alias("k1"), (F.col("n_nationkey") * 97).alias("k2"))
+    return n.select("n_nationkey", lat_of("k1").alias("south"), lon_of("k2").alias("west"), (lat_of("k1") + 12).alias("north"), (lon_of("k2") + 25).alias("east"))
+
+
+@query(f"with {CP_SQL}, {AREA_SQL} select c_custkey, n_nationkey from cp join area on lat between south and north and lon between west and east")
+def grid_within(spark, sf_dir):
+    return spatial.within_boxes(customer_points(spark, sf_dir), areas(spark, sf_dir), "lat", "lon", 5.0).select("c_custkey", "n_nationkey")
+
+
+@query(f"with {AREA_SQL} select a.n_nationkey as a, b.n_nationkey as b from area a join area b on a.n_nationkey < b.n_nationkey and a.south - 12 <= b.north and b.south <= a.north + 12 and a.west - 12 <= b.east and b.west <= a.east + 12")
+def box_ops(spark, sf_dir):
+    a = areas(spark, sf_dir).select(F.col("n_nationkey").alias("a"), F.struct("south", "west", "north", "east").alias("x")).withColumn("x", geo.resize_box(F.col("x"), 12.0))
+    b = areas(spark, sf_dir).select(F.col("n_nationkey").alias("b"), F.struct("south", "west", "north", "east").alias("y"))
+    cut = lambda d, c, k: d.select(k, c, F.explode(spatial.cells_of_box(F.col(c)["south"], F.col(c)["west"], F.col(c)["north"], F.col(c)["east"], 10.0)).alias("cell"))
+    met = cut(a, "x", "a").join(cut(b, "y", "b"), "cell").where(F.col("a") < F.col("b"))
+    return met.where(geo.boxes_overlap(F.col("x"), F.col("y"))).select("a", "b").distinct()
+
+
+PENTAGON = [(-20.0, -60.0), (35.0, -40.0), (50.0, 20.0), (10.0, 70.0), (-30.0, 15.0)]
+_CROSS = " + ".join(
+    f"case when ({y1} > lat) <> ({y2} > lat) and lon < (lat - ({y1})) * (({x2} - ({x1})) / ({y2} - ({y1}))) + ({x1}) then 1 else 0 end" for (y1, x1), (y2, x2) in zip(PENTAGON, PENTAGON[1:] + PENTAGON[:1])
+)
+
+
+@query(f"with {CP_SQL} select c_custkey from cp where ({_CROSS}) % 2 = 1")
+def point_in_polygon(spark, sf_dir):
+    return customer_points(spark, sf_dir).where(geo.in_ring(F.col("lat"), F.col("lon"), PENTAGON)).select("c_custkey")
+
+
+def rings(spark, sf_dir, most: int = 40):
+    p = customer_points(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where(F.col("rn") <= most)
+    shape = F.transform(F.array_sort(F.collect_list(F.struct("rn", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
+    return p.groupBy("c_nationkey").agg(shape.alias("ring"))
+
+
+RING_SQL = f"""{CP_SQL}, o as (select c_nationkey, lat, lon, row_number() over (partition by c_nationkey order by c_custkey) as rn from cp), r as (select * from o where rn <= 40),
+s as (select *, coalesce(lead(lat) over w, first_value(lat) over w) as lat2, coalesce(lead(lon) over w, first_value(lon) over w) as lon2 from r window w as (partition by c_nationkey order by rn))"""
+
+
+@query(f"with {RING_SQL} select c_nationkey, round(sum(lon * lat2 - lon2 * lat) / 2, 4) as area from s group by c_nationkey")
+def polygon_area(spark, sf_dir):
+    return rings(spark, sf_dir).select("c_nationkey", F.round(geo.ring_area(F.col("ring")), 4).alias("area"))
+
+
+@query(f"with {RING_SQL}, a as (select c_nationkey, sum(lon * lat2 - lon2 * lat) / 2 as area, sum((lat + lat2) * (lon * lat2 - lon2 * lat)) as y, sum((lon + lon2) * (lon * lat2 - lon2 * lat)) as x from s group by c_nationkey) select c_nationkey, round(y / (6 * area), 4) as lat, round(x / (6 * area), 4) as lon from a where abs(area) > 1")
+def centroid(spark, sf_dir):
+    from .plans.places import area_centroid
+
+    r = rings(spark, sf_dir).where(F.abs(geo.ring_area(F.col("ring"))) > 1).withColumn("c", area_centroid(F.col("ring")))
+    return r.select("c_nationkey", F.round("c.lat", 4).alias("lat"), F.round("c.lon", 4).alias("lon"))
+
+
+@query(f"with {CP_SQL} select c_nationkey, min(lat) as south, min(lon) as west, max(lat) as north, max(lon) as east from cp group by c_nationkey")
+def bbox_agg(spark, sf_dir):
+    return customer_points(spark, sf_dir).groupBy("c_nationkey").agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+
+
+@query(f"with {CP_SQL} select c_custkey, case when lon < 0 then lon + 360 else lon end as lon from cp")
+def shift_longitude(spark, sf_dir):
+    return customer_points(spark, sf_dir).select("c_custkey", geo.shift_longitude(F.col("lon")).alias("lon"))
+
+
+@query(f"""with {CP_SQL}, o as (select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as rn, radians(lon - 10.0) * 6371000.0 * cos(radians(20.0)) * 0.001 + 400 as x, 300 - radians(lat - 20.0) * 6371000.0 * 0.001 as y from cp)
+select c_nationkey, 'M' || string_agg(printf('%.2f', x) || ' ' || printf('%.2f', y), ' L' order by rn) || ' Z' as path from o where rn <= 12 group by c_nationkey""")
+def svg_path(spark, sf_dir):
+    p = customer_points(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("rn <= 12")
+    x, y = geo.to_screen(F.col("lat"), F.col("lon"), F.lit(20.0), F.lit(10.0), 0.001, 800, 600)
+    pts = p.select("c_nationkey", "rn", x.alias("x"), y.alias("y")).groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("pts"))
+    return pts.select("c_nationkey", render.svg_path(F.col("pts"), closed=True).alias("path"))
+
+
+@query(f"""with {CP_SQL} select lower(regexp_replace(c_mktsegment, '[^\\w]+', '', 'g')) as key, cast(floor(min(lon)) as bigint) as "left", cast(floor(min(lat)) as bigint) as top, cast(ceil(max(lon)) as bigint) as "right", cast(ceil(max(lat)) as bigint) as bottom, min(c_mktsegment) as title,
+  string_agg('p' || c_custkey, ' ' order by c_custkey) as path from cp group by 1""")
+def title_group(spark, sf_dir):
+    rows = customer_points(spark, sf_dir).select("c_mktsegment", "c_custkey", F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("path"), F.col("lon").alias("l"), F.col("lat").alias("t"), F.col("lon").alias("r"), F.col("lat").alias("b"))
+    return render.title_groups(rows, "c_mktsegment", "path", ["l", "t", "r", "b"], ["c_custkey"])
+
+
+@query(f"with {CP_SQL} select cast(floor(min(lon)) as bigint) as \"left\", cast(floor(min(lat)) as bigint) as top, cast(ceil(max(lon) - min(lon)) as bigint) as width, cast(ceil(max(lat) - min(lat)) as bigint) as height from cp")
+def rect_union(spark, sf_dir):
+    p = customer_points(spark, sf_dir)
+    return p.agg(F.floor(F.min("lon")).alias("left"), F.floor(F.min("lat")).alias("top"), F.ceil(F.max("lon") - F.min("lon")).alias("width"), F.ceil(F.max("lat") - F.min("lat")).alias("height"))
+
+
+# ---- search -----------------------------------------------------------------------------------------------------------
+
+
+@query("""select p_partkey, p_brand, array_to_string(list_transform(regexp_extract_all(p_brand, '\\d+|\\D+'), lambda x: case when regexp_matches(x, '^\\d+$') then lpad(x, cast(greatest(12, length(x)) as integer), '0') else x end), '') as sorting from part""")
+def natural_sort(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", tx.natural_key(F.col("p_brand")).alias("sorting"))
+
+
+def part_index(spark, sf_dir):
+    return search.postings(table(spark, sf_dir, "part"), "p_partkey", ["p_name"])
+
+
+@query(r"""select p_partkey, p_name from part where regexp_matches(lower(p_name), '(^|[^\p{L}\p{N}.+&-])sm') and regexp_matches(lower(p_name), '(^|[^\p{L}\p{N}.+&-])gi') order by p_partkey limit 50""")
+def prefix_search(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    hit = search.match(part_index(spark, sf_dir), "sm* gi")
+    return part.join(hit, part["p_partkey"] == hit["doc_id"], "left_semi").select("p_partkey", "p_name").orderBy("p_partkey").limit(50)
+
+
+@query(f"""with recursive {REGISTRY_SQL},
+up as (select id, parent, {TITLE_SQL} as full_title from reg where parent is null
+  union all select r.id, r.parent, u.full_title || ', ' || case when r.level > 1 then r.type || ' ' || r.name else r.name end from reg r join up u on r.parent = u.id)
+select id, full_title from up where regexp_matches(lower(full_title), '^[^,]*,[^,]*nation.*,.*customer') order by length(full_title), id limit 20""")
+def ordered_parts_search(spark, sf_dir):
+    t = registry_full_title(spark, sf_dir).select("id", "full_title")
+    hit = search.match(search.postings(t, "id", ["full_title"]), "nation, customer")
+    return t.join(hit, t["id"] == hit["doc_id"], "left_semi").orderBy(F.length("full_title"), "id").limit(20)
+
+
+@query("""select p_partkey, array_to_string(list_transform(string_split(lower(replace(p_name, 'ring', 'ул.')), ' '), lambda x: case x when 'ул.' then 'улица' when 'gear' then 'часть' else x end), ' ') as folded from part""")
+def wordform_fold(spark, sf_dir):
+    c = F.regexp_replace("p_name", "ring", "ул.")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.replace_words(c, {"ул.": "улица", "gear": "часть"}).alias("folded"))
+
+
+@query("""with d as (select *, row_number() over (partition by lower(p_brand || p_type) order by p_retailprice, p_partkey) as rn from part) select p_partkey, p_brand, p_type, p_retailprice from d where rn = 1 order by p_retailprice, p_partkey limit 30""")
+def dedup_topk(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice", F.concat("p_brand", "p_type").alias("title"))
+    return search.dedup_topk(p, "title", ["p_retailprice", "p_partkey"], 30).drop("title")
+
+
+def customer_bags(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    pairs = [("addr:country", F.col("n_name")), ("addr:city", F.when(F.col("c_custkey") % 3 != 0, F.upper("n_name"))), ("addr:street", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))), ("addr:housenumber", F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string"))),
+             ("addr2:street", F.when(F.col("c_custkey") % 8 == 0, F.lit("Side"))), ("addr2:housenumber", F.when(F.col("c_custkey") % 8 == 0, F.lit("2")))]
+    return j.select("c_custkey", F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()).alias("tags"))
+
+
+CB_SQL = """cb as (select c_custkey, n_name as country, case when c_custkey % 3 <> 0 then upper(n_name) end as city, case when c_custkey % 2 = 0 then c_mktsegment end as street, case when c_custkey % 4 = 0 then cast(c_custkey as varchar) end as number from customer join nation on c_nationkey = n_nationkey)"""
+
+
+@query(f"with {CB_SQL} select c_custkey, concat_ws(', ', country, case when lower(city) <> lower(country) then city end, street, number) as title from cb")
+def doc_title(spark, sf_dir):
+    return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.title(F.col("tags")).alias("title"))
+
+
+@query(f"with {CB_SQL} select c_custkey, cast(case when number is not null then 17 when street is not null then 16 when city is not null then 8 else 1 end as integer) as priority from cb")
+def doc_priority(spark, sf_dir):
+    return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.priority(F.col("tags")).alias("priority"))
+
+
+@query("select c_custkey, case when c_custkey % 8 = 0 then ' / Side, 2' else '' end as alternatives from customer")
+def alt_addresses(spark, sf_dir):
+    return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.alternatives(F.col("tags")).alias("alternatives"))
+
+
+# ---- without SQL ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def convex_hull(spark, sf_dir):
+    return rings(spark, sf_dir, 200).select("c_nationkey", render.hull("ring").alias("hull")).select("c_nationkey", F.size("hull").alias("n_points"), geo.ring_area(F.col("hull")).alias("area"))
+
+
+@query()
+def simplified_lines(spark, sf_dir):
+    return rings(spark, sf_dir, 200).select("c_nationkey", F.size("ring").alias("n_before"), F.size(render.simplify(500_000.0)("ring")).alias("n_after"))
+
+
+@query()
+def packed_titles(spark, sf_dir):
+    t = registry_full_title(spark, sf_dir).select("id", "full_title", render.pack("full_title").alias("packed"))
+    return t.select("id", "packed", (render.unpack("packed") == F.col("full_title")).alias("same"))
+
+
+@query()
+def geojson_lines(spark, sf_dir):
+    r = rings(spark, sf_dir, 10).select("c_nationkey", render.geojson_line(F.col("ring"), F.struct(F.col("c_nationkey").alias("nation"))).alias("feature"))
+    return render.geojson_collection(r.withColumn("one", F.lit(1)), "feature", ["one"], ["c_nationkey"]).drop("one")
