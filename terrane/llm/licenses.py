@@ -10,6 +10,7 @@ template's shingles that the window holds.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,17 +85,16 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hit = F.arrays_overlap("sh", F.lit([int(h) for h in known]).cast("array<bigint>"))
     d = checkpointed(d.select("doc_id", F.when(hit, F.col("sh")).alias("sh")))
     none = d.where("sh is null").select("doc_id", F.lit(0).cast("bigint").alias("n_licenses"), F.lit("").alias("licenses"), F.lit(0.0).alias("best"))
-    some = d.where("sh is not null").groupBy("doc_id", "sh").agg(F.count(F.lit(1)).alias("copies"))
-    cut = F.explode(F.array(*[F.lit(c) for c in classes])).alias("class")
-    starts = F.expr("explode(sequence(1, size(sh), greatest(1, int(class / 2))))")
-    windows = some.select("doc_id", "sh", "copies", cut).select("doc_id", "sh", "copies", "class", starts.alias("at"))
-    windows = windows.withColumn("win", F.expr("slice(sh, at, class + greatest(1, int(class / 2)))"))
-    keyed = windows.withColumn("keys", F.expr(_signature("win"))).select("doc_id", "sh", "copies", "class", "win", F.explode_outer("keys").alias("key"))
+    # a text goes by its id and the hash of its shingles from here on, so windows carry no text
+    some = checkpointed(d.where("sh is not null").withColumn("mark", F.xxhash64("sh")).groupBy("doc_id", "mark").agg(F.first("sh").alias("sh"), F.count(F.lit(1)).alias("copies")))
+    cut = lambda c: F.expr(f"explode_outer(transform(sequence(1, size(sh), {max(1, c // 2)}), i -> slice(sh, i, {c + max(1, c // 2)})))").alias("win")
+    parts = [some.select("doc_id", "mark", F.lit(c).alias("class"), cut(c)) for c in classes]
+    keyed = reduce(DataFrame.unionByName, parts).withColumn("keys", F.expr(_signature("win"))).select("doc_id", "mark", "class", "win", F.explode_outer("keys").alias("key"))
     met = keyed.join(F.broadcast(t.select("license", "class", "t_sh", F.explode("keys").alias("key"))), ["class", "key"])
     share = F.size(F.array_intersect("t_sh", "win")) / F.size("t_sh")
-    found = met.withColumn("share", share).where(F.col("share") >= containment)
-    by_doc = found.groupBy("doc_id", "sh", "license").agg(F.max("share").alias("share")).groupBy("doc_id", "sh").agg(F.sort_array(F.collect_list("license")).alias("l"), F.max("share").alias("best"))
-    out = some.alias("s").join(by_doc.alias("f"), F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("s.sh") == F.col("f.sh")), "left")
+    found = met.groupBy("doc_id", "mark", "license").agg(F.max(share).alias("share")).where(F.col("share") >= containment)
+    by_doc = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("license")).alias("l"), F.max("share").alias("best"))
+    out = some.alias("s").join(by_doc.alias("f"), F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("s.mark") == F.col("f.mark")), "left")
     out = out.select(F.col("s.doc_id").alias("doc_id"), F.when(F.col("l").isNull(), 0).otherwise(F.size("l")).cast("bigint").alias("n_licenses"), F.coalesce(F.array_join("l", ","), F.lit("")).alias("licenses"), F.coalesce("best", F.lit(0.0)).alias("best"), F.explode(F.expr("sequence(1, s.copies)")).alias("copy"))
     return none.unionByName(out.select("doc_id", "n_licenses", "licenses", "best"))
 
