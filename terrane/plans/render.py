@@ -11,11 +11,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
 from ..functions import geo
 from ..functions.text import slug
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+POINTS = ArrayType(StructType([StructField("lat", DoubleType()), StructField("lon", DoubleType())]))
+
 
 def svg_path(points, closed: bool = False) -> Column:
     """'M x y L x y …' of an array of (x, y) structs, with Z if closed."""
@@ -60,18 +64,18 @@ def route_shape(edges: DataFrame) -> DataFrame:
     return parts.select("route", shape.alias("shape")).withColumn("distance", geo.line_length(F.col("shape")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pack(s: pd.Series) -> pd.Series:
     """gzip and base64; the same text gives the same string."""
     return s.map(lambda x: None if x is None else base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unpack(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else gzip.decompress(base64.b64decode(x)).decode())
 
 
-@F.pandas_udf("array<struct<lat:double,lon:double>>")
+@F.pandas_udf(POINTS)
 def hull(points: pd.Series) -> pd.Series:
     """The closed convex hull of each row's points, anticlockwise from the westernmost."""
 
@@ -96,7 +100,7 @@ def simplify(metres: float):
     """A pandas UDF: lines of (lat, lon) with points left out that lie within `metres` of the line without them."""
     import math
 
-    @F.pandas_udf("array<struct<lat:double,lon:double>>")
+    @F.pandas_udf(POINTS)
     def run(lines: pd.Series) -> pd.Series:
         def away(p, a, b):
             k = math.cos(math.radians(a["lat"]))
