@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one with the smallest id. Rows without an id stay."""
     stays = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, F.col("doc_id") == F.col("__id"), "left_semi")
+    kept = docs.join(stays, docs["doc_id"] == stays["__id"], "left_semi")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

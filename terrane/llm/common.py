@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions sent to executors travel by value, so executors need no copy of this package.
-import sys
-
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
@@ -56,3 +54,13 @@ def held_out(id_col: str = "doc_id"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places (_0, _1, …), so that no name of ours can clash with one of theirs."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def named_as(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The first columns of a numbered frame under the names of the frame it came from."""
+    return df.select(*[f"_{i}" for i in range(len(like.columns))]).toDF(*like.columns)

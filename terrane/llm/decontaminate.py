@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, table
+from .common import by_value, named_as, numbered, table
 
 by_value(__name__)
 
@@ -111,7 +111,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield [(r.item, bytes(r.raw)) for r in part.collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with two more columns: __n_words and __leaks, array of (item, start, words).
 
     A row of __leaks is a maximal verbatim match: `words` words of the document
@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     no rows, an empty benchmark no hits; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = find_leaks(slim, benchmark, "doc_id", "text", **how)
+    found = find_leaks(slim, benchmark, "text", **how)
     items = F.array_sort(F.array_distinct(F.col("__leaks")["item"]))
     n_hit = F.when(F.size("__leaks") == 0, F.lit(0).cast("bigint")).otherwise(_hit_words(F.col("__leaks")))
     return found.select(
@@ -182,9 +182,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The documents without any hit, with the columns of docs."""
-    return find_leaks(docs, benchmark, id_col, text_col, **how).where(F.size("__leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find_leaks(numbered(docs), benchmark, f"_{docs.columns.index(text_col)}", **how)
+    return named_as(found.where(F.size("__leaks") == 0), docs)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

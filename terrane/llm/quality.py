@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, held_out, id_and_text, table
+from .common import by_value, held_out, id_and_text, named_as, numbered, table
 from .labelled import labelled_sample
 
 by_value(__name__)
@@ -142,8 +142,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, with the columns of docs."""
-    scored = score(docs, fit(docs, labels, sample=sample, text_col=text_col), text_col, "__quality")
-    return scored.where(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    weights = fit(docs, labels, sample=sample, text_col=text_col)
+    scored = score(numbered(docs), weights, f"_{docs.columns.index(text_col)}", "score")
+    return named_as(scored.where(F.col("score") >= threshold), docs)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
