@@ -78,6 +78,6 @@ def replace_words(c, wordforms: dict[str, str]) -> Column:
 
 # Short forms of address words.
 WORDFORMS = {
-    "ул": "улица", "ул.": "улица", "пр": "проспект", "пр.": "проспект", "просп": "проспект", "просп.": "проспект", "пер": "переулок", "пер.": "переулок",
-    "пл": "площадь", "пл.": "площадь", "д": "дом", "д.": "дом", "г": "город", "г.": "город", "обл": "область", "обл.": "область",
+    "ул.": "улица", "пр-д": "проезд", "ш.": "шоссе", "респ.": "республика", "наб.": "набережная", "пл.": "площадь", "рп.": "рабочий посёлок", "д.": "деревня", "г.": "город",
+    "обл.": "область", "пгт": "посёлок городского типа", "пр-кт": "проспект", "пр-т": "проспект", "р-н": "район", "пер.": "переулок", "с.": "село",
 }

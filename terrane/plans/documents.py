@@ -8,45 +8,74 @@ from pyspark.sql import functions as F
 from ..functions import tags as t
 from ..functions.text import natural_key, present
 
-# Places from the widest to the narrowest; a title names those that the tags have, in this order.
+# The keys that a title names, from the widest place to the narrowest, and what stands before some values.
 LEVELS = (
-    "addr:country addr:state addr:region addr:province addr:district addr:subdistrict addr:county addr:city addr:town addr:village addr:hamlet "
-    "addr:suburb addr:quarter addr:neighbourhood addr:place addr:street addr:housenumber name"
+    "addr:postcode addr:region addr:peninsula addr:district addr:city addr:town addr:village addr:municipality addr:subdistrict addr:landuse addr:suburb addr:hamlet addr:allotments "
+    "addr:isolated_dwelling addr:neighbourhood addr:locality addr:place addr:quarter addr:island addr:islet addr:highway:yes addr:highway:motorway addr:highway:service addr:highway:track "
+    "addr:highway:trunk addr:highway:primary addr:highway:secondary addr:highway:tertiary addr:highway:unclassified addr:highway:residential addr:highway:footway addr:highway:cycleway "
+    "addr:highway:path addr:highway:road addr:highway:living_street addr:highway:pedestrian addr:highway:construction addr:highway:proposed addr:highway:raceway addr:highway:elevator "
+    "addr:highway:corridor addr:highway:services addr:highway:steps addr:highway:motorway_link addr:highway:service_link addr:highway:track_link addr:highway:trunk_link "
+    "addr:highway:primary_link addr:highway:secondary_link addr:highway:tertiary_link addr:railway:rail addr:railway:tram addr:railway:subway addr:railway:monorail addr:railway:funicular "
+    "addr:railway:razed addr:railway:construction addr:railway:preserved addr:railway:proposed addr:railway:yard addr:railway:service_station addr:bridge addr:tunnel addr:street addr:square "
+    "addr:housenumber addr:building addr:station addr:platform addr:highway:stop addr:railway:stop addr:highway:bus_stop addr:railway:tram_stop addr:railway:halt addr:highway:halt "
+    "addr:railway:subway_entrance addr:railway:station addr:highway:station addr:railway:platform addr:highway:platform addr:man_made addr:natural addr:shop"
 ).split()
+BEFORE = {
+    "addr:railway:rail": "ж/д", "addr:railway:tram": "т/п", "addr:railway:subway": "метро", "addr:railway:monorail": "монорельс", "addr:railway:funicular": "фуникулёр", "addr:bridge": "мост",
+    "addr:tunnel": "туннель", "addr:station": "станция", "addr:platform": "платформа", "addr:highway:stop": "остановка", "addr:railway:stop": "остановка", "addr:highway:bus_stop": "остановка",
+    "addr:railway:tram_stop": "остановка", "addr:railway:halt": "остановка по требованию", "addr:highway:halt": "остановка по требованию", "addr:railway:subway_entrance": "станция",
+    "addr:railway:station": "станция", "addr:highway:station": "станция", "addr:railway:platform": "платформа", "addr:highway:platform": "платформа",
+}
+BUILDING_KEYS = "addr:region addr:city addr:town addr:village addr:street addr:square addr:housenumber".split()
+LEVEL_KEYS = "highway railway building addr:housenumber addr:building addr:man_made addr:natural addr:shop".split()
 
 
 def title(tags, keys: list[str] = LEVELS) -> Column:
-    """Present values in the order of keys, without repeats that differ only in case, comma-joined."""
-    values = F.array_compact(F.array(*[present(t.get(tags, k)) for k in keys]))
-    unique = F.filter(values, lambda v, i: F.array_position(F.transform(values, lambda x: F.lower(x)), F.lower(v)) == i + 1)
+    """Present values in the order of keys, each with what stands before it, without repeats that differ only in case, comma-joined.
+
+    Keys meet the bag by place in one array, so the expression's size does not
+    grow with the bag.
+    """
+    names = F.array(*[F.lit(k) for k in keys])
+    heads = F.array(*[F.lit(BEFORE[k] + " " if k in BEFORE else "") for k in keys])
+    values = F.zip_with(names, heads, lambda k, h: F.concat(h, present(F.try_element_at(tags, k))))
+    values = F.filter(values, lambda v: v.isNotNull())
+    start = F.array().cast("array<string>")
+    unique = F.aggregate(values, start, lambda acc, v: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v))))
     return F.array_join(unique, ", ")
 
 
 def alternatives(tags) -> Column:
-    """' / street, number' for each numbered address of the bag whose text differs from the main one."""
+    """' / street, square, number' for each numbered address that differs from the main one.
+
+    What a numbered address leaves out is as in the main one.
+    """
+    parts = ("street", "square", "housenumber")
     numbered = F.array_sort(F.filter(F.map_keys(tags), lambda k: k.rlike(r"^addr\d+:housenumber$")))
-    address = lambda p: F.concat_ws(", ", present(F.try_element_at(tags, F.concat(p, F.lit(":street")))), present(F.try_element_at(tags, F.concat(p, F.lit(":housenumber")))))
-    main = address(F.lit("addr"))
-    texts = F.transform(numbered, lambda k: address(F.substring_index(k, ":", 1)))
-    return F.array_join(F.transform(F.filter(texts, lambda x: F.lower(x) != F.lower(main)), lambda x: F.concat(F.lit(" / "), x)), "")
+    part = lambda p, name: F.try_element_at(tags, F.concat(p, F.lit(f":{name}")))
+    of = lambda p: F.struct(*[F.coalesce(part(p, n), t.get(tags, f"addr:{n}")).alias(n) for n in parts])
+    main = F.struct(*[t.get(tags, f"addr:{n}").alias(n) for n in parts])
+    lower = lambda s: F.struct(*[F.lower(s[n]).alias(n) for n in parts])
+    others = F.filter(F.transform(numbered, lambda k: of(F.substring_index(k, ":", 1))), lambda s: ~lower(s).eqNullSafe(lower(main)))
+    return F.array_join(F.transform(others, lambda s: F.concat(F.lit(" / "), F.concat_ws(", ", *[s[n] for n in parts]))), "")
 
 
 def priority(tags, keys: list[str] = LEVELS) -> Column:
-    return t.last_index_present(tags, keys)
+    """1-based place of the last key of a list that the tags have; 0 if none."""
+    found = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k, i: F.when(F.map_contains_key(tags, k), i + 1).otherwise(0))
+    return F.coalesce(F.array_max(found), F.lit(0))
+
+
+def custom_title(tags) -> Column:
+    """Of buildings the seven main keys' values, then the name."""
+    own = F.when(t.has_key(tags, "building"), F.array(*[t.get(tags, k) for k in BUILDING_KEYS])).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_join(F.array_compact(F.concat(own, F.array(t.get(tags, "name")))), ", "), alternatives(tags))
 
 
 def address_documents(addrx: DataFrame) -> DataFrame:
-    """Index rows (id, title, custom_title, sorting, custom_level, priority, building, lat, lon, data) of enriched places."""
-    bag = F.col("tags")
-    return addrx.select(
-        "id",
-        F.concat(title(bag), alternatives(bag)).alias("title"),
-        F.when(t.has_key(bag, "building"), title(bag, LEVELS[-3:])).otherwise(t.get(bag, "name")).alias("custom_title"),
-        natural_key(title(bag)).alias("sorting"),
-        F.when(t.has_key(bag, "building"), 2).when(t.has_key(bag, "name"), 1).otherwise(0).alias("custom_level"),
-        priority(bag).alias("priority"),
-        F.when(t.has_key(bag, "addr:housenumber"), 1).otherwise(0).alias("building"),
-        "lat",
-        "lon",
-        bag.alias("data"),
-    )
+    """Index rows (id, title, custom_title, sorting, custom_sorting, custom_level, priority, building, lat, lon, data) of enriched places."""
+    rows = addrx.select("id", "lat", "lon", F.col("tags").alias("data"), F.concat(title(F.col("tags")), alternatives(F.col("tags"))).alias("title"), custom_title(F.col("tags")).alias("custom_title"))
+    return rows.select(
+        "id", "title", "custom_title", natural_key(F.col("title")).alias("sorting"), natural_key(F.col("custom_title")).alias("custom_sorting"), t.has_any_key(F.col("data"), LEVEL_KEYS).cast("int").alias("custom_level"),
+        priority(F.col("data")).alias("priority"), t.has_key(F.col("data"), "building").cast("int").alias("building"), "lat", "lon", "data",
+    )

@@ -34,9 +34,20 @@ class Profile:
     uses_maxspeed: bool = True
 
 
+# The other vehicles' speeds.
+MOPED_SPEEDS = {
+    "primary": 40, "primary_link": 40, "secondary": 40, "secondary_link": 40, "tertiary": 40, "tertiary_link": 40, "unclassified": 40, "residential": 40, "service": 30, "services": 30,
+    "road": 30, "track": 30, "living_street": 5, "ferry": 5, "movable": 5, "shuttle_train": 10, "default": 10,
+}
+BICYCLE_SPEEDS = dict.fromkeys(
+    "primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential service services road track cycleway path living_street ferry movable shuttle_train default".split(), 15
+)
+BICYCLE_BARRED = ("footway", "pedestrian")  # speed 15, but only with access tags of their own
+FOOT_SPEEDS = dict.fromkeys(
+    "primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential service services road track cycleway path footway pedestrian living_street ferry movable shuttle_train default".split(), 4
+) | {"steps": 2}
+
 _MOTOR = ("access", "vehicle", "motor_vehicle", "motorcar")
-_BICYCLE = {"primary": 15, "primary_link": 15, "secondary": 15, "secondary_link": 15, "tertiary": 15, "tertiary_link": 15, "unclassified": 15, "residential": 15, "service": 15, "road": 15, "track": 15, "living_street": 15, "cycleway": 15, "footway": 15, "path": 15, "pedestrian": 15, "ferry": 5}
-_FOOT = {k: 4 for k in ("primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "service", "road", "track", "living_street", "footway", "path", "pedestrian", "steps", "cycleway")}
 PROFILES = {
     p.name: p
     for p in (
@@ -45,9 +56,9 @@ PROFILES = {
         Profile("bigtruck", _MOTOR, speed_share=1.0),
         Profile("smalltruck", _MOTOR, speed_share=1.0),
         Profile("motorcycle", ("access", "vehicle", "motor_vehicle", "motorcycle")),
-        Profile("moped", ("access", "vehicle", "motor_vehicle", "moped"), least=40, most=40),
-        Profile("bicycle", ("access", "vehicle", "bicycle"), speeds=_BICYCLE, speed_share=1.0, least=15, most=15, uses_maxspeed=False),
-        Profile("pedestrian", ("access", "foot"), speeds=_FOOT, speed_share=1.0, least=4, most=5, uses_oneway=False, uses_maxspeed=False),
+        Profile("moped", ("access", "vehicle", "motor_vehicle", "moped"), speeds=MOPED_SPEEDS, least=40, most=40),
+        Profile("bicycle", ("access", "vehicle", "bicycle"), speeds=BICYCLE_SPEEDS, speed_share=1.0, least=15, most=15, uses_maxspeed=False),
+        Profile("pedestrian", ("access", "foot"), speeds=FOOT_SPEEDS, speed_share=1.0, least=4, most=5, uses_oneway=False, uses_maxspeed=False),
     )
 }
 

@@ -572,7 +572,7 @@ def customer_bags(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     j = c.join(n, c["c_nationkey"] == n["n_nationkey"])
-    pairs = [("addr:country", F.col("n_name")), ("addr:city", F.when(F.col("c_custkey") % 3 != 0, F.upper("n_name"))), ("addr:street", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))), ("addr:housenumber", F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string"))),
+    pairs = [("addr:region", F.col("n_name")), ("addr:city", F.when(F.col("c_custkey") % 3 != 0, F.upper("n_name"))), ("addr:street", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))), ("addr:housenumber", F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey").cast("string"))),
              ("addr2:street", F.when(F.col("c_custkey") % 8 == 0, F.lit("Side"))), ("addr2:housenumber", F.when(F.col("c_custkey") % 8 == 0, F.lit("2")))]
     return j.select("c_custkey", F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()).alias("tags"))
 
@@ -585,7 +585,7 @@ def doc_title(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.title(F.col("tags")).alias("title"))
 
 
-@query(f"with {CB_SQL} select c_custkey, cast(case when number is not null then 17 when street is not null then 16 when city is not null then 8 else 1 end as integer) as priority from cb")
+@query(f"with {CB_SQL} select c_custkey, cast(case when number is not null then 66 when street is not null then 64 when city is not null then 5 else 2 end as integer) as priority from cb")
 def doc_priority(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.priority(F.col("tags")).alias("priority"))
 

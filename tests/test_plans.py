@@ -51,7 +51,7 @@ def test_search_orders_parts_and_dedups(spark):
 def test_documents(spark):
     bag = F.create_map(*[F.lit(x) for x in ("addr:city", "Tver", "addr:town", "tver", "addr:street", "Mira", "addr:housenumber", "1", "addr2:street", "Side", "addr2:housenumber", "2")])
     r = spark.range(1).select(documents.title(bag).alias("t"), documents.alternatives(bag).alias("a"), documents.priority(bag).alias("p")).first()
-    assert (r.t, r.a, r.p) == ("Tver, Mira, 1", " / Side, 2", 17)
+    assert (r.t, r.a, r.p) == ("Tver, Mira, 1", " / Side, 2", 66)
 
 
 @pytest.mark.parametrize(
