@@ -120,3 +120,18 @@ def line_length(points) -> Column:
     """Metres along an array of (lat, lon)."""
     steps = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: haversine(a["lat"], a["lon"], b["lat"], b["lon"]))
     return F.aggregate(steps, F.lit(0.0), lambda x, y: x + y)
+
+
+def segments_cross(lat1, lon1, lat2, lon2, lat3, lon3, lat4, lon4) -> Column:
+    """(lat, lon) where two segments cross in the plane, else null; parallel ones do not."""
+    dy1, dx1, dy2, dx2 = lat2 - lat1, lon2 - lon1, lat4 - lat3, lon4 - lon3
+    size = dx1 * dy2 - dy1 * dx2
+    t = F.try_divide((lon3 - lon1) * dy2 - (lat3 - lat1) * dx2, size)
+    u = F.try_divide((lon3 - lon1) * dy1 - (lat3 - lat1) * dx1, size)
+    return F.when(t.between(0, 1) & u.between(0, 1), F.struct((lat1 + t * dy1).alias("lat"), (lon1 + t * dx1).alias("lon")))
+
+
+def along(lat1, lon1, lat2, lon2, metres) -> Column:
+    """(lat, lon) at a distance along a segment, by share of its length."""
+    t = F.coalesce(F.try_divide(metres, haversine(lat1, lon1, lat2, lon2)), F.lit(0.0))
+    return F.struct((lat1 + t * (lat2 - lat1)).alias("lat"), (lon1 + t * (lon2 - lon1)).alias("lon"))

@@ -68,3 +68,8 @@ def merge_maps(df: DataFrame, by: list[str], key: str, value: str, rank: list |
     order = F.struct(*[F.col(r) for r in (rank or [])], F.col(value))
     one = df.groupBy(*by, key).agg(F.min_by(value, order).alias(value))
     return one.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name))
+
+
+def append_to_list(value, item) -> Column:
+    """A comma list with an item more, if it is not in it yet."""
+    return F.when(value.isNull() | (value == ""), item).otherwise(F.array_join(F.array_union(F.split(value, ","), F.array(item)), ","))

@@ -184,3 +184,30 @@ def test_incremental_equals_rebuild(spark, tmp_path):
         jobs.run_once(jobs.new_rows(spark, str(tmp_path / "in"), schema), work, str(tmp_path / "cp")).awaitTermination()
         got = sorted(map(tuple, jobs.snapshot(spark, str(tmp_path / "out"), k).collect()))
     assert got == sorted(map(tuple, changes.latest_wins(first, second, ["k"], "n").collect()))
+
+
+def test_registry_documents(spark):
+    from terrane.plans import registry
+
+    addrob = spark.createDataFrame([("r", None, "Тверская", "Тверская", "обл", 1, 1), ("c", "r", "Тверь", "", "г", 4, 1), ("s", "c", "Мира", "Мира", "ул", 7, 1), ("old", "c", "x", "x", "ул", 7, 0)], "aoguid string, parentguid string, offname string, formalname string, shortname string, aolevel int, livestatus int")
+    socrbase = spark.createDataFrame([("обл", 1, "область"), ("г", 4, "город"), ("ул", 7, "улица")], "scname string, level int, socrname string")
+    house = spark.createDataFrame([("h", "s", "5", None, "2", 1, "170000", "2000-01-01", "2079-01-01"), ("dead", "s", "6", None, None, 1, None, "2000-01-01", "2001-01-01")], "houseguid string, aoguid string, housenum string, buildnum string, strucnum string, eststatus int, postalcode string, startdate string, enddate string")
+    house = house.withColumns({c: F.col(c).cast("timestamp") for c in ("startdate", "enddate")})
+    room = spark.createDataFrame([("f", "h", "7", None, 1, None), ("g", "h", "8", None, 0, None)], "roomguid string, houseguid string, flatnumber string, roomnumber string, livestatus int, postalcode string")
+    stead = spark.createDataFrame([("p", "s", "3", 1)], "steadguid string, parentguid string, number string, livestatus int")
+    levels = [registry.fias_objects(addrob, socrbase), registry.fias_houses(house, spark.createDataFrame([(1, "дом")], "eststatid int, name string"), F.lit("2024-01-01").cast("timestamp")), registry.fias_rooms(room), registry.fias_steads(stead)]
+    got = {r.guid: (r.title, r.priority, r.building) for r in registry.documents(levels).collect()}
+    base = "Тверская, город Тверь, улица Мира"
+    assert got == {
+        "r": ("Тверская", 1, 0), "c": ("Тверская, город Тверь", 2, 0), "s": (base, 3, 0), "p": (base + ", уч. 3", 4, 1),
+        "h": ("170000, " + base + ", дом 5 с2", 5, 1), "f": ("170000, " + base + ", дом 5 с2, Квартира 7", 6, 2),
+    }
+
+
+def test_gar_levels_join_text_ids_and_skip_history(spark):
+    from terrane.plans import registry
+
+    rows = spark.createDataFrame([("1", "Мира", 1, 1), ("1", "Ленина", 0, 0), ("2", "5", 1, 1)], "OBJECTID string, NAME string, ISACTUAL int, ISACTIVE int")
+    links = spark.createDataFrame([(2, 1, 1), (2, 9, 0)], "OBJECTID bigint, PARENTOBJID bigint, ISACTIVE int")
+    got = {r.guid: r.title for r in registry.documents([registry.gar_level(rows, links, F.col("NAME"), 0)]).collect()}
+    assert got == {"1": "Мира", "2": "Мира, 5"}
