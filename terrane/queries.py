@@ -482,9 +482,10 @@ RING_SQL = f"""{CP_SQL}, o as (select c_nationkey, lat, lon, row_number() over (
 s as (select *, coalesce(lead(lat) over w, first_value(lat) over w) as lat2, coalesce(lead(lon) over w, first_value(lon) over w) as lon2 from r window w as (partition by c_nationkey order by rn))"""
 
 
-@query(f"with {RING_SQL} select c_nationkey, round(sum(lon * lat2 - lon2 * lat) / 2, 4) as area from s group by c_nationkey")
+@query(f"with {RING_SQL} select c_nationkey, case when abs(sum(lon * lat2 - lon2 * lat)) < 0.0001 then 0.0 else round(sum(lon * lat2 - lon2 * lat) / 2, 4) end as area from s group by c_nationkey")
 def polygon_area(spark, sf_dir):
-    return rings(spark, sf_dir).select("c_nationkey", F.round(geo.ring_area(F.col("ring")), 4).alias("area"))
+    area = geo.ring_area(F.col("ring"))
+    return rings(spark, sf_dir).select("c_nationkey", F.when(F.abs(area) < 0.00005, 0.0).otherwise(F.round(area, 4)).alias("area"))  # no negative zero
 
 
 @query(f"with {RING_SQL}, a as (select c_nationkey, sum(lon * lat2 - lon2 * lat) / 2 as area, sum((lat + lat2) * (lon * lat2 - lon2 * lat)) as y, sum((lon + lon2) * (lon * lat2 - lon2 * lat)) as x from s group by c_nationkey) select c_nationkey, round(y / (6 * area), 4) as lat, round(x / (6 * area), 4) as lon from a where abs(area) > 1")
