@@ -2,10 +2,10 @@
 
 Character shingles of a line are hashed; its smallest hashes, in order, are its
 signature (bottom-k MinHash). Bands are runs of three of them: lines of
-similarity 0.8 share a run of three among a union's 14 smallest hashes with
-probability 0.99, lines of similarity 0.85 with 0.997. Exact Jaccard over whole
-shingle sets verifies candidates, and connected components of the verified pairs
-are the classes.
+similarity 0.8 share a run of three among a union's 18 smallest hashes with
+probability 0.998. Exact Jaccard over whole shingle sets verifies all candidates
+that are not in one component already, and connected components of the verified
+pairs are the classes.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from .common import checkpointed, named_as, numbered, table
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 8, 0.8
-#: Smallest hashes of a signature, and how many in a row make a band. Without a run of 3 in 14 at 0.8: probability 0.010, at 0.85 0.003.
-LEAST, RUN = 14, 3
+#: Smallest hashes of a signature, and how many in a row make a band. Without a run of 3 in 18 at 0.8: probability 0.0023.
+LEAST, RUN = 18, 3
 #: Lines of up to LONG characters are signed by all shingles, lines of SHORT or more by those that begin a word (in
 #: scripts without blanks by every character), so lines as long as each other by 0.8 share a way.
 SHORT, LONG = 100, 125
 ANCHOR = r"(?:(?<![^ ])|(?=[\u3040-\uffff&&[^\uac00-\ud7af]]))."
-#: Share of a signature that must agree before texts are compared; a pair of similarity 0.8 has less with probability 0.002.
+#: Share of a signature that must agree before texts are compared; a pair of similarity 0.8 has less with probability 0.001.
 AGREE = 0.5
-#: A round that adds no more than this share of all links is the last.
-LAST = 0.02
+#: Forms of a bucket that meet in one join key.
+BLOCK = 1_000
 #: Characters of a line whose shingles are held at once; longer lines are hashed in pieces.
 PIECE = 16_384
 #: Rows that may be broadcast (two or three longs each, under 50 MB); more are joined by a shuffle.
@@ -81,17 +81,17 @@ def signed_lines(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
     return some.unionByName(long.select("doc_id", "line_no", "id").join(whole.select("id", _band_keys("s", 3).alias("keys")), "id"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity, as checkpointed rows.
-
-    Sizes and the agreement of the signatures first leave out pairs that cannot (or hardly can) be that similar.
-    """
-    marks = texts.select("id", "n", "s")
-    both = pairs.distinct().join(marks.toDF("a", "n_x", "s_x"), "a").join(marks.toDF("b", "n_y", "s_y"), "b")
-    both = both.where(F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y"))
+def _near(similarity: float) -> Column:
+    """Whether two forms' sizes (n_x, n_y) allow that similarity and their signatures (s_x, s_y) agree."""
+    sizes = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y")
+    common = F.array_intersect("s_x", "s_y")
+    some = F.size(common) >= F.lit(AGREE) * F.greatest(F.size("s_x"), F.size("s_y"))  # holds whenever the next does, and is cheaper
     union = F.slice(F.sort_array(F.array_union("s_x", "s_y")), 1, LEAST)
-    both = both.select("a", "b", F.size(F.array_intersect(F.array_intersect("s_x", "s_y"), union)).alias("n"), F.size(union).alias("m"))
-    near = checkpointed(both).where(F.col("n") >= F.lit(AGREE) * F.col("m")).select("a", "b")
+    return sizes & some & (F.size(F.array_intersect(common, union)) >= F.lit(AGREE) * F.size(union))
+
+
+def _verified(near: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity, as checkpointed rows."""
     both = near.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
     sets = both.select("a", "b", F.expr(f"array_distinct({_shingles('x', k)})").alias("x"), F.expr(f"array_distinct({_shingles('y', k)})").alias("y"))
     shared = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
@@ -99,44 +99,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
     return checkpointed(shared).where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n"))).select("a", "b")
 
 
+def _linked(found: DataFrame) -> DataFrame:
+    return checkpointed(connected_components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root")))
+
+
+def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """All near pairs (a, b) of bucket mates in different components.
+
+    A bucket is cut into blocks of about BLOCK forms and every two blocks meet
+    in a join key of their own, so no key makes more than some BLOCK squared
+    comparisons. Pairs that are not near are dropped inside the join.
+    """
+    now = checkpointed(members.join(linked, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    mixed = now.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("last")).where("r < last")
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    rows = now.join(mixed.select("key", blocks.alias("of")), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int"))
+    rows = checkpointed(rows.join(marks, "id").select("key", "of", "own", "id", "root", "n", "s"))
+    x = rows.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, of - 1)")).alias("j"), F.col("id").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("n_x"), F.col("s").alias("s_x"))
+    y = rows.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("id").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("n_y"), F.col("s").alias("s_y"))
+    once = F.expr("p_root <> q_root and (i < j or p < q)")
+    both = x.join(y, ["key", "i", "j"]).where(once & _near(similarity))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def line_classes(rows: DataFrame, lines: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) for the normal forms that have a fuzzy duplicate; rows: signed_lines, lines: with id and norm.
 
-    Each round verifies a bucket's forms against one of them, so it makes as
-    many pairs as the buckets have members, however large a bucket is. Forms that
-    are then in the component of a form that their bucket was verified against
-    are settled; those that are not meet a new one in the next round. Rounds
-    end when one adds under LAST of the links found so far. Similar lines
-    share several buckets, so each pair has as many chances as it shares
-    buckets and rounds.
+    First each bucket's forms are verified against its smallest one, as many
+    pairs as the buckets have members, which joins the large classes. Then
+    all bucket mates that are still in different components are compared,
+    so no link between bucket mates depends on the order of forms, on the
+    size of a bucket or on the rest of the corpus.
     """
     bands = rows.select("id", F.explode("keys").alias("key"))
     full = checkpointed(bands.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("key", "rep"))
-    left = checkpointed(bands.join(_small(full), "key").select("key", "rep", "id").distinct())
-    wanted = checkpointed(left.select("id").distinct())
+    members = checkpointed(bands.join(_small(full), "key").select("key", "rep", "id").distinct())
+    wanted = checkpointed(members.select("id").distinct())
     texts = lines.select("id", "norm").join(_small(wanted), "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm"))
     hashes = texts.withColumn("h", F.expr(f"sort_array(array_distinct(transform({_shingles('norm', k)}, x -> xxhash64(x))))"))
     texts = checkpointed(hashes.select("id", "norm", F.size("h").alias("n"), F.slice("h", 1, LEAST).alias("s")))
-    found, linked, turn, links = None, None, 0, 0
-    while True:
-        new = _verified(left.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), texts, k, similarity)
-        added = new.count()
-        if added == 0:
-            break
-        found = new if found is None else found.unionByName(new)
-        linked = checkpointed(connected_components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root")))
-        links += added
-        if added <= LAST * links:
-            break
-        of_id = left.where("id <> rep").join(linked, "id", "left").select("key", "rep", "id", F.coalesce("root", "id").alias("root"))
-        of_rep = linked.select(F.col("id").alias("rep"), F.col("root").alias("rep_root"))
-        rest = checkpointed(of_id.join(of_rep, "rep", "left").where(F.col("root") != F.coalesce("rep_root", "rep")).select("key", "id"))
-        turn += 1
-        reps = rest.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "rep")
-        left = rest.join(reps, "key").select("key", "rep", "id")
-    if linked is None:
-        return lines.select("id", F.col("id").alias("root")).limit(0)
-    return linked
+    marks = texts.select("id", "n", "s")
+    stars = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(marks.toDF("a", "n_x", "s_x"), "a").join(marks.toDF("b", "n_y", "s_y"), "b")
+    found = _verified(checkpointed(stars.where(_near(similarity)).select("a", "b")), texts, k, similarity)
+    rest = checkpointed(_apart(members.select("key", "id"), _linked(found), marks, similarity))
+    return _linked(found.unionByName(_verified(rest, texts, k, similarity)))
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

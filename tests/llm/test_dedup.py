@@ -164,3 +164,31 @@ def test_long_lines_are_signed_whole(spark):
     line = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000))
     df = spark.createDataFrame([(1, line), (2, line[:-30] + "q" * 30), (3, line[::-1])], "doc_id bigint, text string")
     assert {r.doc_id: r.kept for r in line_dedup.line_decisions(df).collect()} == {1: True, 2: False, 3: True}
+
+
+def classes_of_buckets(spark, forms: dict, keys: dict) -> list:
+    rows = spark.createDataFrame([(i, k) for i, k in keys.items()], "id bigint, keys array<bigint>")
+    lines = spark.createDataFrame(list(forms.items()), "id bigint, norm string")
+    out = defaultdict(set)
+    for r in line_dedup.line_classes(rows, lines).collect():
+        out[r.root].add(r.id)
+    return sorted(map(sorted, out.values()))
+
+
+def test_bucket_mates_beside_an_outlier_are_compared(spark):
+    forms = {1: "an outlier that is like none of them", 2: "the same sentence with one ending, a", 3: "the same sentence with one ending, b"}
+    assert classes_of_buckets(spark, forms, {i: [7] for i in forms}) == [[2, 3]]
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_all_classes_of_a_hot_bucket_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(9)
+    forms = {}
+    for c in range(40):
+        body = "".join(rng.choice("abcdefghijklmnop ") for _ in range(60)).strip()
+        forms |= {1000 + c: body + " x", 5000 - c: body + " y"}
+    keys = {i: [7] for i in forms}
+    many = {10_000 + n: "a bucket elsewhere whose forms are all alike but for " + str(n) for n in range(300)}
+    got = classes_of_buckets(spark, forms | many, keys | {i: [8] for i in many})
+    assert got == [*([1000 + c, 5000 - c] for c in range(40)), sorted(many)]
