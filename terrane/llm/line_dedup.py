@@ -19,10 +19,6 @@ from .components import connected_components
 SHINGLE, SIMILARITY = 8, 0.8
 #: Smallest hashes of a signature, and how many in a row make a band. Without a run of 3 in 18 at 0.8: probability 0.0023.
 LEAST, RUN = 18, 3
-#: Lines of up to LONG characters are signed by all shingles, lines of SHORT or more by those that begin a word (in
-#: scripts without blanks by every character), so lines as long as each other by 0.8 share a way.
-SHORT, LONG = 100, 125
-ANCHOR = r"(?:(?<![^ ])|(?=[\u3040-\uffff&&[^\uac00-\ud7af]]))."
 #: Share of a signature that must agree before texts are compared; a pair of similarity 0.8 has less with probability 0.001.
 AGREE = 0.5
 #: Forms of a bucket that meet in one join key.
@@ -49,36 +45,35 @@ def _with_id(lines: DataFrame) -> DataFrame:
     return lines.withColumn("norm", F.lower(F.trim("line"))).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
 
 
-def _shingles(text: str, k: int, first: str = ".") -> str:
-    """SQL for a string's shingles: all runs of k characters (that begin with `first`), or the whole of a shorter string."""
-    return f"if(length({text}) < {k}, array({text}), regexp_extract_all({text}, '(?s)(?=({first}.{{{k - 1}}}))', 1))"
+def _shingles(text: str, k: int) -> str:
+    """SQL for a string's shingles: all runs of k characters, or the whole of a shorter string."""
+    return f"if(length({text}) < {k}, array({text}), regexp_extract_all({text}, '(?s)(?=(.{{{k}}}))', 1))"
 
 
-def _least(text: str, k: int, first: str) -> str:
+def _least(text: str, k: int) -> str:
     """SQL for the LEAST smallest distinct hashes of a string's shingles, in order."""
-    return f"slice(sort_array(array_distinct(transform({_shingles(text, k, first)}, x -> xxhash64(x)))), 1, {LEAST})"
+    return f"slice(sort_array(array_distinct(transform({_shingles(text, k)}, x -> xxhash64(x)))), 1, {LEAST})"
 
 
-def _band_keys(s: str, tag: int) -> Column:
+def _band_keys(s: str) -> Column:
     """Keys of the runs of a signature (a column's name); signatures of under ten hashes also have their pairs and themselves."""
-    runs = f"transform(slice({s}, 1, greatest(size({s}) - {RUN - 1}, 0)), (x, i) -> xxhash64({tag}, x, {s}[i + 1], {s}[i + 2]))"
-    few = f"if(size({s}) between 1 and 9, concat(transform(slice({s}, 1, size({s}) - 1), (x, i) -> xxhash64({tag + 1}, x, {s}[i + 1])), array(xxhash64({tag + 2}, {s}))), array())"
+    runs = f"transform(slice({s}, 1, greatest(size({s}) - {RUN - 1}, 0)), (x, i) -> xxhash64(0, x, {s}[i + 1], {s}[i + 2]))"
+    few = f"if(size({s}) between 1 and 9, concat(transform(slice({s}, 1, size({s}) - 1), (x, i) -> xxhash64(1, x, {s}[i + 1])), array(xxhash64(2, {s}))), array())"
     return F.expr(f"concat({runs}, {few})")
 
 
 def signed_lines(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, line_no, id, keys) of lines with id and norm: one pass over the texts, no text shuffled.
+    """(doc_id, line_no, id, keys) of lines with id and norm, signed by all their shingles: one pass over the texts, no text shuffled.
 
     Lines over PIECE characters are hashed piece by piece; their pieces' minima meet by id.
     """
-    some = lines.where(F.length("norm") <= PIECE).select("doc_id", "line_no", "id", "norm")
-    some = some.withColumn("every", F.expr(f"if(length(norm) <= {LONG}, {_least('norm', k, '.')}, array())")).withColumn("few", F.expr(f"if(length(norm) >= {SHORT}, {_least('norm', k, ANCHOR)}, array())"))
-    some = some.select("doc_id", "line_no", "id", F.concat(_band_keys("every", 0), _band_keys("few", 3)).alias("keys"))
+    some = lines.where(F.length("norm") <= PIECE).select("doc_id", "line_no", "id", F.expr(_least("norm", k)).alias("s"))
+    some = some.select("doc_id", "line_no", "id", _band_keys("s").alias("keys"))
     long = lines.where(F.length("norm") > PIECE)
     pieces = long.select("id", "norm", F.explode(F.expr(f"sequence(1, length(norm) - {k - 1}, {PIECE})")).alias("at"))
-    pieces = pieces.select("id", F.expr(f"substring(norm, at, {PIECE + k - 1})").alias("piece")).select("id", F.expr(_least("piece", k, ANCHOR)).alias("s"))
+    pieces = pieces.select("id", F.expr(f"substring(norm, at, {PIECE + k - 1})").alias("piece")).select("id", F.expr(_least("piece", k)).alias("s"))
     whole = pieces.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))), 1, LEAST).alias("s"))
-    return some.unionByName(long.select("doc_id", "line_no", "id").join(whole.select("id", _band_keys("s", 3).alias("keys")), "id"))
+    return some.unionByName(long.select("doc_id", "line_no", "id").join(whole.select("id", _band_keys("s").alias("keys")), "id"))
 
 
 def _near(similarity: float) -> Column:

@@ -192,3 +192,18 @@ def test_all_classes_of_a_hot_bucket_are_found(spark, monkeypatch, block):
     many = {10_000 + n: "a bucket elsewhere whose forms are all alike but for " + str(n) for n in range(300)}
     got = classes_of_buckets(spark, forms | many, keys | {i: [8] for i in many})
     assert got == [*([1000 + c, 5000 - c] for c in range(40)), sorted(many)]
+
+
+def test_long_blank_free_and_repetitive_lines_have_full_recall(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(1, "-" * 80), (2, "-" * 150), (3, "ab" * 45), (4, "ab" * 400)]
+    for n in (130, 200, 400, 1500, 17_000):  # the last is signed in pieces
+        for _ in range(3):
+            line = "".join(rng.choice(letters) for _ in range(n))
+            thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n))
+            for x in (line, thai):
+                rows += [(len(rows) + 1, x), (len(rows) + 2, "@" * 8 + x[8:])]
+    want = line_brute(rows)
+    got = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no) for r in line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and sum(k != v for k, v in want.items()) == 32
