@@ -21,6 +21,12 @@ BREAKING = set(
 )
 HOLDING = set("address article aside blockquote body details dialog div dl fieldset figure footer form header main nav ol section table ul".split())
 ASIDE = set("nav footer aside form dialog".split())
+#: Skipped elements that hold raw text, so without an end tag they reach the end of the page.
+RAW = set("script style textarea title".split())
+#: What may stand in a head; any other start tag ends it.
+IN_HEAD = set("title base basefont bgsound link meta script style template noscript noframes".split())
+#: Containers whose class says what the page or the article is like, not that they are something else.
+WHOLE = set("html body main article".split())
 #: Parts of a class, id or role that name what is not the article.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|widget\w*|menu\w*|nav\w*|breadcrumbs?|comments?|reply|replies|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|related|recommend\w*|share|sharing|social|footer|header|masthead|copyright|pagination|pager|toolbar|search|tags)(?:$|[\s_-])",
@@ -121,6 +127,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     out, text, linked, links, heading = [], [], 0, 0, False
     holders: list[tuple[str, bool, bool]] = []  # name, sets aside, is or is in an article
     at, n = 0, len(page)
+    ends: dict[str, int] = {}  # where the next end tag of a skipped element ends, -1: there is none
 
     def flush():
         nonlocal text, linked
@@ -157,10 +164,18 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             continue
         close, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if name in SKIPPED and not close and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if name in BREAKING or name in ("head", "title"):
                 flush()
-            at = n if end is None else end.end()
+            if name == "head":
+                at = _after_head(page, at)
+                continue
+            if name not in ends or 0 <= ends[name] < at:
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                ends[name] = -1 if end is None else end.end()
+            if ends[name] >= 0:
+                at = ends[name]
+            elif name in RAW:
+                at = n
             continue
         if name == "br":
             text.append(" ")
@@ -177,18 +192,44 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
                         links = 0
                 elif not attributes.endswith("/"):
                     aside, inside = (holders[-1][1], holders[-1][2]) if holders else (False, False)
-                    own = name in ASIDE or name == "header" and not inside or _set_aside(attributes)
+                    own = name in ASIDE or name == "header" and not inside or _set_aside(attributes, name not in WHOLE)
                     holders.append((name, aside or own, inside or name in ("article", "main")))
     flush()
     return out
 
 
-def _set_aside(attributes: str) -> bool:
+def _after_head(page: str, at: int) -> int:
+    """Where a head ends that begins before `at`: after its end tag, or before the first start tag that cannot be in it."""
+    n = len(page)
+    while at < n:
+        m = MARKUP.search(page, at)
+        if m is None:
+            return n if not page[at:].strip() else at
+        if page[at : m.start()].strip():  # text ends a head too
+            return at
+        at = m.end()
+        if m.group() == "<!--":
+            end = page.find("-->", at)
+            at = n if end < 0 else end + 3
+        elif m.group(2) is not None:
+            close, name = m.group(1), m.group(2).lower()
+            if close and name == "head":
+                return at
+            if not close and name not in IN_HEAD:
+                return m.start()
+            if not close and name in SKIPPED and not m.group(3).endswith("/"):
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = end.end() if end else n if name in RAW else at
+    return n
+
+
+def _set_aside(attributes: str, hints: bool = True) -> bool:
+    """Whether an element is hidden or (if its names are hints) named as something other than the article."""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and HINT.search(value):
+        if hints and name in ("class", "id", "role") and HINT.search(value):
             return True
     return False
 

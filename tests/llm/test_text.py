@@ -172,3 +172,19 @@ def test_toxicity_grammar():
     assert len({*plain, *aimed, *denied, *told}) >= 4
     assert of("Der loweiisch war da") == plain and not of("you are not here") and not of("kill the lights.") and of("I will kill you")
     assert of("not. idiot") == plain
+
+
+ARTICLE = " ".join(["a sentence of the article that has some length and no links at all,"] * 6)
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>x</title><body><article><p>{}</p></article></body></html>", "<head><meta charset=utf-8><style>p {{}}</style><p>{}</p>",
+    "<body class='page has-sidebar'><article class='post social'><p>{}</p></article></body>", "<body class='no-sidebar'><p>{}</p></body>",
+    *("<body><" + e + "><article><p>{}</p></article></body>" for e in ("button", "object", "select", "audio", "video", "canvas", "svg", "iframe")),
+])
+def test_optional_end_tags_and_classes_of_the_whole_page(page):
+    assert ARTICLE in html_text.main_text(page.format(ARTICLE), html_text.train())
+
+
+def test_raw_text_without_end_tag_is_no_text():
+    assert "var" not in html_text.main_text(f"<body><p>{ARTICLE}</p><script>var x = 1;", html_text.train())
