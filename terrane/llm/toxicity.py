@@ -27,7 +27,7 @@ by_value(__name__)
 SAMPLE = 12_000
 #: Entries of the learnt lexicon at most.
 LEXICON = 4_000
-#: Documents and contexts that an entry needs at least, and the share of its documents that are toxic.
+#: Distinct texts and contexts that an entry needs at least, and the share of its texts that are toxic.
 SUPPORT, CONTEXTS, PRECISION = 5, 5, 0.9
 #: Lengths of the word beginnings that an entry may be.
 STEMS = (4, 5, 6, 7)
@@ -180,12 +180,13 @@ def evidence(counts: Counter, clauses: int, words: tuple) -> np.ndarray:
 
 
 def learn_lexicon(sample: DataFrame) -> dict:
-    """Words and word beginnings (with a *) that mark toxic rows, after many different words.
+    """Words and word beginnings (with a *) that mark toxic texts, after several different words.
 
-    An entry is INSULT if PRECISION of the rows that have it are toxic, WEAK if
-    that holds only for the rows that have it twice or more. Counting the
-    different words before an entry keeps words out that only one much-copied
-    text holds.
+    An entry is INSULT if PRECISION of the texts that have it are toxic, WEAK if
+    that holds only for the texts that have it twice or more. Equal texts count
+    once for each label, and an entry needs CONTEXTS different words before it
+    however many texts have it, so neither copies nor the sample's size keep a
+    common insult out.
     """
 
     def units(it):
@@ -212,13 +213,12 @@ def learn_lexicon(sample: DataFrame) -> dict:
                 ["unit", "last", "toxic", "clean", "toxic2", "clean2"],
             )
 
-    rows = sample.select("text", "label").mapInArrow(units, "unit string, last string, toxic bigint, clean bigint, toxic2 bigint, clean2 bigint")
+    rows = sample.select("text", "label").distinct().mapInArrow(units, "unit string, last string, toxic bigint, clean bigint, toxic2 bigint, clean2 bigint")
     sums = [F.sum(c).alias(c) for c in ("toxic", "clean", "toxic2", "clean2")]
     by_unit = rows.groupBy("unit", "last").agg(*sums).groupBy("unit").agg(*sums, F.count("last").alias("contexts"))
     sure = lambda t, c: (F.col(t) >= SUPPORT) & (F.col(t) >= PRECISION * (F.col(t) + F.col(c)))
     strength = F.when(sure("toxic", "clean"), INSULT).when(sure("toxic2", "clean2"), WEAK)
-    varied = (F.col("contexts") >= CONTEXTS) & (F.col("contexts") >= 0.5 * F.col("toxic"))
-    good = by_unit.select("unit", "toxic", strength.alias("strength"), varied.alias("varied")).where("varied and strength is not null")
+    good = by_unit.where(F.col("contexts") >= CONTEXTS).select("unit", "toxic", strength.alias("strength")).where("strength is not null")
     return {r["unit"]: r["strength"] for r in good.orderBy(F.desc("toxic"), "unit").limit(LEXICON).collect()}
 
 

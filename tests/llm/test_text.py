@@ -188,3 +188,13 @@ def test_optional_end_tags_and_classes_of_the_whole_page(page):
 
 def test_raw_text_without_end_tag_is_no_text():
     assert "var" not in html_text.main_text(f"<body><p>{ARTICLE}</p><script>var x = 1;", html_text.train())
+
+
+def test_common_and_copied_insults_enter_the_lexicon(spark):
+    heads = ["you", "the", "such", "what", "one", "that", "every", "another"]
+    common = [(f"{heads[n % 8]} zorgbat, number {n}", 1) for n in range(200)]
+    copied = [("some text that is copied and says you gribnol to all", 1)] * 800 + [(f"{heads[n % 8]} gribnol, item {n}", 1) for n in range(100)]
+    one = [("only this one copied text has a word like quellmar in it", 1)] * 300
+    clean = [(f"nothing to see here, item number {n}, for the reader", 0) for n in range(300)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(common + copied + one + clean, "text string, label int"))
+    assert lexicon["zorgbat"] == lexicon["gribnol"] == toxicity.INSULT and "quellmar" not in lexicon
