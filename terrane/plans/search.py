@@ -43,9 +43,11 @@ def parse(query: str) -> list[list[str]]:
 def match(index: DataFrame, query: str, field: str | None = None, near: int = 199) -> DataFrame:
     """(doc_id) of documents that hold every word as a prefix, words of a part close together, parts in order.
 
-    One aggregate over the postings that any word matches: each word's smallest
-    and largest place per document. A part lies before the next if the last
-    of its first places comes before some place of every word of the next.
+    One aggregate over the postings that any word matches keeps all places of
+    each word per document. A part's windows end at a place of one of its
+    words and begin at the earliest of the other words' last places up to
+    there; of the windows that begin after the part before and are narrow
+    enough, the one that ends first leaves most room for the next part.
     """
     parts = parse(query)
     if not parts:
@@ -54,17 +56,17 @@ def match(index: DataFrame, query: str, field: str | None = None, near: int = 19
     rows = index if field is None else index.where(F.col("field") == field)
     rows = rows.where(reduce(lambda a, b: a | b, [F.col("term").startswith(w) for _, w in words]))
     hit = lambda w: F.when(F.col("term").startswith(w), F.col("pos"))
-    by = rows.groupBy("doc_id", "field").agg(*[F.min(hit(w)).alias(f"lo{k}") for k, (_, w) in enumerate(words)], *[F.max(hit(w)).alias(f"hi{k}") for k, (_, w) in enumerate(words)])
-    by = by.where(reduce(lambda a, b: a & b, [F.col(f"lo{k}").isNotNull() for k in range(len(words))]))
+    by = rows.groupBy("doc_id", "field").agg(*[F.array_sort(F.collect_set(hit(w))).alias(f"at{k}") for k, (_, w) in enumerate(words)])
+    by = by.where(reduce(lambda a, b: a & b, [F.size(f"at{k}") > 0 for k in range(len(words))])).withColumn("end", F.lit(-1).cast("bigint"))
     for i, p in enumerate(parts):
-        own = [k for k, (j, _) in enumerate(words) if j == i]
-        if len(own) > 1:
-            by = by.where(F.greatest(*[F.col(f"lo{k}") for k in own]) - F.least(*[F.col(f"lo{k}") for k in own]) - len(own) < near)
-        later = [k for k, (j, _) in enumerate(words) if j == i + 1]
-        if later:
-            first = F.greatest(*[F.col(f"lo{k}") for k in own]) if len(own) > 1 else F.col(f"lo{own[0]}")
-            after = F.least(*[F.col(f"hi{k}") for k in later]) if len(later) > 1 else F.col(f"hi{later[0]}")
-            by = by.where(first < after)
+        own = [f"at{k}" for k, (j, _) in enumerate(words) if j == i]
+        ends = F.array_sort(F.array_distinct(F.flatten(F.array(*own))))
+        last = lambda e: [F.array_max(F.filter(c, lambda x: x <= e)) for c in own]  # noqa: B023, E731
+        start = lambda e: F.least(*last(e)) if len(own) > 1 else last(e)[0]  # noqa: B023, E731
+        every = lambda e: reduce(lambda a, b: a & b, [x.isNotNull() for x in last(e)])  # noqa: B023, E731
+        narrow = lambda e: (e - start(e) - len(own) < near) if len(own) > 1 else F.lit(True)  # noqa: B023, E731
+        fits = F.filter(ends, lambda e: every(e) & (start(e) > F.col("end")) & narrow(e))  # noqa: B023
+        by = by.withColumn("end", F.array_min(fits).cast("bigint")).where("end is not null")
     return by.select("doc_id").distinct()
 
 

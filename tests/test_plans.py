@@ -211,3 +211,11 @@ def test_gar_levels_join_text_ids_and_skip_history(spark):
     links = spark.createDataFrame([(2, 1, 1), (2, 9, 0)], "OBJECTID bigint, PARENTOBJID bigint, ISACTIVE int")
     got = {r.guid: r.title for r in registry.documents([registry.gar_level(rows, links, F.col("NAME"), 0)]).collect()}
     assert got == {"1": "Мира", "2": "Мира, 5"}
+
+
+def test_search_sees_every_place_of_a_word(spark):
+    rows = [(1, "Moscow region, x, Moscow, Arbat"), (2, "Moscow, x, y, Arbat"), (3, "Arbat, x, y, Moscow, x, Arbat, Moscow"), (4, "Arbat, Moscow"), (5, "Moscow"), (6, "Arbat, Moscow, x, y, z, Arbat")]
+    index = search.postings(spark.createDataFrame(rows, "id bigint, title string"), "id", ["title"])
+    found = lambda q: sorted(r.doc_id for r in search.match(index, q).collect())
+    assert found("moscow arbat") == [1, 3, 4, 6]
+    assert found("moscow, arbat") == [1, 2, 3, 6] and found("moscow arbat, arbat") == [6]
