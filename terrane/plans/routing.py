@@ -118,20 +118,24 @@ def _search(edges, source, target, places, factor, both, turns):
 
 METHODS = {"dijkstra": (False, False), "astar": (False, True), "bidirectional": (True, False), "mm": (True, True)}
 
-def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restrictions: DataFrame | None = None, method: str = "mm", factor: float = 0.0, corridor: float = 1.0) -> DataFrame:
+def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restrictions: DataFrame | None = None, method: str = "mm", factor: float = 0.0, corridor: float | None = None) -> DataFrame:
     """(query, cost, path, steps) of queries (query, source, target) over edges (edge, a, b, w) and nodes (node, lat, lon).
 
-    Queries run in parallel, one group each, over the edges that start in their
-    own corridor: the box of both ends and a margin in degrees. Edges meet corridors by
-    an equi-join on one-degree rows of cells. Restrictions (from_edge, to_edge,
+    Queries run in parallel, one group each, over all edges, so costs are the
+    least of the whole graph. A caller who knows that routes stay near may give a
+    corridor: then only edges that start in the box of both ends and that margin in
+    degrees are used, which meet it by an equi-join on one-degree rows of cells, and
+    a route that leaves the box is not found. A query without a route has a
+    null cost. Restrictions (from_edge, to_edge,
     via_node) travel with the edge that they forbid to enter. factor is the least
     cost of a metre, which keeps the estimate admissible.
     """
     both, guided = METHODS[method]
     at = nodes.select("node", "lat", "lon")
     ends = queries.select("query", "source", "target").join(at.toDF("source", "slat", "slon"), "source").join(at.toDF("target", "tlat", "tlon"), "target")
-    south, north = F.least("slat", "tlat") - corridor, F.greatest("slat", "tlat") + corridor
-    west, east = F.least("slon", "tlon") - corridor, F.greatest("slon", "tlon") + corridor
+    margin = 0.0 if corridor is None else corridor
+    south, north = F.least("slat", "tlat") - margin, F.greatest("slat", "tlat") + margin
+    west, east = F.least("slon", "tlon") - margin, F.greatest("slon", "tlon") + margin
     ends = ends.select("query", "source", "target", south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
     cells = ends.withColumn("cell", F.explode(F.sequence(F.floor("south").cast("int"), F.floor("north").cast("int"))))
     e = edges.select("edge", "a", "b", F.col("w").cast("double").alias("w")).join(at.toDF("a", "alat", "alon"), "a").withColumn("cell", F.floor("alat").cast("int"))
@@ -140,10 +144,17 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
     else:
         by_turn = restrictions.groupBy(F.col("to_edge").alias("edge"), F.col("via_node").alias("a")).agg(F.collect_set("from_edge").alias("banned"))
         e = e.join(by_turn, ["edge", "a"], "left")
-    rows = cells.join(e, "cell").where("alat between south and north and alon between west and east").select("query", "source", "target", "edge", "a", "b", "w", "alat", "alon", "banned")
+    columns = ["edge", "a", "b", "w", "alat", "alon", "banned"]
+    if corridor is None:
+        rows = F.broadcast(ends.select("query", "source", "target")).crossJoin(e.select(*columns))
+    else:
+        rows = cells.join(e, "cell").where("alat between south and north and alon between west and east").select("query", "source", "target", *columns)
+    bare = ends.select("query", "source", "target", *[F.lit(None).cast(e.schema[c].dataType).alias(c) for c in columns])  # a row of each query, also of those without edges
+    rows = rows.unionByName(bare)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
+        group = group[group["edge"].notna()].astype({"edge": "int64", "a": "int64", "b": "int64"})
         graph = list(zip(group["edge"].tolist(), group["a"].tolist(), group["b"].tolist(), group["w"].tolist()))
         places = dict(zip(group["a"].tolist(), zip(group["alat"], group["alon"]))) if guided else {}
         turns = {(int(f), int(t), int(v)) for t, v, banned in zip(group["edge"], group["a"], group["banned"]) if banned is not None for f in banned}

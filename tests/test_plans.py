@@ -219,3 +219,11 @@ def test_search_sees_every_place_of_a_word(spark):
     found = lambda q: sorted(r.doc_id for r in search.match(index, q).collect())
     assert found("moscow arbat") == [1, 3, 4, 6]
     assert found("moscow, arbat") == [1, 2, 3, 6] and found("moscow arbat, arbat") == [6]
+
+
+def test_shortest_paths_leave_the_box_of_their_ends(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 9.0, 0.5), (4, 50.0, 50.0)], "node bigint, lat double, lon double")
+    edges = spark.createDataFrame([(10, 1, 2, 9.0), (11, 1, 3, 1.0), (12, 3, 2, 1.0)], "edge bigint, a bigint, b bigint, w double")
+    queries = spark.createDataFrame([(1, 1, 2), (2, 4, 1)], "query bigint, source bigint, target bigint")
+    got = {r.query: (r.cost, list(r.path)) for r in routing.shortest_paths(queries, edges, nodes).collect()}
+    assert got[1] == (2.0, [11, 12]) and (got[2][0] is None or got[2][0] != got[2][0]) and got[2][1] == []
