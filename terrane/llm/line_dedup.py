@@ -1,11 +1,13 @@
 """Fuzzy line deduplication with DataFrame functions alone.
 
-Character shingles of a line are hashed; its smallest hashes, in order, are its
-signature (bottom-k MinHash). Bands are runs of three of them: lines of
-similarity 0.8 share a run of three among a union's 18 smallest hashes with
-probability 0.998. Exact Jaccard over whole shingle sets verifies all candidates
-that are not in one component already, and connected components of the verified
-pairs are the classes.
+Lines become distinct forms. A form's character shingles are hashed; its smallest
+hashes, in order, are its signature (bottom-k MinHash), and runs of three of them
+are its bands: forms of similarity 0.8 share a run of three among a union's 18
+smallest hashes with probability 0.998. Every form of a bucket is verified against
+the bucket's hub by exact Jaccard; then all bucket mates that are still in
+different components are held against an exact bound on their similarity, and
+all that pass it are verified. Connected components of the verified pairs are the
+classes.
 """
 
 from __future__ import annotations
@@ -13,132 +15,205 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, named_as, numbered, table
+from .common import Scratch, named_as, numbered, small, table
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: Smallest hashes of a signature, and how many in a row make a band. Without a run of 3 in 18 at 0.8: probability 0.0023.
 LEAST, RUN = 18, 3
-#: Share of a signature that must agree before texts are compared; a pair of similarity 0.8 has less with probability 0.001.
-AGREE = 0.5
+#: Hashes of a form that are gathered, about; where fewer than LEAST distinct ones come, the form is signed anew by all its hashes.
+GATHERED = 32
+#: Longs of a form's bitmap of shingles.
+LONGS = 64
 #: Forms of a bucket that meet in one join key.
 BLOCK = 1_000
-#: Characters of a line whose shingles are held at once; longer lines are hashed in pieces.
-PIECE = 16_384
-#: Rows that may be broadcast (two or three longs each, under 50 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df marked for a broadcast if its checked size allows it. df must be cheap to count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) of all lines; null ids and null texts have none."""
+    """(doc_id, mark, line_no, line) of all lines; null ids and null texts have none. mark: hash of the text, to tell repeated ids apart."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return d.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _with_id(lines: DataFrame) -> DataFrame:
-    """Non-blank lines with their normal form (trimmed, lower case) and its hash."""
-    return lines.withColumn("norm", F.lower(F.trim("line"))).where("norm <> ''").withColumn("id", F.xxhash64("norm"))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with their normal form (trimmed, lower case) and its 128-bit hash (h1, h2)."""
+    normal = lines.select("doc_id", "mark", "line_no", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
+    return normal.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
-def _shingles(text: str, k: int) -> str:
-    """SQL for a string's shingles: all runs of k characters, or the whole of a shorter string."""
-    return f"if(length({text}) < {k}, array({text}), regexp_extract_all({text}, '(?s)(?=(.{{{k}}}))', 1))"
-
+def _hashes(forms: DataFrame, keys: list[str], k: int, first: tuple = (), gathered: int | None = None) -> DataFrame:
+    """(keys, h): a row for the hash of each shingle of norm (runs of k characters, or a whole shorter string).
 
-def _least(text: str, k: int) -> str:
-    """SQL for the LEAST smallest distinct hashes of a string's shingles, in order."""
-    return f"slice(sort_array(array_distinct(transform({_shingles(text, k)}, x -> xxhash64(x)))), 1, {LEAST})"
+    gathered: only the hashes below a bound that about that many fall under.
+    first: columns that one more row for each form, with a null h, carries as
+    one struct with w, the number of its shingles. Shingles are cut from a
+    fixed-width encoding, inside generated code.
+    """
+    g = forms.withColumn("b", F.encode("norm", "UTF-32")).withColumn("w", F.expr(f"greatest(cast(length(b) / 4 as int) - {k - 1}, 1)"))
+    bound = "9223372036854775807L" if gathered is None else f"if(w <= {gathered}, 9223372036854775807L, cast(1.8446744073709552E19D * {gathered} / w - 9.223372036854775808E18D as bigint))"
+    g = g.withColumn("bound", F.expr(bound)).select(*keys, *first, "w", "b", "bound", F.explode(F.expr(f"sequence({0 if first else 1}, w)")).alias("i"))
+    h = F.expr(f"xxhash64(substring(b, 4 * i - 3, {4 * k}))")
+    if not first:
+        return g.select(*keys, "bound", h.alias("h")).where("h <= bound").select(*keys, "h")
+    once = F.when(F.col("i") == 0, F.struct(*first, "w")).alias("first")
+    return g.select(*keys, once, "bound", F.when(F.col("i") > 0, h).alias("h")).where("h is null or h <= bound").select(*keys, "first", "h")
 
 
 def _band_keys(s: str) -> Column:
-    """Keys of the runs of a signature (a column's name); signatures of under ten hashes also have their pairs and themselves."""
+    """Keys of the runs of a signature; those of four or five hashes have their pairs, those of one or two themselves as well.
+
+    Sets of six or more hashes with similarity 0.8 always have a run in common
+    if all their hashes are in their signatures.
+    """
     runs = f"transform(slice({s}, 1, greatest(size({s}) - {RUN - 1}, 0)), (x, i) -> xxhash64(0, x, {s}[i + 1], {s}[i + 2]))"
-    few = f"if(size({s}) between 1 and 9, concat(transform(slice({s}, 1, size({s}) - 1), (x, i) -> xxhash64(1, x, {s}[i + 1])), array(xxhash64(2, {s}))), array())"
-    return F.expr(f"concat({runs}, {few})")
+    pairs = f"if(size({s}) in (4, 5), transform(slice({s}, 1, size({s}) - 1), (x, i) -> xxhash64(1, x, {s}[i + 1])), array())"
+    return F.expr(f"concat({runs}, {pairs}, if(size({s}) in (1, 2), array(xxhash64(2, {s})), array()))")
 
 
-def signed_lines(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, line_no, id, keys) of lines with id and norm, signed by all their shingles: one pass over the texts, no text shuffled.
+def _least(column: str = "h") -> Column:
+    return F.slice(F.sort_array(F.array_distinct(F.collect_list(column))), 1, LEAST)
 
-    Lines over PIECE characters are hashed piece by piece; their pieces' minima meet by id.
+
+def signed_forms(lines: DataFrame, scratch: Scratch, k: int = SHINGLE) -> DataFrame:
+    """(id, h1, h2, pos, n, keys) of the distinct forms of _hashed lines, as a written table.
+
+    pos is the smallest (doc_id, line_no, mark) and n the number of a form's
+    lines. One shuffle carries each distinct text once a task; the form is
+    signed where it arrives. Forms that gather too few hashes, because they
+    repeat the same shingles, come out with their text and are signed by all of
+    their hashes.
+    """
+    forms = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("pos"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"))
+    rows = _hashes(forms, ["h1", "h2"], k, ("pos", "n", "norm"), GATHERED).groupBy("h1", "h2").agg(F.first("first", ignorenulls=True).alias("f"), _least().alias("s"))
+    few = (F.size("s") < LEAST) & (F.col("f.w") > GATHERED)
+    rows = rows.select("h1", "h2", "f.pos", "f.n", F.when(few, F.col("f.norm")).alias("norm"), "s")
+    some = scratch.keep(rows.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "pos", "n", "norm", F.when(F.col("norm").isNull(), _band_keys("s")).alias("keys")), "some")
+    anew = _hashes(some.where("norm is not null"), ["id"], k).distinct().groupBy("id").agg(_least().alias("s")).select("id", _band_keys("s").alias("keys"))
+    anew = scratch.keep(anew, "anew")
+    out = some.alias("a").join(small(anew.withColumnRenamed("keys", "more")), "id", "left")
+    return out.select("id", "h1", "h2", "pos", "n", F.coalesce("keys", "more").alias("keys"))
+
+
+def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(id, w, x): each form's number of shingles, repeats included, and the bitmap of their hashes, as an array of longs."""
+    word = F.expr(f"cast(shiftright(h, 6) & {LONGS - 1} as int)").alias("word")
+    words = _hashes(texts, ["id"], k).groupBy("id", word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("x"), F.count(F.lit(1)).alias("w"))
+    forms = words.groupBy("id").agg(F.sum("w").alias("w"), F.collect_list(F.struct("word", "x")).alias("l"))
+    # the map is a lambda's argument, so that it is built once and not for every long
+    longs = f"transform(array(map_from_entries(l)), m -> transform(sequence(0, {LONGS - 1}), j -> coalesce(m[j], 0L)))[0]"
+    return forms.select("id", "w", F.expr(longs).alias("x"))
+
+
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether two forms' bitmaps allow that similarity: no pair that has it is ruled out.
+
+    Each bit that differs comes from a shingle that only one of both has. With a
+    similarity s, (1 - s) / (1 + s) of both sets' sizes is the most that can differ;
+    w is a set's size or more.
     """
-    some = lines.where(F.length("norm") <= PIECE).select("doc_id", "line_no", "id", F.expr(_least("norm", k)).alias("s"))
-    some = some.select("doc_id", "line_no", "id", _band_keys("s").alias("keys"))
-    long = lines.where(F.length("norm") > PIECE)
-    pieces = long.select("id", "norm", F.explode(F.expr(f"sequence(1, length(norm) - {k - 1}, {PIECE})")).alias("at"))
-    pieces = pieces.select("id", F.expr(f"substring(norm, at, {PIECE + k - 1})").alias("piece")).select("id", F.expr(_least("piece", k)).alias("s"))
-    whole = pieces.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))), 1, LEAST).alias("s"))
-    return some.unionByName(long.select("doc_id", "line_no", "id").join(whole.select("id", _band_keys("s").alias("keys")), "id"))
-
-
-def _near(similarity: float) -> Column:
-    """Whether two forms' sizes (n_x, n_y) allow that similarity and their signatures (s_x, s_y) agree."""
-    sizes = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y")
-    common = F.array_intersect("s_x", "s_y")
-    some = F.size(common) >= F.lit(AGREE) * F.greatest(F.size("s_x"), F.size("s_y"))  # holds whenever the next does, and is cheaper
-    union = F.slice(F.sort_array(F.array_union("s_x", "s_y")), 1, LEAST)
-    return sizes & some & (F.size(F.array_intersect(common, union)) >= F.lit(AGREE) * F.size(union))
-
-
-def _verified(near: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity, as checkpointed rows."""
+    differ = f"aggregate(zip_with({a}.x, {b}.x, (u, v) -> bit_count(u ^ v)), 0, (n, v) -> n + v)"
+    return F.expr(f"{differ} <= ({a}.w + {b}.w) * {(1 - similarity) / (1 + similarity) + 1e-9}D")
+
+
+def _shingles(text: str, k: int) -> str:
+    """SQL for the hashes of a string's distinct shingles."""
+    return f"array_distinct(transform(if(length({text}) < {k}, array({text}), regexp_extract_all({text}, '(?s)(?=(.{{{k}}}))', 1)), v -> xxhash64(v)))"
+
+
+def _verified(near: DataFrame, texts: DataFrame, scratch: Scratch, name: str, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
     both = near.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    sets = both.select("a", "b", F.expr(f"array_distinct({_shingles('x', k)})").alias("x"), F.expr(f"array_distinct({_shingles('y', k)})").alias("y"))
+    sets = both.select("a", "b", F.expr(_shingles("x", k)).alias("x"), F.expr(_shingles("y", k)).alias("y"))
     shared = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     # written before the filter, which Spark would otherwise push below the sets and so build them several times
-    return checkpointed(shared).where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n"))).select("a", "b")
-
-
-def _linked(found: DataFrame) -> DataFrame:
-    return checkpointed(connected_components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root")))
+    return scratch.keep(shared, name).where(F.col("n") >= F.lit(similarity) * (F.col("m") - F.col("n")) - 1e-9).select("a", "b")
 
 
-def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """All near pairs (a, b) of bucket mates in different components.
+def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, texts: DataFrame, scratch: Scratch, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of bucket mates in different components that may be similar, each once.
 
-    A bucket is cut into blocks of about BLOCK forms and every two blocks meet
-    in a join key of their own, so no key makes more than some BLOCK squared
-    comparisons. Pairs that are not near are dropped inside the join.
+    The hub of a bucket has met all its mates already. The others are cut into
+    blocks of about BLOCK forms and every two blocks meet in a join key of their
+    own, so no key makes more than some BLOCK squared comparisons. Pairs that
+    cannot be similar, and those that share a smaller key, end inside the join.
     """
-    now = checkpointed(members.join(linked, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    now = members.where("id <> hub").join(small(linked), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    now = scratch.keep(now, "now")
     mixed = now.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("last")).where("r < last")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = now.join(mixed.select("key", blocks.alias("of")), "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int"))
-    rows = checkpointed(rows.join(marks, "id").select("key", "of", "own", "id", "root", "n", "s"))
-    x = rows.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, of - 1)")).alias("j"), F.col("id").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("n_x"), F.col("s").alias("s_x"))
-    y = rows.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("id").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("n_y"), F.col("s").alias("s_y"))
-    once = F.expr("p_root <> q_root and (i < j or p < q)")
-    both = x.join(y, ["key", "i", "j"]).where(once & _near(similarity))
-    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
-def line_classes(rows: DataFrame, lines: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) for the normal forms that have a fuzzy duplicate; rows: signed_lines, lines: with id and norm.
-
-    First each bucket's forms are verified against its smallest one, as many
-    pairs as the buckets have members, which joins the large classes. Then
-    all bucket mates that are still in different components are compared,
-    so no link between bucket mates depends on the order of forms, on the
-    size of a bucket or on the rest of the corpus.
+    mixed = scratch.keep(mixed.select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("of")), "mixed")
+    rows = scratch.keep(now.join(small(mixed), "key"), "rows")
+    held = rows.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # LEAST keys at most
+    held = scratch.keep(marks.join(held, "id"), "with")
+    # where a bitmap has far fewer bits than so many different shingles would set, the repeats are left out of w
+    repeats = held.where(f"aggregate(x, 0, (n, v) -> n + bit_count(v)) < 0.9 * {64 * LONGS} * (1 - exp(-w / {64 * LONGS}D))").select("id")
+    sizes = texts.join(small(scratch.keep(repeats, "repeats")), "id", "left_semi").select("id", F.size(F.expr(_shingles("norm", k))).alias("size"))
+    sizes = scratch.keep(sizes, "sizes")
+    held = scratch.keep(held.join(small(sizes), "id", "left").withColumn("w", F.coalesce("size", "w")).drop("size"), "held")
+    rows = rows.join(held, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int"))
+    form = ["id", "root", "keys", "w", "x"]
+    x = rows.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, of - 1)")).alias("j"), *form).alias("p")
+    y = rows.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), *form).alias("q")
+    once = F.expr("p.root <> q.root and (p.i < p.j or p.id < q.id)")
+    sizes = F.expr(f"least(p.w, q.w) >= {similarity} * greatest(p.w, q.w) - 1e-9D")
+    least = F.expr("p.key = array_min(array_intersect(p.keys, q.keys))")
+    same = F.expr("p.key = q.key and p.i = q.i and p.j = q.j")
+    both = x.join(y, same & once & sizes & _may_link("p", "q", similarity) & least)
+    out = both.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+    out = scratch.keep(out, "apart")
+    scratch.drop("now", "mixed", "rows", "with", "repeats", "sizes", "held")
+    return out
+
+
+def line_classes(forms: DataFrame, lines: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
+    """(id, root) for the forms that have a fuzzy duplicate.
+
+    forms: id and keys; lines: norm; both have either id or (h1, h2) to meet by.
+
+    First each bucket's forms are verified against its hub, the one that shares
+    most with others, as many pairs as the buckets have members; this joins the
+    large classes. Then all bucket mates that are still in different components are
+    compared, so no link between bucket mates depends on the order of forms,
+    on the size of a bucket or on the rest of the corpus.
     """
-    bands = rows.select("id", F.explode("keys").alias("key"))
-    full = checkpointed(bands.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("key", "rep"))
-    members = checkpointed(bands.join(_small(full), "key").select("key", "rep", "id").distinct())
-    wanted = checkpointed(members.select("id").distinct())
-    texts = lines.select("id", "norm").join(_small(wanted), "id", "left_semi").groupBy("id").agg(F.first("norm").alias("norm"))
-    hashes = texts.withColumn("h", F.expr(f"sort_array(array_distinct(transform({_shingles('norm', k)}, x -> xxhash64(x))))"))
-    texts = checkpointed(hashes.select("id", "norm", F.size("h").alias("n"), F.slice("h", 1, LEAST).alias("s")))
-    marks = texts.select("id", "n", "s")
-    stars = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(marks.toDF("a", "n_x", "s_x"), "a").join(marks.toDF("b", "n_y", "s_y"), "b")
-    found = _verified(checkpointed(stars.where(_near(similarity)).select("a", "b")), texts, k, similarity)
-    rest = checkpointed(_apart(members.select("key", "id"), _linked(found), marks, similarity))
-    return _linked(found.unionByName(_verified(rest, texts, k, similarity)))
+    scratch = scratch or Scratch(forms.sparkSession, "lines")
+    by = ["id"] if "id" in lines.columns else ["h1", "h2"]
+    bands = forms.select("id", F.explode("keys").alias("key"))
+    full = scratch.keep(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "full")
+    members = scratch.keep(bands.join(small(full), "key").select("key", "id", "m"), "shared")
+    shares = scratch.keep(members.groupBy("id").agg(F.sum(F.log2("m")).alias("shares")), "shares")
+    wanted = scratch.keep(forms.join(small(shares.select("id")), "id", "left_semi").select(*{"id", *by}), "wanted")
+    texts = lines.select(*by, "norm").join(small(wanted), by).groupBy("id").agg(F.first("norm").alias("norm"))
+    texts = scratch.keep(texts, "texts")
+    marks = scratch.keep(_bitmaps(texts, k), "marks")
+    hubs = members.join(small(shares), "id").groupBy("key").agg(F.max(F.struct("shares", "id"))["id"].alias("hub"))
+    members = scratch.keep(members.join(small(scratch.keep(hubs, "hubs")), "key").select("key", "id", "hub"), "members")
+    stars = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    near = stars.join(marks.alias("p"), F.col("a") == F.col("p.id")).join(marks.alias("q"), (F.col("b") == F.col("q.id")) & _may_link("p", "q", similarity))
+    found = _verified(near.select("a", "b"), texts, scratch, "found", k, similarity)
+    linked = scratch.keep(_linked(found), "linked")
+    rest = _apart(members, linked, marks, texts, scratch, k, similarity)
+    more = _verified(rest, texts, scratch, "more", k, similarity)
+    out = scratch.keep(_linked(found.unionByName(more)), "classes")
+    scratch.drop("full", "shared", "shares", "wanted", "texts", "marks", "hubs", "members", "found", "linked", "apart", "more")
+    return out
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    return connected_components(found, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("root"))
+
+
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(lines, keeps): _hashed lines, and (h1, h2, keep) of the forms that stand in several lines or are in a class of several forms."""
+    lines = _hashed(lines_of(docs, id_col, text_col))
+    scratch = Scratch(docs.sparkSession, "lines")
+    forms = signed_forms(lines, scratch, k)
+    classes = line_classes(forms, lines, k, similarity, scratch)
+    roots = forms.join(small(classes), "id", "left").where("root is not null or n > 1").select("h1", "h2", "pos", F.coalesce("root", "id").alias("root"))
+    roots = scratch.keep(roots, "roots")
+    heads = roots.groupBy("root").agg(F.min("pos").alias("keep"))
+    keeps = scratch.keep(roots.join(heads, "root").select("h1", "h2", "keep"), "keeps")
+    scratch.drop("some", "anew", "classes", "roots")
+    return lines.select("doc_id", "mark", "line_no", "h1", "h2"), keeps
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -147,32 +222,32 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines are compared trimmed and in lower case. Of each class the line
     with the smallest (doc_id, line_no) is kept. Blank lines are no duplicates
     and have no row; documents with a null id or a null text have none either.
-    Rows that repeat a doc_id are one document. A line shorter than a shingle
+    Rows with one doc_id and different texts are different documents, rows with
+    one doc_id and one text are the same document. A line shorter than a shingle
     is its own shingle. An empty table gives no rows; other columns are
     ignored.
     """
-    lines = _with_id(lines_of(docs, id_col, text_col))
-    rows = checkpointed(signed_lines(lines, k))
-    at = rows.select("doc_id", "line_no", "id")
-    classes = line_classes(rows, lines, k, similarity)
-    forms = at.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    roots = forms.join(classes, "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
-    heads = roots.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    several = roots.join(heads.select("root", "keep"), "root").select("id", "keep")
-    out = at.join(several, "id", "left")
-    keep = F.coalesce("keep", F.struct("doc_id", "line_no"))
-    return out.select("doc_id", "line_no", keep["doc_id"].alias("keep_doc_id"), keep["line_no"].alias("keep_line_no"), (keep == F.struct("doc_id", "line_no")).alias("kept"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    lines, keeps = _kept_lines(docs, id_col, text_col, k, similarity)
+    out = lines.join(small(keeps), ["h1", "h2"], "left")
+    own = F.struct("doc_id", "line_no", "mark")
+    keep = F.coalesce("keep", own)
+    return out.select("doc_id", "line_no", keep["doc_id"].alias("keep_doc_id"), keep["line_no"].alias("keep_line_no"), (keep == own).alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with their texts less the lines that are not kept; all rows and columns stay.
 
     A document that loses all its lines has an empty text. Null texts and
-    documents with null ids are as they were.
+    documents with null ids are as they were. Of rows that repeat an id, each
+    loses the lines of its own text only.
     """
-    gone = line_decisions(docs, id_col, text_col, **how).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    lines, keeps = _kept_lines(docs, id_col, text_col, k, similarity)
+    gone = lines.join(small(keeps), ["h1", "h2"]).where(F.col("keep") != F.struct("doc_id", "line_no", "mark"))
+    gone = Scratch(docs.sparkSession, "gone").keep(gone.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("gone")), "gone")
+    n = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     at, text = f"_{docs.columns.index(id_col)}", f"_{docs.columns.index(text_col)}"
-    out = numbered(docs).withColumn("lines", F.split(F.col(text), "\n", -1)).join(gone, F.col(at) == F.col("doc_id"), "left")
+    same = (F.col(at) == F.col("doc_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("mark"))
+    out = numbered(docs).withColumn("lines", F.split(F.col(text), "\n", -1)).join(small(gone, n or 1), same, "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     joined = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
     return named_as(out.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(joined)), docs)
