@@ -265,10 +265,10 @@ def subarea_levels(spark, sf_dir):
     return hierarchy.descendants(edges, reg.where("id = 'R2'").select("id"), "parent", "child", 2)
 
 
-@query("""with m as (select distinct l_orderkey, l_partkey from lineitem where l_orderkey % 7 = 0)
+@query("""with m as (select distinct l_orderkey, l_partkey from lineitem)
 select distinct x.l_orderkey as a, y.l_orderkey as b from m x join m y on x.l_partkey = y.l_partkey and x.l_orderkey < y.l_orderkey""")
 def shared_node_pairs(spark, sf_dir):
-    return graph.shared_node_pairs(ways(spark, sf_dir).where("id % 7 = 0"))
+    return graph.shared_node_pairs(ways(spark, sf_dir))
 
 
 @query("""with f as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as pos, count(*) over (partition by l_orderkey) as n from lineitem)
@@ -296,12 +296,12 @@ def edge_segmentation(spark, sf_dir):
     return out.select("l_orderkey", "edge_no", "from_pos", "to_pos", "n_points", F.round("distance", 2).alias("distance"))
 
 
-@query("""with e as (select l_orderkey * 10 + l_linenumber as edge, l_orderkey as way, l_partkey as from_node, l_suppkey as to_node from lineitem where l_orderkey % 5 = 0),
-r as (select distinct l_orderkey as from_way, l_orderkey as to_way, l_partkey as via_node from lineitem where l_orderkey % 5 = 0)
+@query("""with e as (select l_orderkey * 10 + l_linenumber as edge, l_orderkey as way, l_partkey as from_node, l_suppkey as to_node from lineitem),
+r as (select distinct l_orderkey as from_way, l_orderkey as to_way, l_partkey as via_node from lineitem)
 select distinct f.edge as from_edge, t.edge as to_edge, r.via_node from r
 join e f on f.way = r.from_way and (f.from_node = r.via_node or f.to_node = r.via_node) join e t on t.way = r.to_way and (t.from_node = r.via_node or t.to_node = r.via_node)""")
 def restriction_lift(spark, sf_dir):
-    return _lifted(table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0"))
+    return _lifted(table(spark, sf_dir, "lineitem"))
 
 
 def _lifted(l):
@@ -475,21 +475,19 @@ def point_in_polygon(spark, sf_dir):
     return customer_points(spark, sf_dir).where(geo.in_ring(F.col("lat"), F.col("lon"), PENTAGON)).select("c_custkey")
 
 
-def rings(spark, sf_dir, most: int | None = None):
+def rings(spark, sf_dir):
     p = customer_points(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
-    if most is not None:
-        p = p.where(F.col("rn") <= most)
     shape = F.transform(F.array_sort(F.collect_list(F.struct("rn", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
     return p.groupBy("c_nationkey").agg(shape.alias("ring"))
 
 
-RING_SQL = f"""{CP_SQL}, o as (select c_nationkey, lat, lon, row_number() over (partition by c_nationkey order by c_custkey) as rn from cp), r as (select * from o where rn <= 40),
+RING_SQL = f"""{CP_SQL}, o as (select c_nationkey, lat, lon, row_number() over (partition by c_nationkey order by c_custkey) as rn from cp), r as (select * from o),
 s as (select *, coalesce(lead(lat) over w, first_value(lat) over w) as lat2, coalesce(lead(lon) over w, first_value(lon) over w) as lon2 from r window w as (partition by c_nationkey order by rn))"""
 
 
 @query(f"with {RING_SQL} select c_nationkey, case when abs(sum(lon * lat2 - lon2 * lat)) < 0.0001 then 0.0 else round(sum(lon * lat2 - lon2 * lat) / 2, 4) end as area from s group by c_nationkey")
 def polygon_area(spark, sf_dir):
-    return _areas_of(rings(spark, sf_dir, 40))
+    return _areas_of(rings(spark, sf_dir))
 
 
 def _areas_of(r):
@@ -501,7 +499,7 @@ def _areas_of(r):
 def centroid(spark, sf_dir):
     from .plans.places import area_centroid
 
-    r = rings(spark, sf_dir, 40).where(F.abs(geo.ring_area(F.col("ring"))) > 1).withColumn("c", area_centroid(F.col("ring")))
+    r = rings(spark, sf_dir).where(F.abs(geo.ring_area(F.col("ring"))) > 1).withColumn("c", area_centroid(F.col("ring")))
     return r.select("c_nationkey", F.round("c.lat", 4).alias("lat"), F.round("c.lon", 4).alias("lon"))
 
 
@@ -516,9 +514,9 @@ def shift_longitude(spark, sf_dir):
 
 
 @query(f"""with {CP_SQL}, o as (select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) as rn, radians(lon - 10.0) * 6371000.0 * cos(radians(20.0)) * 0.001 + 400 as x, 300 - radians(lat - 20.0) * 6371000.0 * 0.001 as y from cp)
-select c_nationkey, 'M' || string_agg(printf('%.2f', x) || ' ' || printf('%.2f', y), ' L' order by rn) || ' Z' as path from o where rn <= 12 group by c_nationkey""")
+select c_nationkey, 'M' || string_agg(printf('%.2f', x) || ' ' || printf('%.2f', y), ' L' order by rn) || ' Z' as path from o group by c_nationkey""")
 def svg_path(spark, sf_dir):
-    return _paths_of(_customer_rows(spark, sf_dir).where("rn <= 12"))
+    return _paths_of(_customer_rows(spark, sf_dir))
 
 
 def _customer_rows(spark, sf_dir):
@@ -637,7 +635,7 @@ def geojson_lines(spark, sf_dir):
     return render.geojson_collection(r.withColumn("one", F.lit(1)), "feature", ["one"], ["c_nationkey"]).drop("one")
 
 
-# The SQL of these queries' namesakes covers a part of the tables; these cover the whole and are held against brute force.
+# These are held against brute force as well; centroid_whole also has the rings without an area.
 
 
 @query()
