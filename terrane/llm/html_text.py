@@ -33,7 +33,12 @@ HINT = re.compile(
     re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-MARKUP = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""")
+#: A tag: quotes hold a `>` only as a value, after `=`. A tag whose quotes never close ends at its first `>`.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+OPEN = re.compile(r"</?[a-zA-Z]")
+#: Comments, declarations and what else is no tag; its second group is None.
+OTHER = re.compile(r"<!--|<[!?/][^>]*>")
 
 # The small labelled table: words and link density of a block, of the one before and of the one after, whether a container
 # sets it aside, whether it is in an article or main element, whether the page has one, whether it is a heading; 1: main text.
@@ -122,12 +127,39 @@ def judge(tree, x) -> float:
     return tree
 
 
+class Markup:
+    """The tags and other markup of a page in order. Each character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.tag = page, page.rfind(">"), TAG
+        self.ends: dict[str, int] = {}  # where the next end tag of an element ends, -1: there is none
+
+    def next(self, at: int):
+        """The next match from `at` on: of a tag (groups: slash, name, attributes) or of something else (no groups); None: there is none."""
+        while 0 <= (at := self.page.find("<", at)) < self.last:
+            m = self.tag.match(self.page, at)
+            if m is None and OPEN.match(self.page, at):  # its quotes do not close on this page, nor do others have to
+                self.tag = LOOSE
+                m = LOOSE.match(self.page, at)
+            if m := m or OTHER.match(self.page, at):
+                return m
+            at += 1
+        return None
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the element's next end tag from `at` on ends, -1: there is none."""
+        if name not in self.ends or 0 <= self.ends[name] < at:
+            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, at)
+            self.ends[name] = -1 if end is None else end.end()
+        return self.ends[name]
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, set aside, inside article or main, heading) of a page's text blocks in order."""
     out, text, linked, links, heading = [], [], 0, 0, False
     holders: list[tuple[str, bool, bool]] = []  # name, sets aside, is or is in an article
     at, n = 0, len(page)
-    ends: dict[str, int] = {}  # where the next end tag of a skipped element ends, -1: there is none
+    markup = Markup(page)
 
     def flush():
         nonlocal text, linked
@@ -145,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             linked += len(s.split())
 
     while at < n:
-        m = MARKUP.search(page, at)
+        m = markup.next(at)
         if m is None:
             rest = page[at:]
             cut = rest.rfind("<")
@@ -160,20 +192,17 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             end = page.find("-->", at)
             at = n if end < 0 else end + 3
             continue
-        if m.group(2) is None:
+        if not m.re.groups:
             continue
         close, name, attributes = m.group(1), m.group(2).lower(), m.group(3)
         if name in SKIPPED and not close and not attributes.endswith("/"):
             if name in BREAKING or name in ("head", "title"):
                 flush()
             if name == "head":
-                at = _after_head(page, at)
+                at = _after_head(markup, at)
                 continue
-            if name not in ends or 0 <= ends[name] < at:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                ends[name] = -1 if end is None else end.end()
-            if ends[name] >= 0:
-                at = ends[name]
+            if (end := markup.end_of(name, at)) >= 0:
+                at = end
             elif name in RAW:
                 at = n
             continue
@@ -198,11 +227,11 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     return out
 
 
-def _after_head(page: str, at: int) -> int:
+def _after_head(markup: Markup, at: int) -> int:
     """Where a head ends that begins before `at`: after its end tag, or before the first start tag that cannot be in it."""
-    n = len(page)
+    page, n = markup.page, len(markup.page)
     while at < n:
-        m = MARKUP.search(page, at)
+        m = markup.next(at)
         if m is None:
             return n if not page[at:].strip() else at
         if page[at : m.start()].strip():  # text ends a head too
@@ -211,15 +240,15 @@ def _after_head(page: str, at: int) -> int:
         if m.group() == "<!--":
             end = page.find("-->", at)
             at = n if end < 0 else end + 3
-        elif m.group(2) is not None:
+        elif m.re.groups:
             close, name = m.group(1), m.group(2).lower()
             if close and name == "head":
                 return at
             if not close and name not in IN_HEAD:
                 return m.start()
             if not close and name in SKIPPED and not m.group(3).endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n if name in RAW else at
+                end = markup.end_of(name, at)
+                at = end if end >= 0 else n if name in RAW else at
     return n
 
 
@@ -240,8 +269,9 @@ def main_text(page: str, tree) -> str:
     has = float(any(b[3] for b in found))
     kept = []
     for k, (text, links, aside, inside, heading) in enumerate(found):
-        before = size[k - 1] if k else (0, 0.0)
-        after = size[k + 1] if k + 1 < len(size) else (0, 0.0)
+        # an article's blocks have their neighbours in the article
+        before = size[k - 1] if k and found[k - 1][3] >= inside else (0, 0.0)
+        after = size[k + 1] if k + 1 < len(size) and found[k + 1][3] >= inside else (0, 0.0)
         if judge(tree, (size[k][0], links, *before, *after, aside, inside, has, heading)) >= 0.5:
             kept.append(text)
     return "\n\n".join(kept)

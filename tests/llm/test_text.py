@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 
 import duckdb
@@ -198,3 +199,35 @@ def test_common_and_copied_insults_enter_the_lexicon(spark):
     clean = [(f"nothing to see here, item number {n}, for the reader", 0) for n in range(300)]
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(common + copied + one + clean, "text string, label int"))
     assert lexicon["zorgbat"] == lexicon["gribnol"] == toxicity.INSULT and "quellmar" not in lexicon
+
+
+PARTS = ["One two three four five six seven eight nine ten eleven twelve thirteen.", "A second paragraph that has some more words in it than the first one has."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="has-sidebar"><article>{}</article></body></html>',
+        '<body><main class="content with-sidebar">{}</main></body>',
+        '<article class="post tags">{}</article>',
+        "<html><head><title>x</title><body><article>{}</article>",
+        "<nav><a>Home page</a></nav><article>{}</article>",
+        '<article title=it"s>{}<p></p></article>',
+        '<article title="it>{}</article>',
+    ],
+)
+def test_articles_of_many_shapes_are_whole(page):
+    tree = html_text.train()
+    assert html_text.main_text(page.format("".join(f"<p>{p}</p>" for p in PARTS)), tree) == "\n\n".join(PARTS)
+
+
+def test_a_short_heading_after_links_stays():
+    page = f"<nav><a>Home page</a></nav><article><h1>Short title</h1><p>Short para here.</p><p>{PARTS[0]}</p></article>"
+    assert html_text.main_text(page, html_text.train()).split("\n\n") == ["Short title", "Short para here.", PARTS[0]]
+
+
+@pytest.mark.parametrize("unit", ["<p x ", '<p a="', '<p a="> ', "<!-- ", "<head><template>", "<script"])
+def test_unclosed_markup_is_read_in_linear_time(unit):
+    began = time.thread_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)), html_text.train())
+    assert time.thread_time() - began < 20  # a quadratic scan takes an hour
