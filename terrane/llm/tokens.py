@@ -10,6 +10,7 @@ pre-tokens go to the tokenizers library. Tests hold both against the library.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import unicodedata
@@ -32,7 +33,9 @@ REMEMBER = 300_000
 #: Characters of a pre-token that is remembered at most.
 LONG = 64
 #: Characters of a chunk of a huge document, and of the first overlap tried.
-CHUNK, OVERLAP = 200_000, 2_000
+CHUNK, OVERLAP = 16_000, 500
+#: White space under every definition of it.
+BLANKS = " \t\r\n"
 #: Characters without (or of) white space from which a text's ids come from the tokenizers library.
 LONG_RUN = 2_000
 
@@ -64,6 +67,20 @@ def load(path: str):
     return t
 
 
+def kind_of(path: str) -> str:
+    """"byte" or "word", the vocabularies whose pre-tokens and boundaries this module knows; others are an error, not a guess."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = lambda part, inner: [] if part is None else [x["type"] for x in part.get(inner, [part])]
+    shape = (steps(made["normalizer"], "normalizers"), steps(made["pre_tokenizer"], "pretokenizers"))
+    plain = all(not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in made["added_tokens"])
+    known = {"byte": ([], ["ByteLevel"]), "word": (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])}
+    for name, of in known.items():
+        if shape == of and plain:
+            return name
+    raise ValueError(f"no proven boundaries are known for the vocabulary {path}: {shape}")
+
+
 def reader(path: str) -> "TokenReader":
     """The worker's reader of a vocabulary: a Python worker runs many tasks, and what it remembers serves them all."""
     import tokenizers
@@ -79,7 +96,7 @@ class TokenReader:
 
     def __init__(self, path: str):
         self.library = load(path)
-        self.lower = self.library.normalizer is not None
+        self.lower = kind_of(path) == "word"
         self.pattern = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = special
@@ -145,10 +162,10 @@ class TokenReader:
         """Tokens of a huge text from overlapping chunks.
 
         Each chunk is encoded with offsets. Where two chunks overlap, they are
-        spliced at an offset at which both start a token and before which
-        there is white space: no pre-token and no normalisation crosses that, so
-        what stands after it is encoded the same from any earlier start. If an
-        overlap has no such offset it is widened; at worst it becomes the text.
+        spliced at an offset at which both start a token and which is proven to
+        be a boundary (see `_splice`), so what stands after it is encoded the same
+        from any earlier start. If an overlap has no such offset it is widened; at
+        worst it becomes the text.
         """
         total, start, size, lap = 0, 0, chunk, overlap
         while True:
@@ -170,9 +187,16 @@ class TokenReader:
             start, size, lap = at, chunk, overlap
 
     def _splice(self, text: str, left, right, begin: int) -> int | None:
+        """The first common start that no pre-token, special string or normalisation crosses, whatever stands around it.
+
+        Word vocabulary: after a blank, for its pre-tokens hold no white space and
+        no character composes with a blank. Byte vocabulary: before a blank that
+        follows another character, for its pre-tokens may begin with white space
+        but never go on with it. Special strings hold none.
+        """
         starts = {a for a, _ in left if a > begin}
         for a, _ in right:
-            if a > begin and a in starts and text[a - 1].isspace():
+            if a > begin and a in starts and (text[a - 1] in BLANKS if self.lower else text[a] in BLANKS and not text[a - 1].isspace()):
                 return a
         return None
 

@@ -40,6 +40,29 @@ def test_splice_widens_where_nothing_is_stable():
     assert of.count_spliced(t, 100, 10) == len(of.library.encode(t, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_splices_of_random_texts_equal_the_library(name):
+    of, dice = tokens.TokenReader(f"/opt/tokenizers/{name}"), np.random.default_rng(5)
+    units = ["a", "the", "'s", "'", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "\u3000", "7", "!", "é", "e\u0301", "\u0338", "İ", "日本", "<|endoftext|>", "<|"]
+    for n in range(3000):
+        t = "".join(dice.choice(units, dice.integers(1, 60)))
+        assert of.count_spliced(t, 12, 3) == len(of.library.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_long_documents_are_counted_from_chunks(spark):
+    long = " ".join(texts(40)) * 2 + "日本語テスト" * 5000
+    assert len(long) > 3 * tokens.CHUNK
+    got = tokens.token_counts(spark.createDataFrame([(1, long), (2, "x" * 50_000)], "doc_id bigint, text string")).collect()
+    library = tokens.load("/opt/tokenizers/word_bpe_49k.json")
+    assert {r.doc_id: r.n_tokens for r in got} == {1: len(library.encode(long, add_special_tokens=False).ids), 2: len(library.encode("x" * 50_000, add_special_tokens=False).ids)}
+
+
+def test_unknown_vocabularies_are_refused(tmp_path):
+    (tmp_path / "odd.json").write_text('{"normalizer": null, "pre_tokenizer": {"type": "Whitespace"}, "added_tokens": []}')
+    with pytest.raises(ValueError):
+        tokens.kind_of(str(tmp_path / "odd.json"))
+
+
 def test_token_counts_on_odd_rows(spark, odd):
     got = {r.doc_id: r for r in tokens.token_counts(odd).collect()}
     assert got[99].n_tokens == 0 and got[99].n_bytes == 0 and got[1].n_bytes == len(ODD_TEXTS[1].encode()) and not got[1].over_limit
