@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays over shards of the corpus.
 
-A task gathers documents into shards and sorts the shard's suffixes. Every
-suffix of every benchmark item is looked up by binary search, which gives the
-places where its window occurs; places on one diagonal join into the longest
-verbatim matches. A suffix that meets a word the benchmark never uses before
-its window is complete cannot match, so it is not sorted in.
+A task gathers documents into shards and builds each shard's suffix array by
+prefix doubling. Every suffix of every benchmark item is looked up by binary
+search, which gives the places where its window occurs; from each place that no
+longer match covers, the longest common prefix of the two suffixes is the
+verbatim match. A suffix that meets a word the benchmark never uses before its
+window is complete cannot match, so it is not sorted in.
 """
 
 from __future__ import annotations
@@ -43,11 +44,17 @@ class Tests:
         vocabulary = sorted({x for _, w in texts for x in w})
         self.vocabulary = {x: i + 1 for i, x in enumerate(vocabulary)}
         at: dict[tuple, list] = {}
+        begin = 0
         for name, w in texts:
-            ids = [self.vocabulary[x] for x in w]
-            size = min(window, len(ids))
-            for k in range(len(ids) - size + 1 if ids else 0):
-                at.setdefault(tuple(ids[k : k + size]), []).append((number[name], k))
+            own = [self.vocabulary[x] for x in w]
+            size = min(window, len(own))
+            for k in range(len(own) - size + 1 if own else 0):
+                at.setdefault(tuple(own[k : k + size]), []).append((number[name], begin + k))
+            begin += len(own) + 1 if own else 0
+        #: All items' words, a 0 word after each, and one after another.
+        ids = [[self.vocabulary[x] for x in w] + [0] for _, w in texts if w]
+        self.flat = np.array([x for w in ids for x in w], dtype=np.uint32)
+        self.longest = max(map(len, ids), default=1)
         self.by_size = {}
         for size in sorted({len(k) for k in at}):
             keys = sorted(k for k in at if len(k) == size)
@@ -62,6 +69,47 @@ def packed(windows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(windows.astype(">u4")).view(f"S{4 * windows.shape[1]}").ravel()
 
 
+def suffix_array(numbers: np.ndarray, run: np.ndarray, least: int, longest: int) -> np.ndarray:
+    """Places of the shard in the order of their suffixes, each up to its first 0 word, compared for `longest` words at least.
+
+    Only places of runs (words up to the next 0) of `least` words or more are
+    sorted. Ranks by the first h words give ranks by 2h words: the pair of a
+    place's rank and the rank h words on.
+    """
+    ends = np.arange(len(numbers)) + run
+    whole = np.zeros(len(numbers) + 1, dtype=np.int64)
+    np.maximum.at(whole, ends, run)
+    places = np.nonzero((run > 0) & (whole[ends] >= least))[0]
+    if not len(places):
+        return places
+    row = np.full(len(numbers) + 1, -1, dtype=np.int64)
+    row[places] = np.arange(len(places))
+    rank = np.unique(numbers[places], return_inverse=True)[1].astype(np.int64) + 1
+    h, deep = 1, min(longest, int(run[places].max()))
+    while h < deep and rank.max() < len(places):
+        on = places + h
+        inside = run[places] > h
+        second = np.zeros(len(places), dtype=np.int64)
+        second[inside] = rank[row[on[inside]]]
+        rank = np.unique(rank * (int(rank.max()) + 1) + second, return_inverse=True)[1].astype(np.int64) + 1
+        h *= 2
+    return places[np.argsort(rank, kind="stable")]
+
+
+def common_prefix(a: np.ndarray, at: np.ndarray, b: np.ndarray, pos: np.ndarray, sure: int) -> np.ndarray:
+    """Words that the suffixes a[at:] and b[pos:] share up to a 0 word, `sure` of them known."""
+    length = np.full(len(at), sure, dtype=np.int64)
+    more = np.arange(len(at))
+    while len(more):
+        x, y = at[more] + length[more], pos[more] + length[more]
+        inside = (x < len(a)) & (y < len(b))
+        more, x, y = more[inside], x[inside], y[inside]
+        same = (a[x] == b[y]) & (a[x] != 0)
+        more = more[same]
+        length[more] += 1
+    return length
+
+
 def search(tests: Tests, numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, item, start, words) of the maximal verbatim matches of a shard.
 
@@ -71,31 +119,29 @@ def search(tests: Tests, numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     n = len(numbers)
     stop = np.where(numbers == 0, np.arange(n), n)
     run = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
+    array = suffix_array(numbers, run, min(tests.by_size, default=1), tests.longest) if tests.by_size else np.empty(0, np.int64)
     found = []
     for size, (keys, starts, flat) in tests.by_size.items():
-        places = np.nonzero(run >= size)[0]
+        places = array[run[array] >= size]  # the array's order stays
         if not len(places):
             continue
-        suffixes = packed(numbers[places[:, None] + np.arange(size)])
-        order = np.argsort(suffixes, kind="stable")
-        array = suffixes[order]
-        low, high = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
+        heads = packed(numbers[places[:, None] + np.arange(size)])
+        low, high = np.searchsorted(heads, keys, "left"), np.searchsorted(heads, keys, "right")
         count = high - low
         if not count.any():
             continue
         key = np.repeat(np.arange(len(keys)), count)
-        at = places[order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]]
+        at = places[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         each = (starts[1:] - starts[:-1])[key]
         at, first = np.repeat(at, each), np.repeat(starts[:-1][key], each)
         k = first + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         item, pos = flat[k, 0], flat[k, 1]
-        by = np.lexsort((at, at - pos, item, doc[at]))
-        at, item, pos = at[by], item[by], pos[by]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1)
-        head = np.nonzero(new)[0]
-        length = np.diff(np.append(head, len(at))) - 1 + size
-        found.append((doc[at[head]], item[head], at[head], length))
+        # a match that goes on to the left is part of the one that begins there
+        before = lambda words, p: np.where(p > 0, words[np.maximum(p - 1, 0)], 0)
+        left = before(numbers, at)
+        new = (left == 0) | (left != before(tests.flat, pos))
+        at, item, pos = at[new], item[new], pos[new]
+        found.append((doc[at], item, at, common_prefix(numbers, at, tests.flat, pos, size)))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))

@@ -224,6 +224,33 @@ def test_common_and_copied_insults_enter_the_lexicon(spark):
     assert lexicon["zorgbat"] == lexicon["gribnol"] == toxicity.INSULT and "quellmar" not in lexicon
 
 
+def test_suffix_arrays_and_matches_equal_brute_force():
+    dice = np.random.default_rng(3)
+    for _ in range(60):
+        items = [(f"i{k % 4}", " ".join(dice.choice(list("abc"), dice.integers(0, 30))).encode()) for k in range(6)]
+        t = decontaminate.Tests(items, 4)
+        parts = [np.append(dice.choice([0, 1, 2, 3], dice.integers(0, 60), p=[0.1, 0.3, 0.3, 0.3]), 0).astype(np.uint32) for _ in range(5)]
+        numbers, doc = np.concatenate(parts), np.repeat(np.arange(5), [len(p) for p in parts])
+        stop = [next(j for j in range(i, len(numbers)) if numbers[j] == 0) for i in range(len(numbers))]
+        run = np.array(stop) - np.arange(len(numbers))
+        suffix = lambda i: tuple(numbers[i : stop[i]])  # noqa: B023, E731
+        array = decontaminate.suffix_array(numbers, run, 1, 100)
+        assert [suffix(i) for i in array] == sorted(suffix(i) for i in range(len(numbers)) if run[i])
+        want = set()
+        for name, raw in items:
+            w = [t.vocabulary[x] for x in decontaminate.words(raw)]
+            size = min(4, len(w))
+            for i in range(len(numbers)) if w else ():
+                for k in range(len(w)):
+                    n = 0
+                    while k + n < len(w) and i + n < len(numbers) and numbers[i + n] == w[k + n]:
+                        n += 1
+                    if n >= size and not (i and k and numbers[i - 1] == w[k - 1]):
+                        want.add((int(doc[i]), name, i, n))
+        got = {(d, t.names[i], s, n) for d, i, s, n in zip(*(x.tolist() for x in decontaminate.search(t, numbers, doc)))}
+        assert got == want
+
+
 PARTS = ["One two three four five six seven eight nine ten eleven twelve thirteen.", "A second paragraph that has some more words in it than the first one has."]
 
 
