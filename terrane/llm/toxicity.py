@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause's words as symbols: insult and threat
-words, targets, negations, and marks of reported speech. Their composition is one
-table that turns a clause into a pattern such as "insult at a target, negated".
-A document's score weighs how often each pattern occurs; the weights and the
-insult lexicon are learnt from labelled rows.
+Five small transducers read a clause's words as symbols and write symbols with
+marks on them: reported speech and negation mark the heads that follow, insults,
+threats and targets mark the clause's end. Composed, they are one transducer
+whose arcs at a clause's end name a pattern such as "insult at a target, negated"
+and carry its weight. Only matched clauses count for a document's score; the
+weights and the insult lexicon are learnt from labelled rows.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections import Counter
@@ -25,8 +27,6 @@ by_value(__name__)
 
 #: Labelled rows that lexicon and weights are learnt from, about; all rows are scored.
 SAMPLE = 12_000
-#: Entries of the learnt lexicon at most.
-LEXICON = 4_000
 #: Distinct texts and contexts that an entry needs at least, and the share of its texts that are toxic.
 SUPPORT, CONTEXTS, PRECISION = 5, 5, 0.9
 #: Lengths of the word beginnings that an entry may be.
@@ -60,68 +60,103 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
 
 
 class Transducer:
-    """States 0.. over symbols; `step` gives the next state, `final` what a clause that ends in a state means."""
+    """Arcs (state, input symbol) -> (state, output symbol) from state 0; an end of a clause goes back to it.
+
+    A symbol is (kind, marks), marks a sorted tuple of names.
+    """
+
+    def __init__(self, arc):
+        self.arc = arc
+
+    def then(self, other: "Transducer") -> "Transducer":
+        """The composition: what this one writes is what the other reads."""
+
+        def arc(states, symbol):
+            mine, out = self.arc(states[0], symbol)
+            others, out = other.arc(states[1], out)
+            return (mine, others), out
+
+        return Transducer(lambda states, symbol: arc(states or (0, 0), symbol))
+
+
+def marked(symbol: tuple, *names: str) -> tuple:
+    return symbol[0], tuple(sorted({*symbol[1], *names}))
+
+
+HEADS = (INSULT, WEAK, THREAT)
 
-    def __init__(self, step: dict, final: list):
-        self.step, self.final = step, final
 
-    def next(self, state: int, symbol: int) -> int:
-        return self.step.get((state, symbol), state)
+def marks_heads(mark: int, name: str) -> Transducer:
+    """Negation or reported speech: after its word, the heads of the clause bear its name."""
 
+    def arc(seen, symbol):
+        if symbol[0] == END:
+            return 0, symbol
+        if symbol[0] in HEADS and seen:
+            return seen, marked(symbol, name)
+        return int(seen or symbol[0] == mark), symbol
 
-def counter(symbol: int, most: int) -> Transducer:
-    """Counts a symbol up to `most`."""
-    return Transducer({(k, symbol): min(k + 1, most) for k in range(most + 1)}, list(range(most + 1)))
+    return Transducer(arc)
 
 
-def before(mark: int, heads: tuple) -> Transducer:
-    """Whether a mark precedes the first head of the clause: 0 nothing seen, 1 mark first, 2 head first, 3 mark and then head."""
-    step = {(0, mark): 1}
-    for h in heads:
-        step |= {(0, h): 2, (1, h): 3}
-    return Transducer(step, [0, 0, 0, 1])
+def first_head() -> Transducer:
+    """The end of a clause bears the marks of its first head."""
 
+    def arc(first, symbol):
+        if symbol[0] == END:
+            return 0, marked(symbol, *(first or ()))
+        return (symbol[1] if first == 0 and symbol[0] in HEADS else first), symbol
 
-class Composed:
-    """The product of transducers as one table: rows are reachable state tuples, columns symbols."""
+    return Transducer(arc)
 
-    def __init__(self, parts: list[Transducer], symbols: int):
-        start = tuple(0 for _ in parts)
-        number, todo, rows = {start: 0}, [start], []
-        for state in todo:
-            row = []
-            for s in range(symbols):
-                to = tuple(t.next(x, s) for t, x in zip(parts, state))
-                if to not in number:
-                    number[to] = len(number)
-                    todo.append(to)
-                row.append(number[to])
-            rows.append(row)
-        self.rows = rows
-        self.final = [tuple(t.final[x] for t, x in zip(parts, state)) for state in todo]
 
+def counts(kind: int, name: str, most: int) -> Transducer:
+    """Insults, threats or targets: the end of a clause bears how many of them it has, up to `most`."""
 
-def grammar() -> tuple[Composed, list]:
-    """The composed grammar and, for each state, the number of the pattern that its clause shows (-1: none).
+    def arc(n, symbol):
+        if symbol[0] == END:
+            return 0, marked(symbol, f"{name}{n}") if n else symbol
+        return min(most, n + (symbol[0] == kind)), symbol
+
+    return Transducer(arc)
+
+
+def meaning(marks: tuple) -> tuple | None:
+    """(head, target, negated, reported) of a matched clause; threat words without a target, or no head at all, match nothing."""
+    insult, weak = (sum(k * (f"{name}{k}" in marks) for k in (1, 2)) for name in ("insult", "weak"))
+    threat, target = "threat1" in marks, "target1" in marks
+    head = (3 if threat else insult) if insult else 3 + weak if weak else 0 if threat and target else None
+    return None if head is None else (head, int(target), int("negated" in marks), int("reported" in marks))
+
+
+def grammar() -> tuple[list, list]:
+    """The composed transducer as tables: the next state by state and symbol, and the pattern at a state's end (-1: no match).
 
     Patterns: kind of head (a threat at a target, one insult, several insults,
     threat and insult, one weak insult, several weak insults) by target, and by
     negation and reported speech before the head.
     """
-    heads = (INSULT, WEAK, THREAT)
-    machine = Composed([counter(INSULT, 2), counter(WEAK, 2), counter(THREAT, 1), counter(TARGET, 1), before(NEGATION, heads), before(REPORT, heads)], END)
-    kinds = {k: n for n, k in enumerate(itertools.product(range(HEADS), range(2), range(2), range(2)))}
-    pattern = []
-    for insult, weak, threat, target, negated, reported in machine.final:
-        head = (3 if threat else insult) if insult else 3 + weak if weak else 0 if threat and target else None
-        # threat words without a target, or no head at all, say nothing
-        pattern.append(-1 if head is None else kinds[(head, target, negated, reported)])
-    return machine, pattern
-
-
-HEADS = 6
-PATTERNS = HEADS * 2 * 2 * 2
-EVIDENCE = PATTERNS + 6
+    parts = [marks_heads(REPORT, "reported"), marks_heads(NEGATION, "negated"), first_head(), counts(INSULT, "insult", 2), counts(WEAK, "weak", 2), counts(THREAT, "threat", 1), counts(TARGET, "target", 1)]
+    machine = functools.reduce(Transducer.then, parts)
+    kinds = {k: n for n, k in enumerate(itertools.product(range(KINDS), range(2), range(2), range(2)))}
+    number, todo, rows, pattern = {0: 0}, [0], [], []
+    for state in todo:
+        row = []
+        for s in range(END):
+            to, _ = machine.arc(state, (s, ()))
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row.append(number[to])
+        rows.append(row)
+        pattern.append(kinds.get(meaning(machine.arc(state, (END, ()))[1][1]), -1))
+    return rows, pattern
+
+
+KINDS = 6
+PATTERNS = KINDS * 2 * 2 * 2
+#: Beside the patterns: matched clauses, their share, and whether there are several or many.
+EVIDENCE = PATTERNS + 4
 
 
 class Reader:
@@ -129,7 +164,7 @@ class Reader:
 
     def __init__(self, lexicon: dict):
         self.lexicon, self.memory = lexicon, {}
-        self.machine, self.pattern = grammar()
+        self.rows, self.pattern = grammar()
         self.closed = {}
         for symbol, text in ((THREAT, THREATS), (REPORT, REPORTS), (TARGET, TARGETS), (NEGATION, NEGATIONS)):
             self.closed |= dict.fromkeys(text.split(), symbol)
@@ -147,35 +182,30 @@ class Reader:
             self.memory[word] = found
         return found
 
-    def patterns(self, text: str) -> tuple[Counter, int, tuple]:
-        """(pattern counts, clauses, (insult words, weak ones)) of a whole text."""
+    def patterns(self, text: str) -> tuple[Counter, int]:
+        """(counts of the patterns of matched clauses, clauses) of a whole text."""
         symbol, memory = self.symbol, self.memory
         read = [memory.get(w) or symbol(w) for w in TOKEN.findall(text.lower())]
-        counts, clauses = Counter(), 1 + read.count(END)
-        words = (read.count(INSULT), read.count(WEAK))
-        if any(words) or THREAT in read:
-            state, rows = 0, self.machine.rows
+        found, clauses = Counter(), 1 + read.count(END)
+        if INSULT in read or WEAK in read or THREAT in read:
+            state, rows = 0, self.rows
             for s in read:
                 if s == END:
-                    counts[self.pattern[state]] += 1
+                    found[self.pattern[state]] += 1
                     state = 0
                 elif s:
                     state = rows[state][s]
-            counts[self.pattern[state]] += 1
-            del counts[-1]
-        return counts, clauses, words
-
-
-def evidence(counts: Counter, clauses: int, words: tuple) -> np.ndarray:
-    """A text's evidence: how often each pattern occurs, matched clauses and their share, and words of both strengths."""
-    x = np.zeros(EVIDENCE)
-    for k, n in counts.items():
-        x[k] = np.log1p(n)
-    x[PATTERNS] = np.log1p(sum(counts.values()))
-    x[PATTERNS + 1] = min(1.0, sum(counts.values()) / clauses)
-    x[PATTERNS + 2 : PATTERNS + 4] = np.log1p(words)
-    x[PATTERNS + 4] = words[1] > 1
-    x[PATTERNS + 5] = words[1] > 2
+            found[self.pattern[state]] += 1
+            del found[-1]
+        return found, clauses
+
+
+def evidence(found: Counter, clauses: int) -> np.ndarray:
+    """A text's evidence, from matched clauses alone: how often each pattern occurs, all of them, their share, and whether there are over one or two."""
+    x, n = np.zeros(EVIDENCE), sum(found.values())
+    for k, c in found.items():
+        x[k] = np.log1p(c)
+    x[PATTERNS:] = np.log1p(n), min(1.0, n / clauses), n > 1, n > 2
     return x
 
 
@@ -218,8 +248,8 @@ def learn_lexicon(sample: DataFrame) -> dict:
     by_unit = rows.groupBy("unit", "last").agg(*sums).groupBy("unit").agg(*sums, F.count("last").alias("contexts"))
     sure = lambda t, c: (F.col(t) >= SUPPORT) & (F.col(t) >= PRECISION * (F.col(t) + F.col(c)))
     strength = F.when(sure("toxic", "clean"), INSULT).when(sure("toxic2", "clean2"), WEAK)
-    good = by_unit.where(F.col("contexts") >= CONTEXTS).select("unit", "toxic", strength.alias("strength")).where("strength is not null")
-    return {r["unit"]: r["strength"] for r in good.orderBy(F.desc("toxic"), "unit").limit(LEXICON).collect()}
+    good = by_unit.where(F.col("contexts") >= CONTEXTS).select("unit", strength.alias("strength")).where("strength is not null")
+    return {r["unit"]: r["strength"] for r in good.collect()}  # at most what the bounded sample holds
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3) -> np.ndarray:
@@ -277,10 +307,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
         for b in it:
             scores, clauses, matched = [], [], []
             for text in b.column(1).to_pylist():
-                counts, n, words = reader.patterns(text)
-                scores.append(float(1 / (1 + np.exp(-np.clip(evidence(counts, n, words) @ w[:-1] + w[-1], -30, 30)))))
+                found, n = reader.patterns(text)
+                scores.append(float(1 / (1 + np.exp(-np.clip(evidence(found, n) @ w[:-1] + w[-1], -30, 30)))))
                 clauses.append(n)
-                matched.append(sum(counts.values()))
+                matched.append(sum(found.values()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(clauses, pa.int64()), pa.array(matched, pa.int64())], ["doc_id", "score", "clauses", "matched_clauses"])
 
     slim = id_and_text(docs, id_col, text_col)

@@ -198,6 +198,37 @@ def test_toxicity_grammar():
     assert of("not. idiot") == plain
 
 
+def test_toxicity_grammar_equals_a_plain_reading():
+    read = toxicity.Reader({"idiot": toxicity.INSULT, "the": toxicity.WEAK})
+
+    def plain(clause):
+        kinds = [read.symbol(w) for w in clause]
+        heads = [i for i, k in enumerate(kinds) if k in (toxicity.INSULT, toxicity.WEAK, toxicity.THREAT)]
+        insult, weak, threat, target = (kinds.count(k) for k in (toxicity.INSULT, toxicity.WEAK, toxicity.THREAT, toxicity.TARGET))
+        if not insult + weak and not (threat and target):
+            return None
+        kind = ("threat+insult" if threat else f"insult{min(insult, 2)}") if insult else f"weak{min(weak, 2)}" if weak else "threat"
+        return kind, target > 0, toxicity.NEGATION in kinds[: heads[0]], toxicity.REPORT in kinds[: heads[0]]
+
+    names = {}
+    for text in texts(400) + ["idiot", "you idiot", "she said idiot", "you never said I will kill the idiot", "the the. not you idiot idiot"]:
+        clauses, own = [], []
+        for w in toxicity.TOKEN.findall(text.lower()):
+            if w in ".!?;:\n":
+                clauses.append(own)
+                own = []
+            else:
+                own.append(w)
+        want = [m for m in map(plain, [*clauses, own]) if m]
+        found, n = read.patterns(text)
+        assert n == len(clauses) + 1 and sum(found.values()) == len(want)
+        for m in set(want):
+            only = [c for c in [*clauses, own] if plain(c) == m][0]
+            (k,) = read.patterns(" ".join(only))[0]
+            assert names.setdefault(m, k) == k and found[k] == want.count(m)
+    assert len(set(names.values())) == len(names) > 8
+
+
 ARTICLE = " ".join(["a sentence of the article that has some length and no links at all,"] * 6)
 
 
