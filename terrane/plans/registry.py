@@ -60,7 +60,7 @@ def documents(levels: list[DataFrame], depth: int = 12) -> DataFrame:
         rows = rows.unionByName(more.select(*COLUMNS))
     rows = rows.groupBy("guid").agg(F.max_by(F.struct("parent", "title", "postcode", "building"), F.struct("building", "title", "parent")).alias("r")).select("guid", "r.*")
     full = hierarchy.full_titles(rows, "guid", "parent", "title", depth)
-    up = rows.select(F.col("guid").alias("pid"), F.col("postcode").alias("parent_code"))
-    coded = full.join(up, full["parent"] == up["pid"], "left")
-    code = F.when(F.col("postcode").isNotNull(), F.coalesce(tx.present(F.col("postcode")), tx.present(F.col("parent_code"))))
+    chain = hierarchy.full_titles(rows.select("guid", "parent", tx.present(F.col("postcode")).alias("code")), "guid", "parent", "code", depth, "\n").select("guid", F.col("full_title").alias("codes"))
+    coded = full.join(chain, "guid")
+    code = F.when(F.col("postcode").isNotNull(), tx.present(F.substring_index("codes", "\n", -1)))
     return coded.select("guid", F.concat_ws(", ", code, F.col("full_title")).alias("title"), "building").withColumn("priority", tx.part_count(F.col("title")))

@@ -18,25 +18,28 @@ SAFE_KEY = re.compile(r"^[A-Za-z0-9.:_`]+$")
 
 def normalise(c, wordforms: dict[str, str] | None = WORDFORMS) -> Column:
     c = F.lower(fold_yo(c))
-    return replace_words(c, wordforms) if wordforms else c
+    return fold_yo(replace_words(F.trim(c), wordforms)) if wordforms else c
 
 
-def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, fields: list[str], wordforms: dict[str, str] | None = WORDFORMS) -> DataFrame:
     """(doc_id, field, pos, term): terms are runs of letters, digits and . + & -; a comma moves positions on by 100.
 
+    Short forms of address words stand as their full forms, in the index as in queries.
+
     Meant to be written bucketed or sorted by term, so a prefix reads few files.
     """
     parts = []
     for f in fields:
-        by_comma = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(normalise(F.col(f), None), ",")).alias("part", "body"))
+        by_comma = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(f), ",")).alias("part", "body")).withColumn("body", normalise(F.col("body"), wordforms))
         words = by_comma.select("doc_id", "part", F.posexplode(F.filter(F.split("body", r"[^\p{L}\p{N}.+&-]+"), lambda x: x != "")).alias("k", "term"))
         parts.append(words.select("doc_id", F.lit(f).alias("field"), (F.col("part") * COMMA_STEP + F.col("k")).alias("pos"), "term"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def parse(query: str) -> list[list[str]]:
-    """Words of each non-blank comma part, lower-cased, stars trimmed."""
-    parts = [[w.strip("*") for w in re.split(r"\s+", p.strip().lower().replace("ё", "е"))] for p in (query or "").split(",")]
+def parse(query: str, wordforms: dict[str, str] | None = WORDFORMS) -> list[list[str]]:
+    """Words of each non-blank comma part, lower-cased, short forms in full, stars trimmed."""
+    full = lambda w: (wordforms or {}).get(w, w).replace("ё", "е").split()
+    parts = [[w.strip("*") for short in p.lower().replace("ё", "е").split() for w in full(short)] for p in (query or "").split(",")]
     return [q for q in ([w for w in p if w] for p in parts) if q]
 
 

@@ -32,6 +32,9 @@ class Profile:
     most: float = 200
     uses_oneway: bool = True
     uses_maxspeed: bool = True
+    posted_at_most: float | None = None
+    barred: tuple[str, ...] = ()
+    own_oneway: str | None = None
 
 
 # The other vehicles' speeds.
@@ -40,9 +43,9 @@ MOPED_SPEEDS = {
     "road": 30, "track": 30, "living_street": 5, "ferry": 5, "movable": 5, "shuttle_train": 10, "default": 10,
 }
 BICYCLE_SPEEDS = dict.fromkeys(
-    "primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential service services road track cycleway path living_street ferry movable shuttle_train default".split(), 15
+    "primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential service services road track cycleway path living_street ferry movable shuttle_train default footway pedestrian".split(), 15
 )
-BICYCLE_BARRED = ("footway", "pedestrian")  # speed 15, but only with access tags of their own
+BICYCLE_BARRED = ("footway", "pedestrian")  # only with access tags of their own
 FOOT_SPEEDS = dict.fromkeys(
     "primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential service services road track cycleway path footway pedestrian living_street ferry movable shuttle_train default".split(), 4
 ) | {"steps": 2}
@@ -56,8 +59,8 @@ PROFILES = {
         Profile("bigtruck", _MOTOR, speed_share=1.0),
         Profile("smalltruck", _MOTOR, speed_share=1.0),
         Profile("motorcycle", ("access", "vehicle", "motor_vehicle", "motorcycle")),
-        Profile("moped", ("access", "vehicle", "motor_vehicle", "moped"), speeds=MOPED_SPEEDS, least=40, most=40),
-        Profile("bicycle", ("access", "vehicle", "bicycle"), speeds=BICYCLE_SPEEDS, speed_share=1.0, least=15, most=15, uses_maxspeed=False),
+        Profile("moped", ("access", "vehicle", "motor_vehicle", "moped"), speeds=MOPED_SPEEDS, least=40, most=40, posted_at_most=40),
+        Profile("bicycle", ("access", "vehicle", "bicycle"), speeds=BICYCLE_SPEEDS, speed_share=1.0, least=15, most=15, uses_maxspeed=False, barred=BICYCLE_BARRED, own_oneway="oneway:bicycle"),
         Profile("pedestrian", ("access", "foot"), speeds=FOOT_SPEEDS, speed_share=1.0, least=4, most=5, uses_oneway=False, uses_maxspeed=False),
     )
 }
@@ -73,14 +76,15 @@ def highway(tags) -> Column:
 
 
 def access(tags, p: Profile) -> Column:
-    """The last answer of the vehicle's access keys, from the general to the particular; true if none answers."""
+    """The last answer of the vehicle's access keys, from the general to the particular; true if none answers, but on barred roads false."""
     answers = [_lookup(ACCESS, t.get(tags, k)) for k in reversed(p.vehicle_types)]
-    return F.coalesce(*answers, F.lit(True))
+    return F.coalesce(*answers, ~F.coalesce(highway(tags).isin(*p.barred), F.lit(False)) if p.barred else F.lit(True))
 
 
 def speed(tags, p: Profile) -> Column:
     base = _lookup({k: float(v) for k, v in p.speeds.items()}, highway(tags))
     posted = t.get(tags, "maxspeed").try_cast("double") if p.uses_maxspeed else F.lit(None).cast("double")
+    posted = F.least(posted, F.lit(p.posted_at_most)) if p.posted_at_most else posted
     return F.when(base.isNotNull() & access(tags, p), F.when(posted.isNotNull() & (posted > 0), posted * 0.75).otherwise(base))
 
 
@@ -88,8 +92,9 @@ def direction(tags, p: Profile) -> Column:
     """0 both ways, 1 forward, 2 backward; 3 more on roads where one may not stop."""
     if not p.uses_oneway:
         return F.lit(0)
-    oneway = t.get(tags, "oneway")
-    way = F.when(oneway.isin("yes", "true", "1"), 1).when(oneway == "-1", 2).when(t.get(tags, "junction") == "roundabout", 1).otherwise(0)
+    says = lambda c: F.when(c.isin("yes", "true", "1"), 1).when(c == "-1", 2)
+    keys = [k for k in (p.own_oneway, "oneway") if k]
+    way = F.coalesce(*[says(t.get(tags, k)) for k in keys], F.when(t.get(tags, "junction") == "roundabout", 1), F.lit(0))
     return way + F.when(highway(tags).isin("motorway", "motorway_link"), 3).otherwise(0)
 
 

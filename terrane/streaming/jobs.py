@@ -36,14 +36,8 @@ def upsert_into(folder: str, keys: list[str], version: str | None = None) -> Cal
 
 
 def snapshot(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    if number < 0:
-        return None
-    try:
-        return spark.read.parquet(f"{folder}/v={number}")
-    except AnalysisException:
-        return None
+    """The table after a batch. Only before batch 0 is there none; a lost snapshot is an error, not an empty table."""
+    return None if number < 0 else spark.read.parquet(f"{folder}/v={number}")
 
 
 def tumbling_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:

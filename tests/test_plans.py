@@ -69,6 +69,41 @@ def test_car(spark, tags, want):
     assert r.d == want[1] and (r.f is None if want[0] is None else abs(r.f - want[0]) < 1e-12)
 
 
+@pytest.mark.parametrize(("name", "tags", "speed", "direction"), [
+    ("moped", {"highway": "primary", "maxspeed": "200"}, 30.0, 0), ("moped", {"highway": "primary", "maxspeed": "20"}, 15.0, 0), ("bicycle", {"highway": "footway"}, None, 0),
+    ("bicycle", {"highway": "footway", "bicycle": "yes"}, 15.0, 0), ("bicycle", {"highway": "primary", "oneway": "yes", "oneway:bicycle": "-1"}, 15.0, 2),
+    ("bicycle", {"highway": "primary", "oneway": "yes", "oneway:bicycle": "no"}, 15.0, 1), ("bus", {"highway": "primary", "maxspeed": "200"}, 150.0, 0),
+])
+def test_other_vehicles(spark, name, tags, speed, direction):
+    df, p = spark.createDataFrame([(tags,)], "tags map<string,string>"), vehicle.PROFILES[name]
+    assert df.select(vehicle.speed(F.col("tags"), p), vehicle.direction(F.col("tags"), p)).first() == (speed, direction)
+
+
+def test_word_forms_in_titles_and_queries(spark):
+    index = search.postings(spark.createDataFrame([(1, "г. Москва, улица Мира"), (2, "Москва, ул. Мира"), (3, "рп. Мира")], "id bigint, title string"), "id", ["title"])
+    found = lambda q: sorted(r.doc_id for r in search.match(index, q).collect())
+    assert found("ул. мира") == found("улица Мира") == [1, 2] and found("рабочий поселок") == [3] and found("г. москва, ул. мира") == [1]
+
+
+def test_postcode_of_the_nearest_ancestor(spark):
+    from terrane.plans import registry
+
+    rows = [("a", None, "A", None, 0), ("h", "a", "H", "101", 1), ("w", "h", "W", "", 1), ("r", "w", "R", "", 2), ("q", "w", "Q", "202", 2), ("o", "h", "O", None, 0), ("x", "a", "X", "", 1)]
+    levels = [spark.createDataFrame(rows, "guid string, parent string, title string, postcode string, building int")]
+    got = {r.guid: r.title for r in registry.documents(levels).collect()}
+    assert got == {"a": "A", "h": "101, A, H", "w": "101, A, H, W", "r": "101, A, H, W, R", "q": "202, A, H, W, Q", "o": "A, H, O", "x": "A, X"}
+
+
+def test_a_lost_snapshot_is_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from terrane.streaming import jobs
+
+    assert jobs.snapshot(spark, str(tmp_path), -1) is None
+    with pytest.raises(AnalysisException):
+        jobs.snapshot(spark, str(tmp_path), 4)
+
+
 def diamond(spark):
     edges = spark.createDataFrame([(1, 1, 2, 1.0), (2, 2, 4, 1.0), (3, 1, 3, 2.0), (4, 3, 4, 2.0), (5, 4, 5, 1.0)], "edge bigint, a bigint, b bigint, w double")
     nodes = spark.createDataFrame([(i, 0.0, i * 1e-6) for i in range(1, 7)], "node bigint, lat double, lon double")
