@@ -65,13 +65,14 @@ def shared_node_pairs(ways: DataFrame) -> DataFrame:
 
 
 def relation_restrictions(relations: DataFrame) -> DataFrame:
-    """(vehicle, kind, from_way, to_way, via_node) of restriction relations.
+    """(vehicle, kind, from_way, to_way, via_node) of restriction relations, a row for each of their restriction tags.
 
-    A via member is a node (type 0), or a way (type 1) with a single node.
+    'restriction' is for motorcars, 'restriction:x' for x. A via member is a node (type 0).
     """
-    kind = F.coalesce(F.try_element_at("tags", F.lit("restriction")), F.element_at(F.map_values(F.map_filter("tags", lambda k, v: k.startswith("restriction:"))), 1))
-    key = F.element_at(F.map_keys(F.map_filter("tags", lambda k, v: k.startswith("restriction"))), 1)
-    r = relations.select("id", F.when(key.contains(":"), F.substring_index(key, ":", -1)).otherwise("motorcar").alias("vehicle"), kind.alias("kind"), "members").where(F.col("kind").rlike("^(no|only)_"))
+    entry = F.explode(F.map_entries(F.map_filter("tags", lambda k, v: (k == "restriction") | k.startswith("restriction:")))).alias("tag")
+    r = relations.select("id", "members", entry).where(F.col("tag.value").rlike("^(no|only)_"))
+    key = F.col("tag.key")
+    r = r.select("id", F.when(key.contains(":"), F.substring_index(key, ":", -1)).otherwise("motorcar").alias("vehicle"), F.col("tag.value").alias("kind"), "members")
     pick = lambda role, kind: F.filter("members", lambda m: (m["role"] == role) & (m["type"] == kind))
     r = r.select("vehicle", "kind", F.explode(pick("from", 1)).alias("f"), F.col("members")).select("vehicle", "kind", F.col("f.id").alias("from_way"), F.explode(pick("to", 1)).alias("t"), "members")
     return r.select("vehicle", "kind", "from_way", F.col("t.id").alias("to_way"), F.explode(pick("via", 0)).alias("v")).select("vehicle", "kind", "from_way", "to_way", F.col("v.id").alias("via_node"))

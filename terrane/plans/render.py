@@ -64,6 +64,26 @@ def route_shape(edges: DataFrame) -> DataFrame:
     return parts.select("route", shape.alias("shape")).withColumn("distance", geo.line_length(F.col("shape")))
 
 
+def route_geojson(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """(route, geojson): one FeatureCollection a route, a line for each edge and then a point for each stop.
+
+    edges: route, k, forward, shape, attributes; stops: route, k, shape_index,
+    lat, lon, attributes. Edges of fewer than two points have no line. A route's
+    features meet in one row, which its length bounds.
+    """
+    bag = F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>")).alias("properties")
+    part = F.when(F.col("forward"), F.col("shape")).otherwise(F.reverse("shape"))
+    line = F.struct(F.lit("LineString").alias("type"), F.transform(part, lambda p: F.array(p["lon"], p["lat"])).alias("coordinates")).alias("geometry")
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.lit("ShapeMeta").alias("name"), line, bag)).alias("feature")
+    rows = edges.where(F.size("shape") > 1).select("route", F.lit(0).alias("part"), "k", feature)
+    if stops is not None:
+        point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry")
+        index = F.col("shape_index").cast("string").alias("Shape")
+        stop = F.to_json(F.struct(F.lit("Feature").alias("type"), F.lit("Stop").alias("name"), index, point, bag)).alias("feature")
+        rows = rows.unionByName(stops.select("route", F.lit(1).alias("part"), "k", stop))
+    return geojson_collection(rows, "feature", ["route"], ["part", "k"])
+
+
 @F.pandas_udf(StringType())
 def pack(s: pd.Series) -> pd.Series:
     """gzip and base64; the same text gives the same string."""

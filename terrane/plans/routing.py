@@ -8,7 +8,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -116,9 +116,19 @@ def _search(edges, source, target, places, factor, both, turns):
             path.append(e)
     return best, path, steps
 
+#: Codes of the one-way directions along an edge and against it (fixed values).
+ALONG, AGAINST = (1, 4), (2, 5)
+
+
+def needs_search(source_edge, source_offset, target_edge, target_offset, direction) -> Column:
+    """Whether a route between two places on edges needs a search: on one edge only where its direction forbids to go straight."""
+    against = direction.isin(*ALONG) & (source_offset > target_offset) | direction.isin(*AGAINST) & (source_offset < target_offset)
+    return (source_edge != target_edge) | F.coalesce(against, F.lit(False))
+
+
 METHODS = {"dijkstra": (False, False), "astar": (False, True), "bidirectional": (True, False), "mm": (True, True)}
 
-def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restrictions: DataFrame | None = None, method: str = "mm", factor: float = 0.0, corridor: float | None = None) -> DataFrame:
+def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restrictions: DataFrame | None = None, method: str = "mm", factor: float = 0.0, corridor: float | None = None, least: float | None = None) -> DataFrame:
     """(query, cost, path, steps) of queries (query, source, target) over edges (edge, a, b, w) and nodes (node, lat, lon).
 
     Queries run in parallel, one group each, over all edges, so costs are the
@@ -128,7 +138,8 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
     a route that leaves the box is not found. A query without a route has a
     null cost. Restrictions (from_edge, to_edge,
     via_node) travel with the edge that they forbid to enter. factor is the least
-    cost of a metre, which keeps the estimate admissible.
+    cost of a metre, which keeps the estimate admissible; least is the least cost
+    of an edge, which cheaper ones are raised to.
     """
     both, guided = METHODS[method]
     at = nodes.select("node", "lat", "lon")
@@ -138,7 +149,7 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
     west, east = F.least("slon", "tlon") - margin, F.greatest("slon", "tlon") + margin
     ends = ends.select("query", "source", "target", south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
     cells = ends.withColumn("cell", F.explode(F.sequence(F.floor("south").cast("int"), F.floor("north").cast("int"))))
-    e = edges.select("edge", "a", "b", F.col("w").cast("double").alias("w")).join(at.toDF("a", "alat", "alon"), "a").withColumn("cell", F.floor("alat").cast("int"))
+    e = edges.select("edge", "a", "b", (F.col("w").cast("double") if least is None else F.greatest(F.col("w").cast("double"), F.lit(least))).alias("w")).join(at.toDF("a", "alat", "alon"), "a").withColumn("cell", F.floor("alat").cast("int"))
     if restrictions is None:
         e = e.withColumn("banned", F.array().cast("array<bigint>"))
     else:

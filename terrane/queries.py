@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geo, tags as tg, units
+from .functions import geo, requests, tags as tg, units
 from .functions import text as tx
 from .operators import changes, hierarchy, spatial
 from .plans import documents as docs_plan
@@ -610,6 +610,52 @@ def alt_addresses(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.alternatives(F.col("tags")).alias("alternatives"))
 
 
+# ---- requests and routes ----------------------------------------------------------------------------------------------
+
+
+@query("""select distinct case upper(ref[1]) when 'R' then 'relation' when 'W' then 'way' else 'node' end as type, cast(ref[2:] as bigint) as id
+from (select substr('RrWwNn', cast(o_orderkey % 6 as int) + 1, 1) || o_custkey as ref from orders)""")
+def map_id_refs(spark, sf_dir):
+    letter = F.substring(F.lit("RrWwNn"), (F.col("o_orderkey") % 6 + 1).cast("int"), F.lit(1))
+    refs = table(spark, sf_dir, "orders").select(F.upper(F.concat(letter, F.col("o_custkey"))).alias("ref")).distinct()
+    return refs.select(requests.map_id(F.col("ref")).alias("r")).select("r.type", "r.id")
+
+
+@query("""select c_custkey, least(a, d) as south, least(b, e) as west, greatest(a, d) as north, greatest(b, e) as east
+from (select c_custkey, c_custkey % 90 / 2.0::double as a, c_custkey % 180 / 4.0::double as b, c_nationkey / 1.0::double as d, c_nationkey * 2 / 1.0::double as e from customer) where c_custkey % 5 <> 0
+union all select c_custkey, null, null, null, null from customer where c_custkey % 5 = 0""")
+def box_texts(spark, sf_dir):
+    half = lambda c, by: (c / F.lit(by)).cast("string")
+    corners = [half(F.col("c_custkey") % 90, 2.0), half(F.col("c_custkey") % 180, 4.0), half(F.col("c_nationkey"), 1.0), half(F.col("c_nationkey") * 2, 1.0)]
+    text = F.when(F.col("c_custkey") % 5 == 0, F.lit("55.7,x, 1,2")).otherwise(F.concat_ws(", ", *corners))
+    return table(spark, sf_dir, "customer").select("c_custkey", requests.parse_box(text).alias("b")).select("c_custkey", "b.south", "b.west", "b.north", "b.east")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey % 3 <> l_suppkey % 3 or (l_linenumber % 6 in (1, 4) and l_quantity > 25) or (l_linenumber % 6 in (2, 5) and l_quantity < 25) as search
+from lineitem""")
+def same_edge(spark, sf_dir):
+    search_needed = routing.needs_search(F.col("l_partkey") % 3, F.col("l_quantity"), F.col("l_suppkey") % 3, F.lit(25), F.col("l_linenumber") % 6)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", search_needed.alias("search"))
+
+
+@query("""with e as (select o_custkey as route, 0 as part, o_orderkey as k, '{"type":"Feature","name":"ShapeMeta","geometry":{"type":"LineString","coordinates":[' ||
+case when o_orderkey % 2 = 0 then p || ',' || q else q || ',' || p end || ']},"properties":{"status":"' || o_orderstatus || '"}}' as feature
+from (select *, '[' || (o_orderkey * 91 % 720 / 4.0::double - 90)::varchar || ',' || (o_orderkey * 37 % 340 / 4.0::double - 42.5)::varchar || ']' as p,
+'[' || (o_custkey * 91 % 720 / 4.0::double - 90)::varchar || ',' || (o_custkey * 37 % 340 / 4.0::double - 42.5)::varchar || ']' as q from orders)),
+s as (select c_custkey as route, 1 as part, 0 as k, '{"type":"Feature","name":"Stop","Shape":"0","geometry":{"type":"Point","coordinates":[' ||
+(c_custkey * 91 % 720 / 4.0::double - 90)::varchar || ',' || (c_custkey * 37 % 340 / 4.0::double - 42.5)::varchar || ']},"properties":{}}' as feature from customer)
+select route, '{"type":"FeatureCollection","features":[' || string_agg(feature, ',' order by part, k) || ']}' as geojson from (select * from e union all select * from s) group by route""")
+def route_features(spark, sf_dir):
+    lat = lambda key: (F.col(key) * 37 % 340) / F.lit(4.0) - 42.5
+    lon = lambda key: (F.col(key) * 91 % 720) / F.lit(4.0) - 90
+    at = lambda key: F.struct(lat(key).alias("lat"), lon(key).alias("lon"))
+    o = table(spark, sf_dir, "orders")
+    edges = o.select(F.col("o_custkey").alias("route"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 2 == 0).alias("forward"), F.array(at("o_orderkey"), at("o_custkey")).alias("shape"), F.create_map(F.lit("status"), "o_orderstatus").alias("attributes"))
+    none = F.lit(None).cast("map<string,string>").alias("attributes")
+    stops = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route"), F.lit(0).cast("bigint").alias("k"), F.lit(0).alias("shape_index"), lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"), none)
+    return render.route_geojson(edges, stops)
+
+
 # ---- without SQL ------------------------------------------------------------------------------------------------------
 
 
