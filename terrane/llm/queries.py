@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, packing, quality, simhash, tokens, toxicity
+from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, packing, prefix_trie, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_html_extraction": html_text.op8,
     "op9_quality_classifier": quality.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
+    "op11_conversation_prefix_trie": prefix_trie.op11,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    "op11_conversation_prefix_trie": prefix_trie.OP11_SQL,
 }
