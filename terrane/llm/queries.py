@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, packing, prefix_trie, quality, simhash, spelling, tokens, toxicity
+from . import decontaminate, exact_dedup, html_text, licenses, line_dedup, max_entropy, packing, prefix_trie, quality, simhash, spelling, tokens, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_classifier": quality.op9,
     "op10_benchmark_decontamination": decontaminate.op10,
     "op11_conversation_prefix_trie": prefix_trie.op11,
+    "op12_lm_scoring": max_entropy.op12,
     "op13_spelling_variants": spelling.op13,
 }
 
