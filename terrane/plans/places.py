@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags as t
-from ..operators.spatial import within_boxes
+from ..operators import containment
+from ..operators.cells import steps
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -100,11 +101,23 @@ def relation_places(relations: DataFrame, ways: DataFrame, nodes: DataFrame, key
 
 
 def with_box(places: DataFrame) -> DataFrame:
-    """places with south, west, north, east, and lat, lon of the middle of the first ring's points."""
+    """places with south, west, north, east, and lat, lon of the middle: of a polygon by area of its first ring, of a line by length, of a point itself."""
     flat = F.flatten("rings")
     of = lambda f, c: f(F.transform(flat, lambda p: p[c]))
-    mean = lambda c: F.aggregate(F.element_at("rings", 1), F.lit(0.0), lambda s, p: s + p[c]) / F.size(F.element_at("rings", 1))
-    return places.withColumns({"south": of(F.array_min, "lat"), "west": of(F.array_min, "lon"), "north": of(F.array_max, "lat"), "east": of(F.array_max, "lon"), "lat": mean("lat"), "lon": mean("lon")})
+    ring = F.element_at("rings", 1)
+    mean = F.struct(*[(F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ring)).alias(c) for c in ("lat", "lon")])  # noqa: B023
+    middle = F.when((F.col("kind") == "polygon") & (F.abs(geo.ring_area(ring)) > 1e-12), area_centroid(ring)).when(F.col("kind") == "line", F.coalesce(line_centroid(ring), mean)).otherwise(mean)
+    boxed = places.withColumns({"south": of(F.array_min, "lat"), "west": of(F.array_min, "lon"), "north": of(F.array_max, "lat"), "east": of(F.array_max, "lon"), "__middle": middle})
+    return boxed.withColumns({"lat": F.col("__middle.lat"), "lon": F.col("__middle.lon")}).drop("__middle")
+
+
+def line_centroid(line):
+    """(lat, lon) of a line's length-weighted middle in the plane; null where it has no length."""
+    pairs = steps(line, False)
+    length = lambda s: F.sqrt(geo.planar2(s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]))
+    total = F.aggregate(F.transform(pairs, length), F.lit(0.0), lambda x, y: x + y)
+    part = lambda c: F.try_divide(F.aggregate(F.transform(pairs, lambda s: length(s) * (s["a"][c] + s["b"][c]) / 2), F.lit(0.0), lambda x, y: x + y), total)
+    return F.when(total > 0, F.struct(part("lat").alias("lat"), part("lon").alias("lon")))
 
 
 def area_centroid(ring):
@@ -117,17 +130,16 @@ def area_centroid(ring):
 
 
 def enrich(places: DataFrame, derive: dict[str, str], cell: float = 0.25) -> DataFrame:
-    """(id, tags): a place's own tags and, from each polygon that holds it, one key.
+    """(id, tags): a place's own tags and, from each other polygon that the whole place is within, one key.
 
     derive: tag of the holder (such as 'place=city') to the key that its name
-    gives (such as 'addr:city'). Own tags win, then the smallest holder, then key and
-    value. One grid join serves all keys.
+    gives (such as 'addr:city'). Own tags win, then the smallest holder by its box, then key and
+    value. One containment join by grid cells serves all keys; outlines are stored once, by their edges.
     """
-    boxed = with_box(places)
     own = places.select("id", F.lit(0).alias("rank"), F.lit(0.0).alias("size"), F.explode("tags").alias("key", "value"))
     holder = F.array_compact(F.array(*[F.when(t.get(F.col("tags"), k.split("=")[0]) == k.split("=")[1], F.lit(v)) for k, v in derive.items()]))
-    areas = boxed.where("kind = 'polygon'").select(F.explode(holder).alias("key"), t.name_or_ref(F.col("tags")).alias("value"), F.col("rings").alias("a_rings"), "south", "west", "north", "east", ((F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))).alias("size"))
-    areas = areas.where("value is not null")
-    held = within_boxes(boxed.select("id", "lat", "lon"), areas, "lat", "lon", cell, geo.in_rings(F.col("lat"), F.col("lon"), F.col("a_rings")))
-    rows = own.unionByName(held.select("id", F.lit(1).alias("rank"), "size", "key", "value"))
+    holders = places.where("kind = 'polygon'").withColumns({"keys": holder, "value": t.name_or_ref(F.col("tags"))}).where("size(keys) > 0 and value is not null")
+    held = containment.within(places.select("id", "kind", "rings"), holders.select(F.col("id").alias("area"), "rings"), cell).where("id <> area")
+    gives = with_box(holders).select(F.col("id").alias("area"), F.explode("keys").alias("key"), "value", ((F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))).alias("size"))
+    rows = own.unionByName(held.join(gives, "area").select("id", F.lit(1).alias("rank"), "size", "key", "value"))
     return t.merge_maps(rows, ["id"], "key", "value", ["rank", "size"])

@@ -1,23 +1,24 @@
-"""Shortest paths: frontier joins for many sources, and best-first kernels run one per query group."""
+"""Shortest paths as waves of joins: labels of all queries move together, one edge a wave, and meet in the middle."""
 
 from __future__ import annotations
 
-import heapq
-import math
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..functions import geo
+from ..operators.rounds import Rounds
+
+#: The turn of a label that no restriction asks about.
+FREE = -1
+
 
 def relax(labels: DataFrame, edges: DataFrame, restrictions: DataFrame | None = None, most: float | None = None) -> DataFrame:
     """Labels (source, node, cost, via) after one more step over edges (edge, a, b, w): the least cost of each node stays.
 
     A turn from via over edge at a node that restrictions (from_edge, to_edge,
-    via_node) name is not taken. Labels over `most` are dropped.
+    via_node) name is not taken. With restrictions the least cost of each node and
+    last edge stays, where a restriction begins with that edge at that node, so a barred
+    turn never hides a longer legal way. Labels over `most` are dropped.
     """
     step = labels.join(edges, labels["node"] == edges["a"])
     if restrictions is not None:
@@ -27,94 +28,23 @@ def relax(labels: DataFrame, edges: DataFrame, restrictions: DataFrame | None =
     every = labels.select("source", "node", "cost", "via").unionByName(moved)
     if most is not None:
         every = every.where(F.col("cost") <= most)
+    turn = []
+    if restrictions is not None:
+        asked = restrictions.select(F.col("from_edge").alias("via"), F.col("via_node").alias("node"), F.col("from_edge").alias("turn")).distinct()
+        every, turn = every.join(asked, ["via", "node"], "left"), ["turn"]
     best = F.min(F.struct("cost", "via")).alias("l")
-    return every.groupBy("source", "node").agg(best).select("source", "node", "l.cost", "l.via")
+    return every.groupBy("source", "node", *turn).agg(best).select("source", "node", "l.cost", "l.via")
+
 
 def k_hop_costs(edges: DataFrame, sources: DataFrame, hops: int, **how) -> DataFrame:
-    """(source, node, cost, via): cheapest costs over at most `hops` edges."""
+    """(source, node, cost, via): cheapest costs over at most `hops` edges, by legal turns if restrictions are given."""
     labels = sources.select(F.col(sources.columns[0]).alias("source"), F.col(sources.columns[0]).alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("via"))
     for _ in range(hops):
         labels = relax(labels, edges, **how)
-    return labels
+    if how.get("restrictions") is None:
+        return labels
+    return labels.groupBy("source", "node").agg(F.min(F.struct("cost", "via")).alias("l")).select("source", "node", "l.cost", "l.via")
 
-def _search(edges, source, target, places, factor, both, turns):
-    """Least cost and edges from source to target: (bidirectional) best-first search with an admissible estimate.
-
-    With turns, a label is (node, edge it was reached by), so a forbidden turn
-    never hides a longer legal path.
-    """
-    out, back = {}, {}
-    for e, a, b, w in edges:
-        out.setdefault(a, []).append((e, b, w))
-        back.setdefault(b, []).append((e, a, w))
-
-    def estimate(x, y):
-        if not factor or x not in places or y not in places:
-            return 0.0
-        (la, lo), (lb, lp) = places[x], places[y]
-        h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(lp - lo) / 2) ** 2
-        return factor * 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h)))
-
-    sides = []
-    for start, goal, graph in ((source, target, out), (target, source, back))[: 2 if both else 1]:
-        key = (start, None)
-        sides.append({"goal": goal, "graph": graph, "g": {key: 0.0}, "from": {}, "heap": [(estimate(start, goal), 0, 0.0, key)], "done": set(), "at": {start: {key}}})
-    best, meet, count, steps = math.inf, None, 0, 0
-
-    def legal(first, node, second):
-        return first is None or second is None or (first, second, node) not in turns
-
-    while all(s["heap"] for s in sides):
-        tops = [s["heap"][0][0] for s in sides]
-        if (len(sides) == 1 and tops[0] >= best) or (len(sides) == 2 and (max(tops) >= best)):
-            break
-        i = min(range(len(sides)), key=lambda k: tops[k])
-        s = sides[i]
-        _, _, g, key = heapq.heappop(s["heap"])
-        if key in s["done"] or g > s["g"][key]:
-            continue
-        s["done"].add(key)
-        steps += 1
-        node, last = key
-        if len(sides) == 1:
-            if node == s["goal"] and g < best:
-                best, meet = g, (key, None)
-        else:
-            other = sides[1 - i]
-            for o in other["at"].get(node, ()):
-                pair = (last, o[1]) if i == 0 else (o[1], last)
-                if g + other["g"][o] < best and legal(pair[0], node, pair[1]):
-                    best, meet = g + other["g"][o], ((key, o) if i == 0 else (o, key))
-        for e, to, w in s["graph"].get(node, ()):
-            if not (legal(last, node, e) if i == 0 else legal(e, node, last)):
-                continue
-            new = (to, e if turns else None)
-            cost = g + w
-            if cost < s["g"].get(new, math.inf):
-                s["g"][new] = cost
-                s["from"][new] = (key, e)
-                s["at"].setdefault(to, set()).add(new)
-                count += 1
-                heapq.heappush(s["heap"], (cost + estimate(to, s["goal"]), count, cost, new))
-                if len(sides) == 2:
-                    other = sides[1 - i]
-                    for o in other["at"].get(to, ()):
-                        pair = (e, o[1]) if i == 0 else (o[1], e)
-                        if cost + other["g"][o] < best and legal(pair[0], to, pair[1]):
-                            best, meet = cost + other["g"][o], ((new, o) if i == 0 else (o, new))
-    if meet is None:
-        return None, [], steps
-    path, key = [], meet[0]
-    while key in sides[0]["from"]:
-        key, e = sides[0]["from"][key]
-        path.append(e)
-    path.reverse()
-    if meet[1] is not None:
-        key = meet[1]
-        while key in sides[1]["from"]:
-            key, e = sides[1]["from"][key]
-            path.append(e)
-    return best, path, steps
 
 #: Codes of the one-way directions along an edge and against it (fixed values).
 ALONG, AGAINST = (1, 4), (2, 5)
@@ -127,49 +57,118 @@ def needs_search(source_edge, source_offset, target_edge, target_offset, directi
 
 
 METHODS = {"dijkstra": (False, False), "astar": (False, True), "bidirectional": (True, False), "mm": (True, True)}
+LABEL = ["query", "side", "node", "turn"]
+
+
+def frontier_pairs(forward: DataFrame, backward: DataFrame, estimate: Column) -> DataFrame:
+    """(query, x, y, bound): for each pair of open ends (query, x, gx) and (query, y, gy) of one query, the cost of a route over both that an estimate from x to y allows."""
+    return forward.join(backward, "query").select("query", "x", "y", (F.col("gx") + F.col("gy") + estimate).alias("bound"))
 
-def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restrictions: DataFrame | None = None, method: str = "mm", factor: float = 0.0, corridor: float | None = None, least: float | None = None) -> DataFrame:
+
+def _arcs(edges: DataFrame, at: DataFrame, turns: DataFrame | None, both: bool) -> DataFrame:
+    """(side, node, edge, to, w, lat, lon, to_turn): edges as each side walks them; to_turn is the edge where a restriction asks for it at its end."""
+    side = lambda k, a, b: edges.select(F.lit(k).alias("side"), F.col(a).alias("node"), "edge", F.col(b).alias("to"), "w")
+    arcs = side(0, "a", "b").unionByName(side(1, "b", "a")) if both else side(0, "a", "b")
+    arcs = arcs.join(at.withColumnRenamed("node", "to"), "to", "left")
+    if turns is None:
+        return arcs.withColumn("to_turn", F.lit(FREE).cast("bigint"))
+    asked = turns.select("side", F.col("node").alias("to"), F.col("last").alias("edge"), F.col("last").alias("asked")).distinct()
+    return arcs.join(asked, ["side", "to", "edge"], "left").withColumn("to_turn", F.coalesce("asked", F.lit(FREE))).drop("asked")
+
+
+def _meets(labels: DataFrame, turns: DataFrame | None, both: bool) -> DataFrame:
+    """(query, best): the cheapest meeting of both sides by a legal turn, or arrival where there is one side."""
+    ahead = labels.where("side = 0").select("query", "node", F.col("turn").alias("f"), "g", "goal")
+    if not both:
+        met = ahead.where("node = goal").withColumn("b", F.lit(FREE).cast("bigint"))
+    else:
+        met = ahead.join(labels.where("side = 1").select("query", "node", F.col("turn").alias("b"), F.col("g").alias("more")), ["query", "node"]).withColumn("g", F.col("g") + F.col("more"))
+        if turns is not None:
+            barred = turns.where("side = 0").select("node", F.col("last").alias("f"), F.col("next").alias("b"))
+            met = met.join(barred, ["node", "f", "b"], "left_anti")
+    return met.groupBy("query").agg(F.min(F.struct(F.col("g").alias("cost"), "node", "f", "b")).alias("best"))
+
+
+def _chains(best: DataFrame, labels: DataFrame, both: bool, rounds: Rounds) -> DataFrame:
+    """(query, path): edges from source to target, by doubling the labels' pointers to the labels they came from."""
+    pred = labels.where("via is not null").select(*LABEL, F.col("from_node").alias("p"), F.col("from_turn").alias("q"))
+    hops = labels.agg(F.max("hops")).first()[0] or 0
+    jumps = [rounds.keep(pred, "jump0")] if hops else []
+    while hops >> len(jumps):
+        j = jumps[-1]
+        onward = j.select("query", "side", F.col("node").alias("p"), F.col("turn").alias("q"), F.col("p").alias("pp"), F.col("q").alias("qq"))
+        jumps.append(rounds.keep(j.join(onward, ["query", "side", "p", "q"]).select(*LABEL, F.col("pp").alias("p"), F.col("qq").alias("q")), f"jump{len(jumps)}"))
+    side = lambda k, turn: best.select("query", F.lit(k).alias("side"), "best.node", F.col(f"best.{turn}").alias("turn"))
+    marked = side(0, "f").unionByName(side(1, "b")) if both else side(0, "f")
+    for j in reversed(jumps):  # every distance back is a sum of distinct jumps
+        marked = marked.unionByName(marked.join(j, LABEL).select("query", "side", F.col("p").alias("node"), F.col("q").alias("turn")))
+    edges = marked.join(labels.where("via is not null"), LABEL).select("query", "side", F.when(F.col("side") == 0, F.col("hops")).otherwise(-F.col("hops")).alias("k"), "via")
+    return edges.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "k", "via"))), lambda x: x["via"]).alias("path"))
+
+
+def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restrictions: DataFrame | None = None, method: str = "mm", factor: float = 0.0, least: float | None = None, most: float | None = None) -> DataFrame:
     """(query, cost, path, steps) of queries (query, source, target) over edges (edge, a, b, w) and nodes (node, lat, lon).
 
-    Queries run in parallel, one group each, over all edges, so costs are the
-    least of the whole graph. A caller who knows that routes stay near may give a
-    corridor: then only edges that start in the box of both ends and that margin in
-    degrees are used, which meet it by an equi-join on one-degree rows of cells, and
-    a route that leaves the box is not found. A query without a route has a
-    null cost. Restrictions (from_edge, to_edge,
-    via_node) travel with the edge that they forbid to enter. factor is the least
-    cost of a metre, which keeps the estimate admissible; least is the least cost
-    of an edge, which cheaper ones are raised to.
+    A label is (query, side, node, turn) with the least cost g yet; the turn is the
+    last edge where a restriction (from_edge, to_edge, via_node) begins with it, so a
+    barred turn never hides a longer legal way. Each wave all labels that got better step
+    over the edges by an equi-join, and one aggregate merges what comes in, so neither
+    the graph nor a query is ever in one task. Only labels whose priority
+    is under the best route found are worth a step: g + estimate, and twice g
+    with two sides, which so stop in the middle. Waves end when no such label is
+    left; costs are then the least of the whole graph.
+
+    factor is the least cost of a metre, which keeps the estimate admissible; least is
+    the least cost of an edge, which cheaper ones are raised to; most bounds a
+    route's cost. A query without a route, or with an end that no edge knows,
+    has a null cost and an empty path; ends that nodes lack have no estimate. Weights must not be negative. steps counts labels.
     """
     both, guided = METHODS[method]
-    at = nodes.select("node", "lat", "lon")
-    ends = queries.select("query", "source", "target").join(at.toDF("source", "slat", "slon"), "source").join(at.toDF("target", "tlat", "tlon"), "target")
-    margin = 0.0 if corridor is None else corridor
-    south, north = F.least("slat", "tlat") - margin, F.greatest("slat", "tlat") + margin
-    west, east = F.least("slon", "tlon") - margin, F.greatest("slon", "tlon") + margin
-    ends = ends.select("query", "source", "target", south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
-    cells = ends.withColumn("cell", F.explode(F.sequence(F.floor("south").cast("int"), F.floor("north").cast("int"))))
-    e = edges.select("edge", "a", "b", (F.col("w").cast("double") if least is None else F.greatest(F.col("w").cast("double"), F.lit(least))).alias("w")).join(at.toDF("a", "alat", "alon"), "a").withColumn("cell", F.floor("alat").cast("int"))
-    if restrictions is None:
-        e = e.withColumn("banned", F.array().cast("array<bigint>"))
-    else:
-        by_turn = restrictions.groupBy(F.col("to_edge").alias("edge"), F.col("via_node").alias("a")).agg(F.collect_set("from_edge").alias("banned"))
-        e = e.join(by_turn, ["edge", "a"], "left")
-    columns = ["edge", "a", "b", "w", "alat", "alon", "banned"]
-    if corridor is None:
-        rows = F.broadcast(ends.select("query", "source", "target")).crossJoin(e.select(*columns))
-    else:
-        rows = cells.join(e, "cell").where("alat between south and north and alon between west and east").select("query", "source", "target", *columns)
-    bare = ends.select("query", "source", "target", *[F.lit(None).cast(e.schema[c].dataType).alias(c) for c in columns])  # a row of each query, also of those without edges
-    rows = rows.unionByName(bare)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        group = group[group["edge"].notna()].astype({"edge": "int64", "a": "int64", "b": "int64"})
-        graph = list(zip(group["edge"].tolist(), group["a"].tolist(), group["b"].tolist(), group["w"].tolist()))
-        places = dict(zip(group["a"].tolist(), zip(group["alat"], group["alon"]))) if guided else {}
-        turns = {(int(f), int(t), int(v)) for t, v, banned in zip(group["edge"], group["a"], group["banned"]) if banned is not None for f in banned}
-        cost, path, steps = _search(graph, int(first["source"]), int(first["target"]), places, factor if guided else 0.0, both, turns)
-        return pd.DataFrame({"query": [first["query"]], "cost": [cost], "path": [path], "steps": [steps]})
-
-    return rows.groupBy("query").applyInPandas(run, "query bigint, cost double, path array<bigint>, steps bigint")
+    rounds = Rounds(edges.sparkSession, "paths")
+    w = F.col("w").cast("double")
+    at = nodes.select("node", "lat", "lon").distinct()
+    turns = None
+    if restrictions is not None:
+        r = restrictions.select("from_edge", "to_edge", F.col("via_node").alias("node"))
+        ahead = r.select(F.lit(0).alias("side"), "node", F.col("from_edge").alias("last"), F.col("to_edge").alias("next"))
+        turns = rounds.keep(ahead.unionByName(r.select(F.lit(1).alias("side"), "node", F.col("to_edge").alias("last"), F.col("from_edge").alias("next"))).distinct(), "turns")
+    arcs = rounds.keep(_arcs(edges.select("edge", "a", "b", (w if least is None else F.greatest(w, F.lit(least))).alias("w")), at, turns, both), "arcs")
+    asked = rounds.keep(queries.select("query", "source", "target"), "queries")
+
+    def start(k: int, here: str, there: str) -> DataFrame:
+        goal = at.select(F.col("node").alias("goal"), F.col("lat").alias("goal_lat"), F.col("lon").alias("goal_lon"))
+        none = F.lit(None).cast("bigint")
+        own = asked.where(F.col("source").isNotNull() & F.col("target").isNotNull()).select("query", F.lit(k).alias("side"), F.col(here).alias("node"), F.lit(FREE).cast("bigint").alias("turn"), F.lit(0.0).alias("g"), F.lit(0.0).alias("f"), F.lit(0).alias("hops"), none.alias("via"), none.alias("from_node"), none.alias("from_turn"), F.lit(True).alias("fresh"), F.col(there).alias("goal"))
+        return own.join(goal, "goal", "left").select(*LABEL, "g", "f", "hops", "via", "from_node", "from_turn", "fresh", "goal", "goal_lat", "goal_lon")
+
+    labels = start(0, "source", "target")
+    labels = rounds.keep(labels.unionByName(start(1, "target", "source")) if both else labels, "labels")
+    estimate = F.coalesce(F.lit(factor) * geo.haversine(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(0.0)) if guided and factor else F.lit(0.0)
+    priority = F.greatest(F.col("f"), 2 * F.col("g")) if both else F.col("f")
+    while True:
+        bound = F.coalesce("best.cost", F.lit(float("inf")))
+        if most is not None:
+            bound = F.least(bound, F.lit(float(most)) + 1e-9)
+        front = labels.where("fresh").join(_meets(labels, turns, both), "query", "left").where(priority < bound).drop("best")
+        front = rounds.keep(front, "front")
+        if front.isEmpty():
+            break
+        step = front.join(arcs, ["side", "node"])
+        if turns is not None:
+            step = step.join(turns.select("side", "node", F.col("last").alias("turn"), F.col("next").alias("edge")), ["side", "node", "turn", "edge"], "left_anti")
+        g = F.col("g") + F.col("w")
+        moved = step.select(
+            "query", "side", F.col("to").alias("node"), F.col("to_turn").alias("turn"), g.alias("g"), (g + estimate).alias("f"), (F.col("hops") + 1).alias("hops"), F.col("edge").alias("via"), F.col("node").alias("from_node"), F.col("turn").alias("from_turn"),
+            F.lit(True).alias("fresh"), "goal", "goal_lat", "goal_lon",
+        )
+        every = labels.withColumn("fresh", F.lit(False)).unionByName(moved)
+        order = F.struct("g", "fresh", "hops", "via", "from_node", "from_turn", "f", "goal", "goal_lat", "goal_lon")  # of equal costs the older label stays
+        labels = rounds.keep(every.groupBy(*LABEL).agg(F.min(order).alias("l")).select(*LABEL, "l.g", "l.f", "l.hops", "l.via", "l.from_node", "l.from_turn", "l.fresh", "l.goal", "l.goal_lat", "l.goal_lon"), "labels")
+    rounds.drop("front", "arcs")
+    best = _meets(labels, turns, both)
+    if most is not None:
+        best = best.where(F.col("best.cost") <= most)
+    best = rounds.keep(best, "best")
+    counted = labels.groupBy("query").agg(F.count(F.lit(1)).alias("steps"))
+    found = asked.select("query").distinct().join(best.select("query", "best.cost"), "query", "left").join(_chains(best, labels, both, rounds), "query", "left").join(counted, "query", "left")
+    return found.select("query", "cost", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), F.coalesce("steps", F.lit(0)).alias("steps"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, requests, tags as tg, units
 from .functions import text as tx
-from .operators import changes, hierarchy, spatial
+from .operators import changes, containment, hierarchy, snapping, spatial
 from .plans import documents as docs_plan
 from .plans import graph, render, routing, search, vehicle
 
@@ -357,17 +357,46 @@ select source * 100 + node as query, min(cost) as cost from k where node in (6,
 def shortest_path_mm(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"), (F.col("n_nationkey") % 5).cast("double").alias("lat"), (F.col("n_nationkey") % 7).cast("double").alias("lon"))
     q = n.where("node < 4").select(F.col("node").alias("source"), F.explode(F.array(*[F.lit(x).cast("bigint") for x in (6, 13, 20)])).alias("target")).withColumn("query", F.col("source") * 100 + F.col("target"))
-    return routing.shortest_paths(q, nation_edges(spark, sf_dir), n, method="mm", corridor=30.0).where("cost is not null").select("query", "cost")
+    return routing.shortest_paths(q, nation_edges(spark, sf_dir), n, method="mm").where("cost is not null").select("query", "cost")
 
 
 @query(f"""with {EDGES_SQL}, f as (select b, min(w) as g from e where a = 0 group by b), r as (select a, min(w) as g from e where b = 3 group by a)
 select f.b as x, r.a as y, f.g + r.g + abs(f.b - r.a) as bound from f, r""")
 def frontier_pairs(spark, sf_dir):
-    e = nation_edges(spark, sf_dir)
-    f = e.where("a = 0").groupBy(F.col("b").alias("x")).agg(F.min("w").alias("gx"))
-    r = e.where("b = 3").groupBy(F.col("a").alias("y")).agg(F.min("w").alias("gy"))
-    both = f.join(F.broadcast(r.groupBy().agg(F.collect_list(F.struct("y", "gy")).alias("r"))))  # the far frontier is one search's own, a few nodes
-    return both.select("x", "gx", F.explode("r").alias("p")).select("x", F.col("p.y").alias("y"), (F.col("gx") + F.col("p.gy") + F.abs(F.col("x") - F.col("p.y"))).alias("bound"))
+    e = nation_edges(spark, sf_dir).withColumn("query", F.lit(1))
+    f = e.where("a = 0").groupBy("query", F.col("b").alias("x")).agg(F.min("w").alias("gx"))
+    r = e.where("b = 3").groupBy("query", F.col("a").alias("y")).agg(F.min("w").alias("gy"))
+    return routing.frontier_pairs(f, r, F.abs(F.col("x") - F.col("y"))).select("x", "y", "bound")
+
+
+def customer_graph(spark, sf_dir):
+    """(edge, a, b, w): each customer leads to three others by its number; turns (from_edge, to_edge, via_node) at a fifth of the meetings are barred."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
+    n = F.broadcast(c.agg(F.count(F.lit(1)).alias("n")))
+    e = c.select("a", F.explode(F.array(F.lit(1), F.lit(5), F.lit(7))).alias("s")).join(n)
+    e = e.select((F.col("a") * 10 + F.col("s")).alias("edge"), "a", ((F.col("a") * 3 + F.col("s")) % F.col("n") + 1).alias("b"), (1 + (F.col("a") * 7919 + F.col("s") * 104729) % 999983 / F.lit(1000003.0)).alias("w"))
+    turns = e.alias("x").join(e.alias("y"), F.col("x.b") == F.col("y.a")).where((F.col("x.edge") * 31 + F.col("y.edge")) % 5 == 0)
+    return e, turns.select(F.col("x.edge").alias("from_edge"), F.col("y.edge").alias("to_edge"), F.col("y.a").alias("via_node"))
+
+
+@query("""with recursive n as (select count(*) as n from customer),
+e as (select c_custkey * 10 + s as edge, c_custkey as a, (c_custkey * 3 + s) % n + 1 as b, 1 + (c_custkey * 7919 + s * 104729) % 999983 / 1000003.0::double as w from customer, n, (select unnest([1, 5, 7]) as s)),
+t as (select x.edge as from_edge, y.edge as to_edge from e x join e y on x.b = y.a where (x.edge * 31 + y.edge) % 5 = 0),
+q as (select n_nationkey as query, n_nationkey * 37 % n + 1 as source, n_nationkey * 101 % n + 1 as target from nation, n),
+lab(query, edge, node, g, path) using key (query, edge) as (
+  select query, edge, b, w, [edge] from q join e on a = source
+  union (select l.query, e.edge, e.b, l.g + e.w, list_append(l.path, e.edge) from lab l join e on e.a = l.node left join recurring.lab o on o.query = l.query and o.edge = e.edge
+    where not exists (select 1 from t where t.from_edge = l.edge and t.to_edge = e.edge) and (o.g is null or l.g + e.w < o.g - 1e-12)
+    qualify row_number() over (partition by l.query, e.edge order by l.g + e.w) = 1)),
+r as (select q.query, source, target, first(struct_pack(g := g, path := path) order by g) as r from q left join lab on lab.query = q.query and lab.node = q.target group by q.query, source, target)
+select query, case when source = target then 0.0 else round(r.g, 6) end as cost, case when source = target then '' else array_to_string(coalesce(r.path, []), ',') end as path from r""")
+def turn_routes(spark, sf_dir):
+    e, turns = customer_graph(spark, sf_dir)
+    n = F.broadcast(table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n")))
+    q = table(spark, sf_dir, "nation").join(n).select(F.col("n_nationkey").cast("bigint").alias("query"), (F.col("n_nationkey") * 37 % F.col("n") + 1).alias("source"), (F.col("n_nationkey") * 101 % F.col("n") + 1).alias("target"))
+    nodes = e.select(F.col("a").alias("node"), lat_of("a").alias("lat"), lon_of("a").alias("lon")).distinct()
+    found = routing.shortest_paths(q, e, nodes, turns)
+    return found.select("query", F.round("cost", 6).alias("cost"), F.array_join("path", ",").alias("path"))
 
 
 # ---- vehicles ---------------------------------------------------------------------------------------------------------
@@ -437,6 +466,32 @@ def snap_to_segment(spark, sf_dir):
     return d.orderBy("d", "s_suppkey").limit(3).select("s_suppkey", F.round("p.t", 6).alias("t"), F.round("d", 6).alias("distance"))
 
 
+SUPPLIER_LINES_SQL = f"""sl as (select s_suppkey as edge, s_suppkey % 6 as direction, {LAT('s_suppkey * 13')} as y1, {LON('s_suppkey * 29')} as x1, {LAT('s_suppkey * 13')} + s_suppkey % 7 - 3 as y2, {LON('s_suppkey * 29')} + s_suppkey % 11 - 5 as x2,
+  {LAT('s_suppkey * 13')} + s_suppkey % 5 - 6 as y3, {LON('s_suppkey * 29')} + s_suppkey % 3 + 2 as x3 from supplier where s_suppkey % 10 <> 0)"""
+
+
+def supplier_lines(spark, sf_dir):
+    """(edge, shape, direction, weight): a line of three points for each supplier; every tenth has no weight."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").withColumns({"k1": k * 13, "k2": k * 29})
+    p = lambda dy, dx: F.struct((lat_of("k1") + dy).alias("lat"), (lon_of("k2") + dx).alias("lon"))
+    zero = F.lit(0)
+    return s.select(k.alias("edge"), F.array(p(zero, zero), p(k % 7 - 3, k % 11 - 5), p(k % 5 - 6, k % 3 + 2)).alias("shape"), (k % 6).alias("direction"), F.when(k % 10 != 0, 1.0).alias("weight"))
+
+
+@query(f"""with {CP_SQL}, {SUPPLIER_LINES_SQL},
+g as (select edge, 1 as i, y1, x1, y2, x2 from sl where direction in (0, 1, 2) union all select edge, 2, y2, x2, y3, x3 from sl where direction in (0, 1, 2)),
+t as (select c_custkey, lat, lon, edge, i, y1, x1, y2, x2, greatest(0.0, least(1.0, coalesce(((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0.0))) as t from cp, g),
+d as (select c_custkey, edge, i, y1 + t * (y2 - y1) as py, x1 + t * (x2 - x1) as px, round(sqrt(pow(y1 + t * (y2 - y1) - lat, 2) + pow(x1 + t * (x2 - x1) - lon, 2)), 9) as d from t),
+n as (select * from d qualify row_number() over (partition by c_custkey order by d, edge, i) = 1),
+o as (select n.*, h.i as part, abs({HAV('py', 'px', 'h.y1', 'h.x1')} + {HAV('py', 'px', 'h.y2', 'h.x2')} - {HAV('h.y1', 'h.x1', 'h.y2', 'h.x2')}) < 1 as on_it from n join g h on h.edge = n.edge)
+select c_custkey, edge, round(any_value(d), 6) as distance, round(any_value(py), 6) as lat, round(any_value(px), 6) as lon, cast(coalesce(min(part) filter (where on_it), 0) as integer) as "offset" from o group by c_custkey, edge""")
+def snap_join(spark, sf_dir):
+    points = customer_points(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lon")
+    put = snapping.snap(points, supplier_lines(spark, sf_dir), 2.0)
+    return put.select(F.col("id").alias("c_custkey"), "edge", F.round("distance", 6).alias("distance"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "offset")
+
+
 @query(f"with {CP_SQL} select c_custkey from cp where lat between -70 and -40 and lon between -160 and -60")
 def bbox_window(spark, sf_dir):
     return customer_points(spark, sf_dir).where(geo.in_box(F.col("lat"), F.col("lon"), -70, -160, -40, -60)).select("c_custkey")
@@ -464,6 +519,56 @@ def box_ops(spark, sf_dir):
     return met.where(geo.boxes_overlap(F.col("x"), F.col("y"))).select("a", "b").distinct()
 
 
+#: An L with a hole, in degrees from a corner.
+L_RINGS = [[(0, 0), (0, 40), (14, 40), (14, 18), (30, 18), (30, 0)], [(4, 4), (4, 12), (10, 12), (10, 4)]]
+
+
+def l_areas(spark, sf_dir):
+    """(area, rings): an L with a hole for each nation."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("area"), (F.col("n_nationkey") * 311).alias("k1"), (F.col("n_nationkey") * 97).alias("k2"))
+    return n.select("area", F.array(*[F.array(*[F.struct((lat_of("k1") + y + 0.005).alias("lat"), (lon_of("k2") + x + 0.005).alias("lon")) for y, x in r]) for r in L_RINGS]).alias("rings"))
+
+
+L_SQL = "l as (select * from (values " + ", ".join(f"({r}, {i}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for r, ring in enumerate(L_RINGS) for i, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))) + f""") as v(ring, seg, a, b, c, d)),
+ar as (select n_nationkey as area, ring, seg, {LAT('n_nationkey * 311')} + a + 0.005 as y1, {LON('n_nationkey * 97')} + b + 0.005 as x1, {LAT('n_nationkey * 311')} + c + 0.005 as y2, {LON('n_nationkey * 97')} + d + 0.005 as x2 from nation, l)"""
+
+
+@query(f"""with {CP_SQL}, {L_SQL} select c_custkey, area from cp join ar on (y1 > lat) <> (y2 > lat) and lon < (lat - y1) * ((x2 - x1) / (y2 - y1)) + x1 group by c_custkey, area having count(*) % 2 = 1""")
+def points_in_areas(spark, sf_dir):
+    grid = containment.AreaCells(l_areas(spark, sf_dir), 3.0)
+    return grid.holding(customer_points(spark, sf_dir).select("c_custkey", "lat", "lon")).select("c_custkey", "area")
+
+
+def customer_shapes(spark, sf_dir):
+    """(id, kind, rings): a point, a line or a polygon at each customer's place."""
+    c = customer_points(spark, sf_dir)
+    p = lambda y, x: F.struct((F.col("lat") + y).alias("lat"), (F.col("lon") + x).alias("lon"))
+    line, shape = F.array(p(0, 0), p(7, 1), p(1, 9)), F.array(p(0, 0), p(8, 2), p(3, 11))
+    kind = F.element_at(F.array(*map(F.lit, ("point", "line", "polygon"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return c.select(F.col("c_custkey").alias("id"), kind.alias("kind"), F.array(F.when(kind == "point", F.array(p(0, 0))).when(kind == "line", line).otherwise(shape)).alias("rings"))
+
+
+_SIDE = "sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+_APART = " and ".join(
+    f"{_SIDE.format(ay=a[0], ax=a[1], by=a[2], bx=a[3], py=b[0], px=b[1])} * {_SIDE.format(ay=a[0], ax=a[1], by=a[2], bx=a[3], py=b[2], px=b[3])} < 0"
+    for a, b in ((("s.y1", "s.x1", "s.y2", "s.x2"), ("e.y1", "e.x1", "e.y2", "e.x2")), (("e.y1", "e.x1", "e.y2", "e.x2"), ("s.y1", "s.x1", "s.y2", "s.x2")))
+)
+_RAY = "({e}.y1 > {p}.lat) <> ({e}.y2 > {p}.lat) and {p}.lon < ({p}.lat - {e}.y1) * (({e}.x2 - {e}.x1) / ({e}.y2 - {e}.y1)) + {e}.x1"
+
+
+@query(f"""with {CP_SQL}, {L_SQL},
+v as (select c_custkey as id, c_custkey % 3 as k, i, lat + case i when 1 then case when c_custkey % 3 = 1 then 7 else 8 end when 2 then case when c_custkey % 3 = 1 then 1 else 3 end else 0 end as lat,
+  lon + case i when 1 then case when c_custkey % 3 = 1 then 1 else 2 end when 2 then case when c_custkey % 3 = 1 then 9 else 11 end else 0 end as lon from cp, (select unnest([0, 1, 2]) as i) where c_custkey % 3 <> 0 or i = 0),
+h as (select v.id, v.i, e.area from v join ar e on {_RAY.format(e='e', p='v')} group by v.id, v.i, e.area having count(*) % 2 = 1),
+w as (select id, area from h group by id, area having count(*) = case when id % 3 = 0 then 1 else 3 end),
+s as (select a.id, a.k, a.i, a.lat as y1, a.lon as x1, b.lat as y2, b.lon as x2 from v a join v b on a.id = b.id and b.i = (a.i + 1) % 3 where a.k = 2 or a.k = 1 and a.i < 2),
+c as (select distinct w.id, w.area from w join s on s.id = w.id join ar e on e.area = w.area where {_APART}),
+o as (select w.id, w.area from w join ar p on p.area = w.area and p.seg = 0 join s e on e.id = w.id and e.k = 2 where {_RAY.replace('{p}.lat', '{p}.y1').replace('{p}.lon', '{p}.x1').format(e='e', p='p')} group by w.id, w.area, p.ring having count(*) % 2 = 1)
+select id, area from w where not exists (select 1 from c where c.id = w.id and c.area = w.area) and not exists (select 1 from o where o.id = w.id and o.area = w.area)""")
+def places_within(spark, sf_dir):
+    return containment.within(customer_shapes(spark, sf_dir), l_areas(spark, sf_dir), 3.0)
+
+
 PENTAGON = [(-20.0, -60.0), (35.0, -40.0), (50.0, 20.0), (10.0, 70.0), (-30.0, 15.0)]
 _CROSS = " + ".join(
     f"case when ({y1} > lat) <> ({y2} > lat) and lon < (lat - ({y1})) * (({x2} - ({x1})) / ({y2} - ({y1}))) + ({x1}) then 1 else 0 end" for (y1, x1), (y2, x2) in zip(PENTAGON, PENTAGON[1:] + PENTAGON[:1])
