@@ -676,6 +676,36 @@ def ordered_parts_search(spark, sf_dir):
     return t.join(hit, t["id"] == hit["doc_id"], "left_semi").orderBy(F.length("full_title"), "id").limit(20)
 
 
+@query(r"""select p_partkey, p_name from part where regexp_matches(lower(p_name), '[^ ]*lin[^ ]*') and regexp_matches(lower(p_name), 'm')""")
+def infix_search(spark, sf_dir):
+    index, part = part_index(spark, sf_dir), table(spark, sf_dir, "part")
+    hit = search.match(index, "*lin* m", mode="infix", gram_index=search.grams(index))
+    return part.join(hit, part["p_partkey"] == hit["doc_id"], "left_semi").select("p_partkey", "p_name")
+
+
+#: Forms of two words, by part number; each query word below has another form still.
+STREETS, BIG = ["улица", "улицы", "улице", "улицей", "улей", "улицах"], ["большая", "большой", "большие", "болтливый", "большую"]
+
+
+@query("select p_partkey from part where p_partkey % 6 <> 4 and p_partkey % 5 <> 3")
+def stem_search(spark, sf_dir):
+    of = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(", ", "p_brand", F.concat_ws(" ", of(BIG), of(STREETS)), "p_type").alias("title"))
+    hit = search.match(search.postings(part, "p_partkey", ["title"], stems=True), "больших улицам", mode="stem")
+    return hit.select(F.col("doc_id").alias("p_partkey"))
+
+
+@query(f"""with recursive {REGISTRY_SQL},
+up as (select id, parent, {TITLE_SQL} as full_title from reg where parent is null
+  union all select r.id, r.parent, u.full_title || ', ' || case when r.level > 1 then r.type || ' ' || r.name else r.name end from reg r join up u on r.parent = u.id),
+p as (select id, i, list_filter(regexp_split_to_array(lower(string_split(full_title, ',')[i]), '[^\\p{{L}}\\p{{N}}-]+'), lambda x: x <> '') as words from up, unnest(range(1, len(string_split(full_title, ',')) + 1)) as u(i)),
+s as (select *, coalesce(sum(len(words) + 100) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) as start from p)
+select id as doc_id, cast(start + k - 1 as bigint) as pos, words[k] as term from s, unnest(range(1, len(words) + 1)) as v(k)""")
+def comma_positions(spark, sf_dir):
+    titles = registry_full_title(spark, sf_dir).select("id", "full_title")
+    return search.postings(titles, "id", ["full_title"]).select("doc_id", "pos", "term")
+
+
 @query("""select p_partkey, array_to_string(list_transform(string_split(lower(replace(p_name, 'ring', 'ул.')), ' '), lambda x: case x when 'ул.' then 'улица' when 'gear' then 'часть' else x end), ' ') as folded from part""")
 def wordform_fold(spark, sf_dir):
     c = F.regexp_replace("p_name", "ring", "ул.")
