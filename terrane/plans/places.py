@@ -1,9 +1,8 @@
 """Place geometries from map elements, and their enrichment by the areas that hold them.
 
 A geometry is a struct: kind (point, line, polygon) and rings, arrays of
-(lat, lon). A polygon's outer and inner rings are together under the even-odd
-rule, which needs no polygon union or difference and gives the same answer
-to "is this point inside" for well-formed relations.
+(lat, lon). A polygon's rings are together under the even-odd rule; those of
+relations are unions and differences of their members in order.
 """
 
 from __future__ import annotations
@@ -12,14 +11,16 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags as t
+from ..functions.polygons import fold
 from ..operators import containment
 from ..operators.cells import steps
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[fold.__module__])
 
 RING = "array<struct<lat:double,lon:double>>"
 
@@ -82,21 +83,34 @@ def connect_rings(chains: list[list[int]]) -> list[list[int]]:
 
 
 def relation_places(relations: DataFrame, ways: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Polygons of relations from their way members with roles outer and inner; other roles are ignored."""
+    """Polygons of relations from their way members with roles outer and inner; other roles are ignored.
+
+    Members of one role in a row form a run. Each run's ways are joined to rings; runs are added (outer)
+    and taken away (inner) in order, so outers that touch or overlap become one. The rings left stand under the
+    even-odd rule, and no two of them cross.
+    """
     some = relations.where(t.has_any_key(F.col("tags"), keys))
-    m = some.select("id", F.posexplode("members").alias("pos", "m")).where("m.type = 1 and m.role in ('outer', 'inner')")
-    chains = m.select("id", "pos", F.col("m.role").alias("role"), F.col("m.id").alias("way")).join(ways.select(F.col("id").alias("way"), "nodes"), "way")
-    by_role = chains.groupBy("id", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nodes"))), lambda c: c["nodes"]).alias("chains"))
+    m = some.select("id", F.posexplode("members").alias("pos", "m")).where("m.type = 1 and m.role in ('outer', 'inner')").select("id", "pos", F.col("m.role").alias("role"), F.col("m.id").alias("way"))
+    w = Window.partitionBy("id").orderBy("pos")  # the members of one relation
+    m = m.withColumn("new", F.coalesce((F.col("role") != F.lag("role").over(w)).cast("int"), F.lit(0))).withColumn("run", F.sum("new").over(w)).drop("new")
+    chains = m.join(ways.select(F.col("id").alias("way"), "nodes"), "way")
+    by_run = chains.groupBy("id", "run", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "nodes"))), lambda c: c["nodes"]).alias("chains"))
 
     @F.pandas_udf("array<array<bigint>>")
     def rings(c: pd.Series) -> pd.Series:
         return c.map(lambda chains: connect_rings([[int(n) for n in x] for x in chains]))
 
-    pts = by_role.select("id", "role", F.posexplode(rings("chains")).alias("r", "ring")).select("id", "role", "r", F.posexplode("ring").alias("k", "node"))
+    @F.pandas_udf(f"array<{RING}>")
+    def folded(runs: pd.Series) -> pd.Series:
+        read = lambda ring: [(p["lat"], p["lon"]) for p in ring]
+        return runs.map(lambda rs: [[{"lat": y, "lon": x} for y, x in ring] for ring in fold([(r["role"], [read(ring) for ring in r["rings"]]) for r in rs])])
+
+    pts = by_run.select("id", "run", "role", F.posexplode(rings("chains")).alias("r", "ring")).select("id", "run", "role", "r", F.posexplode("ring").alias("k", "node"))
     pts = pts.join(nodes.select(F.col("id").alias("node"), "lat", "lon"), "node")
     shape = F.transform(F.array_sort(F.collect_list(F.struct("k", "lat", "lon"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    ring = pts.groupBy("id", "role", "r").agg(shape.alias("ring")).where("size(ring) >= 4")
-    out = ring.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("role") == "outer", 0).otherwise(1).alias("o"), "r", "ring"))), lambda x: x["ring"]).alias("rings"))
+    ring = pts.groupBy("id", "run", "role", "r").agg(shape.alias("ring")).where("size(ring) >= 4")
+    runs = ring.groupBy("id", "run", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ring"))), lambda x: x["ring"]).alias("rings"))
+    out = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "role", "rings"))).alias("runs")).select("id", folded("runs").alias("rings")).where("size(rings) > 0")
     return some.select("id", "tags").join(out, "id").select("id", "tags", F.lit("polygon").alias("kind"), "rings")
 
 

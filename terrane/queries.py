@@ -676,10 +676,10 @@ def ordered_parts_search(spark, sf_dir):
     return t.join(hit, t["id"] == hit["doc_id"], "left_semi").orderBy(F.length("full_title"), "id").limit(20)
 
 
-@query(r"""select p_partkey, p_name from part where regexp_matches(lower(p_name), '[^ ]*lin[^ ]*') and regexp_matches(lower(p_name), 'm')""")
+@query(r"""select p_partkey, p_name from part where regexp_matches(lower(p_name), 'izm') and regexp_matches(lower(p_name), 'old')""")
 def infix_search(spark, sf_dir):
     index, part = part_index(spark, sf_dir), table(spark, sf_dir, "part")
-    hit = search.match(index, "*lin* m", mode="infix", gram_index=search.grams(index))
+    hit = search.match(index, "*izm* old", mode="infix", gram_index=search.grams(index))
     return part.join(hit, part["p_partkey"] == hit["doc_id"], "left_semi").select("p_partkey", "p_name")
 
 
