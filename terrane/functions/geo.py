@@ -135,3 +135,38 @@ def along(lat1, lon1, lat2, lon2, metres) -> Column:
     """(lat, lon) at a distance along a segment, by share of its length."""
     t = F.coalesce(F.try_divide(metres, haversine(lat1, lon1, lat2, lon2)), F.lit(0.0))
     return F.struct((lat1 + t * (lat2 - lat1)).alias("lat"), (lon1 + t * (lon2 - lon1)).alias("lon"))
+
+
+def along_line(points, metres) -> Column:
+    """(lat, lon) at a distance along an array of points: the first step whose end is as far, then its share. Before the start and after the end the end itself; null without points."""
+    n = F.size(points)
+    steps = F.zip_with(F.slice(points, 1, F.greatest(n - 1, F.lit(0))), F.slice(points, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: haversine(a["lat"], a["lon"], b["lat"], b["lon"]))
+    sums = F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.array_append(acc, F.element_at(acc, -1) + d))
+
+    def place(x):
+        after = F.size(F.filter(x, lambda s: s < metres))  # sums do not fall, so as many stand before the place
+        k = F.greatest(F.lit(1), F.least(after, F.size(x) - 1))
+        a, b, part = F.get(points, k - 1), F.get(points, k), F.get(x, k) - F.get(x, k - 1)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(metres - F.get(x, k - 1), part), F.lit(0.0))))
+        return F.when(n > 1, F.struct((a["lat"] + t * (b["lat"] - a["lat"])).alias("lat"), (a["lon"] + t * (b["lon"] - a["lon"])).alias("lon"))).when(n == 1, F.struct(F.get(points, F.lit(0))["lat"].alias("lat"), F.get(points, F.lit(0))["lon"].alias("lon")))
+
+    return F.transform(F.array(sums), place)[0]
+
+
+def offset_both(lat, lon, north, east) -> tuple[Column, Column]:
+    """The point that many metres north and east."""
+    up, _ = offset(lat, lon, north, F.lit(0.0))
+    _, over = offset(lat, lon, east, F.lit(90.0))
+    return up, over
+
+
+def rings_area(rings) -> Column:
+    """Square degrees inside rings that do not cross, under the even-odd rule: a ring in an odd number of others is a hole."""
+    middle = lambda r: F.struct(((r[0]["lat"] + r[1]["lat"]) / 2).alias("lat"), ((r[0]["lon"] + r[1]["lon"]) / 2).alias("lon"))
+
+    def signed(r, i):
+        m = middle(r)
+        around = F.filter(rings, lambda s, j: (j != i) & in_rings(m["lat"], m["lon"], F.array(s)))
+        return F.when(F.size(around) % 2 == 0, F.abs(ring_area(r))).otherwise(-F.abs(ring_area(r)))
+
+    return F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda x, y: x + y)

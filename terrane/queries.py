@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import geo, requests, tags as tg, units
 from .functions import text as tx
-from .operators import changes, containment, hierarchy, snapping, spatial
+from .operators import changes, containment, crossings, hierarchy, snapping, spatial
 from .plans import documents as docs_plan
-from .plans import graph, render, routing, search, vehicle
+from .plans import graph, places, render, routing, search, stitch, vehicle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -580,6 +580,44 @@ def point_in_polygon(spark, sf_dir):
     return customer_points(spark, sf_dir).where(geo.in_ring(F.col("lat"), F.col("lon"), PENTAGON)).select("c_custkey")
 
 
+@query(f"""with {CP_SQL}, {SUPPLIER_LINES_SQL}, v as (select c_custkey as id, lat as y1, lon as x1, lat + 7 as y2, lon + 1 as x2, lat + 1 as y3, lon + 9 as x3 from cp where c_custkey % 3 = 1),
+a as (select id, 0 as seg, y1, x1, y2, x2 from v union all select id, 1, y2, x2, y3, x3 from v), b as (select edge as id, 0 as seg, y1, x1, y2, x2 from sl union all select edge, 1, y2, x2, y3, x3 from sl),
+t as (select a.id as a, b.id as b, a.seg as a_seg, b.seg as b_seg, a.y1, a.x1, a.y2, a.x2, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0) as t,
+  ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0) as u from a, b)
+select a, b, a_seg, b_seg, round(y1 + t * (y2 - y1), 6) as lat, round(x1 + t * (x2 - x1), 6) as lon from t where t between 0 and 1 and u between 0 and 1""")
+def line_crossings(spark, sf_dir):
+    a = customer_shapes(spark, sf_dir).where("kind = 'line'").select("id", F.col("rings")[0].alias("shape"), F.lit(False).alias("closed"))
+    b = supplier_lines(spark, sf_dir).where("weight is not null").select(F.col("edge").alias("id"), "shape", F.lit(False).alias("closed"))
+    return crossings.crossings(a, b, 3.0).select("a", "b", "a_seg", "b_seg", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query(f"""with {SUPPLIER_LINES_SQL}, d as (select *, {HAV('y1', 'x1', 'y2', 'x2')} as d1, {HAV('y2', 'x2', 'y3', 'x3')} as d2, edge % 9 * 100000.0::double as m from sl),
+t as (select *, case when m > d1 then least(1.0, (m - d1) / d2) end as t2, case when d1 > 0 then least(1.0, m / d1) else 0 end as t1 from d)
+select edge, round(coalesce(y2 + t2 * (y3 - y2), y1 + t1 * (y2 - y1)), 6) as lat, round(coalesce(x2 + t2 * (x3 - x2), x1 + t1 * (x2 - x1)), 6) as lon from t""")
+def along_lines(spark, sf_dir):
+    s = supplier_lines(spark, sf_dir).where("weight is not null").withColumn("p", geo.along_line(F.col("shape"), (F.col("edge") % 9 * 100000).cast("double")))
+    return s.select("edge", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
+
+
+_INTER = lambda a, b: "greatest(0, least({0}3, {1}3) - greatest({0}1, {1}1)) * greatest(0, least({0}4, {1}4) - greatest({0}2, {1}2))".format(a, b)
+
+
+@query(f"""with b as (select n_nationkey as k, 0.0 as a1, 0.0 as a2, 6 + n_nationkey % 3 as a3, 8 + n_nationkey % 5 as a4, 2 + n_nationkey % 3 as b1, 3 + n_nationkey % 4 as b2, 9 + n_nationkey % 3 as b3, 12 + n_nationkey % 4 as b4, 1 as c1, 1 as c2, 4 + n_nationkey % 2 as c3, 5 as c4 from nation),
+d as (select *, greatest(a1, b1) as d1, greatest(a2, b2) as d2, least(a3, b3) as d3, least(a4, b4) as d4 from b)
+select k as relation, round((a3 - a1) * (a4 - a2) + (b3 - b1) * (b4 - b2) - {_INTER('a', 'b')} - ({_INTER('c', 'a')} + {_INTER('c', 'b')} - {_INTER('c', 'd')}), 6) as area from d""")
+def folded_areas(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n"))
+    k = F.col("n")
+    boxes = [("outer", 0, 0, 6 + k % 3, 8 + k % 5), ("outer", 2 + k % 3, 3 + k % 4, 9 + k % 3, 12 + k % 4), ("inner", 1, 1, 4 + k % 2, 5)]
+    corner = lambda way, i, lat, lon: F.struct((k * 100 + way * 10 + i).alias("id"), F.lit(lat).cast("double").alias("lat") if isinstance(lat, int) else lat.cast("double").alias("lat"), F.lit(lon).cast("double").alias("lon") if isinstance(lon, int) else lon.cast("double").alias("lon"))
+    nodes = n.select(F.explode(F.array(*[corner(w, i, (s_, s_, n_, n_)[i], (w_, e_, e_, w_)[i]) for w, (_, s_, w_, n_, e_) in enumerate(boxes) for i in range(4)])).alias("c")).select("c.*")
+    ways = n.select(F.explode(F.array(*[F.struct((k * 10 + w).alias("id"), F.array(*[k * 100 + w * 10 + i for i in (0, 1, 2, 3, 0)]).alias("nodes")) for w in range(3)])).alias("w")).select("w.*")
+    members = F.array(*[F.struct((k * 10 + w).alias("id"), F.lit(boxes[w][0]).alias("role"), F.lit(1).alias("type")) for w in range(3)])
+    rel = n.select(k.alias("id"), F.create_map(F.lit("place"), F.lit("city")).alias("tags"), members.alias("members"))
+    got = places.relation_places(rel, ways, nodes, ["place"])
+    return got.select(F.col("id").cast("int").alias("relation"), F.round(geo.rings_area(F.col("rings")), 6).alias("area"))
+
+
 def rings(spark, sf_dir):
     p = customer_points(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
     shape = F.transform(F.array_sort(F.collect_list(F.struct("rn", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
@@ -791,6 +829,47 @@ def route_features(spark, sf_dir):
     return render.route_geojson(edges, stops)
 
 
+def stitched(spark, sf_dir):
+    """Stitched routes of five edges a customer; every other edge is stored against its way."""
+    c = F.col("c_custkey")
+    lat = lambda node: (node * 37 % 340) / F.lit(4.0) - 42.5
+    lon = lambda node: (node * 91 % 720) / F.lit(4.0) - 90
+    at = lambda y, x: F.struct(y.alias("lat"), x.alias("lon"))
+    k = F.col("k")
+    e = table(spark, sf_dir, "customer").select(c.alias("route"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    e = e.withColumns({"u": (F.col("route") * 7 + k * 13) % 5000, "v": (F.col("route") * 7 + (k + 1) * 13) % 5000, "flip": (F.col("route") + k) % 2 == 1})
+    u, v, flip = F.col("u"), F.col("v"), F.col("flip")
+    way = F.array(at(lat(u), lon(u)), at(lat(u) + 0.25, lon(v) - 0.5), at(lat(v), lon(v)))
+    e = e.select("route", "k", F.when(flip, v).otherwise(u).alias("from_node"), F.when(flip, u).otherwise(v).alias("to_node"), F.when(flip, F.reverse(way)).otherwise(way).alias("shape"), F.create_map(F.lit("class"), (F.floor(k / 2)).cast("string"), F.lit("side"), (F.col("route") % 2).cast("string")).alias("attributes"))
+    ends = table(spark, sf_dir, "customer").select(
+        c.alias("route"), (lat(c) + 0.5).alias("s_lat"), (lon(c) + 0.75).alias("s_lon"), F.when(c % 2 == 1, 2).otherwise(1).alias("s_offset"), (lat(c) - 0.5).alias("t_lat"), (lon(c) - 0.75).alias("t_lon"), F.when((c + 4) % 2 == 1, 1).otherwise(2).alias("t_offset"),
+    )
+    return stitch.stitch(e, ends)
+
+
+STITCH_SQL = """s as (select c_custkey as route, k, (c_custkey * 7 + k * 13) % 5000 as u, (c_custkey * 7 + (k + 1) * 13) % 5000 as v from customer, (select unnest([0, 1, 2, 3, 4]) as k)),
+w as (select route, k, u * 37 % 340 / 4.0::double - 42.5 as uy, u * 91 % 720 / 4.0::double - 90 as ux, v * 37 % 340 / 4.0::double - 42.5 as vy, v * 91 % 720 / 4.0::double - 90 as vx from s),
+p as (select route, k, 1 as i, uy + 0.25 as y, vx - 0.5 as x from w union all select route, k, 2, vy, vx from w where k < 4
+  union all select c_custkey, 0, 0, c_custkey * 37 % 340 / 4.0::double - 42.5 + 0.5, c_custkey * 91 % 720 / 4.0::double - 90 + 0.75 from customer union all select c_custkey, 4, 3, c_custkey * 37 % 340 / 4.0::double - 42.5 - 0.5, c_custkey * 91 % 720 / 4.0::double - 90 - 0.75 from customer),
+q as (select *, '[' || x::varchar || ',' || y::varchar || ']' as xy, row_number() over (partition by route order by k, i) - 1 as n from p),
+m as (select route, k // 2 as run, min(n) as n, '{"class":"' || (k // 2) || '","side":"' || (route % 2) || '"}' as a from q group by route, k // 2),
+z as (select route, string_agg(xy, ',' order by n) as shape, max(n) as last, first(xy order by n) as src, last(xy order by n) as dst from q group by route)"""
+
+
+@query(f"""with {STITCH_SQL}, j as (select route, string_agg('{{"Shape":' || n || ',"Attributes":' || a || '}}', ',' order by n) as meta from m group by route)
+select route, '{{"Shape":[' || shape || '],"ShapeMeta":[' || meta || '],"Stops":[{{"Shape":0,"Coordinates":' || src || '}},{{"Shape":' || last || ',"Coordinates":' || dst || '}}]}}' as json from z join j using (route)""")
+def route_documents(spark, sf_dir):
+    return stitch.route_json(stitched(spark, sf_dir))
+
+
+@query(f"""with {STITCH_SQL}, t as (select m.route, m.n, m.a, coalesce(lead(m.n) over (partition by m.route order by m.n), z.last) as stop from m join z using (route)),
+l as (select t.route, t.n, '{{"type":"Feature","name":"ShapeMeta","geometry":{{"type":"LineString","coordinates":[' || string_agg(q.xy, ',' order by q.n) || ']}},"properties":' || any_value(t.a) || '}}' as f from t join q on q.route = t.route and q.n between t.n and t.stop group by t.route, t.n)
+select route, '{{"type":"FeatureCollection","features":[' || string_agg(f, ',' order by n) || ',{{"type":"Feature","name":"Stop","Shape":"0","geometry":{{"type":"Point","coordinates":' || any_value(src) || '}},"properties":{{}}}},{{"type":"Feature","name":"Stop","Shape":"' || any_value(last) || '","geometry":{{"type":"Point","coordinates":'
+ || any_value(dst) || '}},"properties":{{}}}}]}}' as geojson from l join z using (route) group by route""")
+def route_lines(spark, sf_dir):
+    return stitch.route_geojson(stitched(spark, sf_dir))
+
+
 # ---- without SQL ------------------------------------------------------------------------------------------------------
 
 
