@@ -6,11 +6,15 @@ import struct
 import sys
 import zlib
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import open_at
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[open_at.__module__])
 
 SCHEMA = "type string, id bigint, lat double, lon double, tags map<string,string>, nodes array<bigint>, members array<struct<id:bigint,role:string,type:int>>"
 
@@ -48,21 +52,25 @@ def fields(b):
         yield key >> 3, value
 
 
+def packed(b) -> np.ndarray:
+    """Packed varints as unsigned 64-bit numbers, all at once: each byte's seven bits, shifted to their place and summed."""
+    x = np.frombuffer(b, dtype=np.uint8)
+    ends = np.flatnonzero(x < 128)
+    if not len(ends):
+        return np.empty(0, dtype=np.uint64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(ends[-1] + 1) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((x[: ends[-1] + 1] & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts)
+
+
 def numbers(b) -> list[int]:
-    out, at = [], 0
-    while at < len(b):
-        n, at = varint(b, at)
-        out.append(n)
-    return out
+    return packed(b).tolist()
 
 
 def running(b) -> list[int]:
     """Delta-coded signed numbers."""
-    out, n = [], 0
-    for x in numbers(b):
-        n += signed(x)
-        out.append(n)
-    return out
+    n = packed(b)
+    return np.cumsum((n >> np.uint64(1)).astype(np.int64) ^ -(n & np.uint64(1)).astype(np.int64)).tolist()
 
 
 def blobs(f):
@@ -128,7 +136,7 @@ class _Blocks(InputPartition):
 
 
 class OsmPbf(DataSource):
-    """`format("osm_pbf")`: elements of an extract in file order. Options: path (seen by all executors), blocks (a partition, 16)."""
+    """`format("osm_pbf")`: elements of an extract in file order. Options: path (see files.open_at), blocks (a partition, 16)."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,12 +154,12 @@ class _PbfReader(DataSourceReader):
         self.path, self.blocks = path, blocks
 
     def partitions(self):
-        with open(self.path, "rb") as f:
+        with open_at(self.path) as f:
             places = [(at, size) for kind, at, size in blobs(f) if kind == "OSMData"]
         return [_Blocks(self.path, places[k : k + self.blocks]) for k in range(0, len(places), self.blocks)]
 
     def read(self, p: _Blocks):
-        with open(p.path, "rb") as f:
+        with open_at(p.path) as f:
             for at, size in p.places:
                 f.seek(at)
                 yield from elements(unpack(f.read(size)))

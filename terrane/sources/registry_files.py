@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .files import open_at
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(sys.modules[open_at.__module__])
 
 # Registry tables by file-name mask and the key of each.
 DBF_KEYS = {"addrob": "aoid", "house": "houseid", "room": "roomid", "stead": "steadid", "socrbase": "kod_t_st", "eststat": "eststatid", "daddrob": "aoid", "dhouse": "houseid", "droom": "roomid", "dstead": "steadid"}
@@ -85,8 +88,8 @@ class _Entry(InputPartition):
 class DbfZip(DataSource):
     """`format("dbf_zip")`: the rows of one table of a zip of DBF files. Options: path, table, region (a number, or all), encoding.
 
-    An archive entry is a partition, read as a stream of fixed-width rows; the
-    path must be one that executors see. A file without rows gives none.
+    An archive entry is a partition, read as a stream of fixed-width rows; for paths see
+    files.open_at. A file without rows gives none.
     """
 
     @classmethod
@@ -97,7 +100,7 @@ class DbfZip(DataSource):
         import zipfile
 
         table, region = self.options["table"].lower(), self.options.get("region")
-        with zipfile.ZipFile(self.options["path"]) as z:
+        with open_at(self.options["path"]) as archive, zipfile.ZipFile(archive) as z:
             found = [(n, dbf_table(n)) for n in z.namelist()]
         return [_Entry(self.options["path"], n, t[1]) for n, t in found if t and t[0] == table and region in (None, t[1])]
 
@@ -107,7 +110,7 @@ class DbfZip(DataSource):
         entries = self.entries()
         if not entries:
             return "region string"
-        with zipfile.ZipFile(entries[0].path) as z, z.open(entries[0].entry) as f:
+        with open_at(entries[0].path) as archive, zipfile.ZipFile(archive) as z, z.open(entries[0].entry) as f:
             fields = dbf_header(f.read(65535))[3]
         return ", ".join(["region string", *(f"`{f[0]}` {dbf_kind(f)}" for f in fields)])
 
@@ -125,7 +128,7 @@ class _DbfReader(DataSourceReader):
     def read(self, p: _Entry):
         import zipfile
 
-        with zipfile.ZipFile(p.path) as z, z.open(p.entry) as f:
+        with open_at(p.path) as archive, zipfile.ZipFile(archive) as z, z.open(p.entry) as f:
             head = f.read(32)
             size = struct.unpack_from("<H", head, 8)[0]
             rows, _, width, fields = dbf_header(head + f.read(size - 32))
