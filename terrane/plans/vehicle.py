@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import tags as t
+from ..functions import tags as t, units
 
 # Highway classes with the speed of a car on them (km/h) and the divisor of the classification profile.
 CAR_SPEEDS = {
@@ -24,10 +24,14 @@ ACCESS = {"private": False, "yes": True, "no": False, "permissive": True, "desti
 
 @dataclass(frozen=True)
 class Profile:
+    """A vehicle's rules. speed_share is the part of a road's own speed that it drives; units: posted speeds may name a unit;
+    least and most are its speeds at all, which bound the cost of a metre in searches."""
+
     name: str
     vehicle_types: tuple[str, ...]
     speeds: dict = field(default_factory=lambda: CAR_SPEEDS)
-    speed_share: float = 0.75
+    speed_share: float = 1.0
+    units: bool = True
     least: float = 30
     most: float = 200
     uses_oneway: bool = True
@@ -54,14 +58,15 @@ _MOTOR = ("access", "vehicle", "motor_vehicle", "motorcar")
 PROFILES = {
     p.name: p
     for p in (
-        Profile("car", _MOTOR),
-        Profile("bus", (*_MOTOR, "bus"), speed_share=1.0),
-        Profile("bigtruck", _MOTOR, speed_share=1.0),
-        Profile("smalltruck", _MOTOR, speed_share=1.0),
+        Profile("car", _MOTOR, units=False),  # the car of the road graph
+        Profile("car_script", _MOTOR, speed_share=0.75),  # the car of the script rules
+        Profile("bus", (*_MOTOR, "bus")),
+        Profile("bigtruck", _MOTOR),
+        Profile("smalltruck", _MOTOR),
         Profile("motorcycle", ("access", "vehicle", "motor_vehicle", "motorcycle")),
         Profile("moped", ("access", "vehicle", "motor_vehicle", "moped"), speeds=MOPED_SPEEDS, least=40, most=40, posted_at_most=40),
-        Profile("bicycle", ("access", "vehicle", "bicycle"), speeds=BICYCLE_SPEEDS, speed_share=1.0, least=15, most=15, uses_maxspeed=False, barred=BICYCLE_BARRED, own_oneway="oneway:bicycle"),
-        Profile("pedestrian", ("access", "foot"), speeds=FOOT_SPEEDS, speed_share=1.0, least=4, most=5, uses_oneway=False, uses_maxspeed=False),
+        Profile("bicycle", ("access", "vehicle", "bicycle"), speeds=BICYCLE_SPEEDS, least=15, most=15, uses_maxspeed=False, barred=BICYCLE_BARRED, own_oneway="oneway:bicycle"),
+        Profile("pedestrian", ("access", "foot"), speeds=FOOT_SPEEDS, least=4, most=5, uses_oneway=False, uses_maxspeed=False),
     )
 }
 
@@ -82,8 +87,9 @@ def access(tags, p: Profile) -> Column:
 
 
 def speed(tags, p: Profile) -> Column:
-    base = _lookup({k: float(v) for k, v in p.speeds.items()}, highway(tags))
-    posted = t.get(tags, "maxspeed").try_cast("double") if p.uses_maxspeed else F.lit(None).cast("double")
+    base = _lookup({k: float(v) * p.speed_share for k, v in p.speeds.items()}, highway(tags))
+    posted = t.get(tags, "maxspeed")
+    posted = (units.speed_kmh(posted) if p.units else posted.try_cast("double")) if p.uses_maxspeed else F.lit(None).cast("double")
     posted = F.least(posted, F.lit(p.posted_at_most)) if p.posted_at_most else posted
     return F.when(base.isNotNull() & access(tags, p), F.when(posted.isNotNull() & (posted > 0), posted * 0.75).otherwise(base))
 
@@ -105,5 +111,10 @@ def factors(tags, p: Profile) -> dict[str, Column]:
     return {"fastest": seconds, "shortest": F.when(seconds.isNotNull(), F.lit(1.0)), "classifications": seconds / divisor}
 
 
+def metre_bounds(p: Profile) -> tuple[float, float]:
+    """The least and the most seconds that the vehicle takes for a metre: the first keeps estimates of searches admissible."""
+    return 3.6 / p.most, 3.6 / p.least
+
+
 def can_go(direction_col, forward: bool) -> Column:
     return F.col(direction_col).isin(0, 1, 3, 4) if forward else F.col(direction_col).isin(0, 2, 3, 5)

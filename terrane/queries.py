@@ -6,6 +6,7 @@ are four levels of a hierarchy, events carry tag bags, keys give coordinates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import geo, requests, tags as tg, units
 from .functions import text as tx
-from .operators import changes, containment, crossings, hierarchy, snapping, spatial
+from .operators import changes, containment, crossings, hierarchy, rounds, snapping, spatial
 from .plans import documents as docs_plan
 from .plans import graph, places, render, routing, search, stitch, vehicle
+from .streaming import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -235,6 +237,15 @@ def distinct_on(spark, sf_dir):
     return changes.distinct_on(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_quantity"])
 
 
+@query(f"with {DELTA_SQL}, f as (select * from d where o_orderkey % 100 = 0) select distinct * from f union all select * from base where o_orderkey not in (select o_orderkey from f)")
+def kept_upsert(spark, sf_dir):
+    """A table kept in buckets by key, after a batch of about a hundredth of its rows."""
+    kept_table = kept.KeptTable(spark, f"{rounds.shared_folder(spark)}/orders-{uuid.uuid4()}", ["o_orderkey"], 16)
+    kept_table.rebuild(base(spark, sf_dir))
+    kept_table.merge(delta(spark, sf_dir).where("o_orderkey % 100 = 0").distinct())
+    return kept_table.read()
+
+
 # ---- members, ways, graph ---------------------------------------------------------------------------------------------
 
 
@@ -406,6 +417,16 @@ _HW_SQL = "['motorway', 'primary', 'residential', 'service', 'footway'][1 + cast
 _MS_SQL = "case when p_size % 3 = 0 then cast(p_size as varchar) when p_size % 3 = 1 then p_size || ' mph' end"
 
 
+def road_bags(spark, sf_dir):
+    """Parts as roads: a class, a posted speed, access and one-way tags."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pairs = [
+        (F.lit("highway"), F.element_at(F.array(*map(F.lit, _HW)), (k % 5).cast("int") + 1)), (F.lit("maxspeed"), F.when(s % 3 == 0, s.cast("string")).when(s % 3 == 1, F.concat(s.cast("string"), F.lit(" mph")))),
+        (F.lit("access"), F.when(k % 11 == 0, "no").when(k % 13 == 0, "private")), (F.lit("motorcar"), F.when(k % 13 == 0, "yes")), (F.lit("oneway"), F.when(k % 4 == 0, "yes").when(k % 4 == 1, "-1").when(k % 4 == 2, "no")),
+    ]
+    return table(spark, sf_dir, "part").withColumn("tags", F.map_filter(F.create_map(*[x for kv in pairs for x in kv]), lambda _, v: v.isNotNull()))
+
+
 @query(f"""with t as (select p_partkey, {_HW_SQL} as hw, {_MS_SQL} as ms, case when p_partkey % 11 = 0 then 'no' when p_partkey % 13 = 0 then 'private' end as acc, case when p_partkey % 13 = 0 then 'yes' end as car,
   case p_partkey % 4 when 0 then 'yes' when 1 then '-1' when 2 then 'no' end as oneway from part),
 b as (select *, case hw when 'motorway' then 120.0 when 'primary' then 90.0 when 'residential' then 50.0 when 'service' then 30.0 end as base, case when car = 'yes' then true when acc in ('no', 'private') then false else true end as ok from t),
@@ -413,17 +434,22 @@ s as (select *, case when base is not null and ok then coalesce(0.75 * try_cast(
 select p_partkey, round(3.6 / speed, 6) as factor, round(3.6 / speed / case hw when 'motorway' then 10.0 when 'primary' then 8.0 when 'residential' then 5.0 else 4.0 end, 6) as class_factor,
   cast(case oneway when 'yes' then 1 when '-1' then 2 else 0 end + case when hw = 'motorway' then 3 else 0 end as integer) as direction from s""")
 def vehicle_factor(spark, sf_dir):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    pairs = [
-        (F.lit("highway"), F.element_at(F.array(*map(F.lit, _HW)), (k % 5).cast("int") + 1)), (F.lit("maxspeed"), F.when(s % 3 == 0, s.cast("string")).when(s % 3 == 1, F.concat(s.cast("string"), F.lit(" mph")))),
-        (F.lit("access"), F.when(k % 11 == 0, "no").when(k % 13 == 0, "private")), (F.lit("motorcar"), F.when(k % 13 == 0, "yes")), (F.lit("oneway"), F.when(k % 4 == 0, "yes").when(k % 4 == 1, "-1").when(k % 4 == 2, "no")),
-    ]
-    p = table(spark, sf_dir, "part").withColumn("tags", F.map_filter(F.create_map(*[x for kv in pairs for x in kv]), lambda _, v: v.isNotNull()))
+    p = road_bags(spark, sf_dir)
     car, bag = vehicle.PROFILES["car"], F.col("tags")
     f = vehicle.factors(bag, car)
     return p.select("p_partkey", F.round(f["fastest"], 6).alias("factor"), F.round(f["classifications"], 6).alias("class_factor"), vehicle.direction(bag, car).cast("int").alias("direction"))
 
 
+@query(f"""with t as (select p_partkey, {_HW_SQL} as hw, case when p_size % 3 = 0 then p_size * 1.0 when p_size % 3 = 1 then p_size * 1.60934 end as kmh,
+  case when p_partkey % 13 = 0 then true when p_partkey % 11 = 0 then false else true end as motor, case when p_partkey % 11 = 0 or p_partkey % 13 = 0 then false else true end as other from part),
+b as (select *, case hw when 'motorway' then 120.0 when 'primary' then 90.0 when 'residential' then 50.0 when 'service' then 30.0 end as car, case hw when 'primary' then 40.0 when 'residential' then 40.0 when 'service' then 30.0 end as moped from t)
+select p_partkey, round(case when motor and car is not null then coalesce(0.75 * kmh, 0.75 * car) end, 6) as car_script, round(case when motor and car is not null then coalesce(0.75 * kmh, car) end, 6) as bus,
+  round(case when other and moped is not null then coalesce(0.75 * least(kmh, 40), moped) end, 6) as moped, case when other and hw not in ('motorway', 'footway') then 15.0 end as bicycle, case when other and hw <> 'motorway' then 4.0 end as pedestrian from b""")
+def vehicle_speeds(spark, sf_dir):
+    of = lambda name: F.round(vehicle.speed(F.col("tags"), vehicle.PROFILES[name]), 6).alias(name)
+    return road_bags(spark, sf_dir).select("p_partkey", *map(of, ("car_script", "bus", "moped", "bicycle", "pedestrian")))
+
+
 @query("""select p_partkey, round(cast(p_size as double) * 1.60934, 6) as kmh, round(cast(p_size as double) * 1000, 6) as kg, round(cast(p_size as double) * 0.3048 + 3 * 0.0254, 6) as m, round(cast(p_size as double) * 1.852, 6) as knots from part""")
 def unit_parse(spark, sf_dir):
     size = F.col("p_size").cast("string")
