@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import vehicle
 
 BARRIERS = ("bollard", "fence", "gate")
 
@@ -98,3 +99,30 @@ def sharp_turns(ends: DataFrame, degrees: float = 60.0) -> DataFrame:
     met = a.join(b, F.col("a.node") == F.col("b.node")).where("a.way <> b.way")
     turn = geo.angle(F.col("a.next_lat"), F.col("a.next_lon"), F.col("a.lat"), F.col("a.lon"), F.col("b.next_lat"), F.col("b.next_lon"))
     return met.select(F.col("a.way").alias("from_way"), F.col("b.way").alias("to_way"), F.col("a.node").alias("node"), turn.alias("angle")).where(F.col("angle") < degrees)
+
+
+def way_ends(ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(way, node, lat, lon, next_lat, next_lon): both ends of ways of two nodes or more, each with the node next to it. Ends with an unknown node are left out."""
+    at = lambda i, j: F.struct(F.element_at("nodes", i).alias("node"), F.element_at("nodes", j).alias("next"))
+    e = ways.where("size(nodes) > 1").select(F.col("id").alias("way"), F.explode(F.array(at(1, 2), at(-1, -2))).alias("e")).select("way", "e.node", "e.next")
+    place = lambda key, y, x: nodes.select(F.col("id").alias(key), F.col("lat").alias(y), F.col("lon").alias(x))
+    return e.join(place("node", "lat", "lon"), "node").join(place("next", "next_lat", "next_lon"), "next").select("way", "node", "lat", "lon", "next_lat", "next_lon")
+
+
+def sharp_restrictions(ways: DataFrame, nodes: DataFrame, kind_of: str = "motorcar", degrees: float = 60.0) -> DataFrame:
+    """(vehicle, kind, from_way, to_way, via_node): turns between ways that meet end to end at less than `degrees`, both ways."""
+    t = sharp_turns(way_ends(ways, nodes), degrees)
+    return t.select(F.lit(kind_of).alias("vehicle"), F.lit("no_turn").alias("kind"), "from_way", "to_way", F.col("node").alias("via_node")).distinct()
+
+
+def search_edges(ways: DataFrame, nodes: DataFrame, profiles: dict, barriers: DataFrame | None = None, kind: str = "fastest") -> DataFrame:
+    """Edges of build_edges over the ways (id, nodes, tags) that some profile may use, with tags and maps by profile of weight (cost of the whole edge) and direction.
+
+    Core nodes come from those ways alone, so a path that no profile uses cuts no road.
+    """
+    costs = {n: vehicle.factors(F.col("tags"), p)[kind] for n, p in profiles.items()}
+    usable = ways.where(F.coalesce(*costs.values()).isNotNull())
+    edges = build_edges(usable, nodes, core_nodes(usable, barriers)).join(usable.select(F.col("id").alias("way"), "tags"), "way")
+    entries = lambda value: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), value(n).alias("v")) for n in profiles]), lambda e: e["v"].isNotNull()))
+    way = {n: F.when(costs[n].isNotNull(), vehicle.direction(F.col("tags"), p)) for n, p in profiles.items()}
+    return edges.withColumns({"weight": entries(lambda n: costs[n] * F.col("distance")), "direction": entries(lambda n: way[n])})

@@ -11,7 +11,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, tags as t
@@ -143,17 +143,38 @@ def area_centroid(ring):
     return F.struct(F.try_divide(total("lat"), 6 * area).alias("lat"), F.try_divide(total("lon"), 6 * area).alias("lon"))
 
 
-def enrich(places: DataFrame, derive: dict[str, str], cell: float = 0.25) -> DataFrame:
-    """(id, tags): a place's own tags and, from each other polygon that the whole place is within, one key.
+# Keys whose holders name a place's address. By value: the tag's value is part of the key.
+BY_VALUE, BY_VALUE_UNDER_KEY = ("place",), ("highway", "railway")
+BY_KEY = ("building", "man_made", "natural", "landuse", "shop", "bridge", "tunnel", "station", "platform")
+BY_LEVEL = {"4": "region", "5": "district", "6": "municipality", "8": "subdistrict"}
+
+
+def derivations(tags) -> Column:
+    """(key, value) that an area gives to what it holds: its own addr tags, and its name under keys that its kind says."""
+    name, get = t.name_or_ref(tags), lambda k: t.get(tags, k)
+    pair = lambda key, when: F.when(when.isNotNull() & name.isNotNull(), F.struct(key.alias("key"), name.alias("value")))
+    named = [pair(F.concat(F.lit("addr:"), get(k)), get(k)) for k in BY_VALUE] + [pair(F.concat(F.lit(f"addr:{k}:"), get(k)), get(k)) for k in BY_VALUE_UNDER_KEY] + [pair(F.lit(f"addr:{k}"), get(k)) for k in BY_KEY]
+    level = lambda n: F.when((get("type") == "boundary") & (get("admin_level") == n), F.lit(n))
+    named += [pair(F.lit(f"addr:{k}"), level(n)) for n, k in BY_LEVEL.items()]
+    own = F.filter(F.map_entries(tags), lambda e: e["key"].startswith("addr"))
+    return F.concat(F.coalesce(own, F.array().cast("array<struct<key:string,value:string>>")), F.array_compact(F.array(*named)))
+
+
+def enrich(places: DataFrame, derive: dict[str, str] | None = None, cell: float = 0.25) -> DataFrame:
+    """(id, tags): a place's own tags and those that each other polygon which the whole place is within gives.
 
     derive: tag of the holder (such as 'place=city') to the key that its name
-    gives (such as 'addr:city'). Own tags win, then the smallest holder by its box, then key and
+    gives (such as 'addr:city'); without it the rules of derivations hold. Own tags win, then the smallest holder by its box, then key and
     value. One containment join by grid cells serves all keys; outlines are stored once, by their edges.
     """
     own = places.select("id", F.lit(0).alias("rank"), F.lit(0.0).alias("size"), F.explode("tags").alias("key", "value"))
-    holder = F.array_compact(F.array(*[F.when(t.get(F.col("tags"), k.split("=")[0]) == k.split("=")[1], F.lit(v)) for k, v in derive.items()]))
-    holders = places.where("kind = 'polygon'").withColumns({"keys": holder, "value": t.name_or_ref(F.col("tags"))}).where("size(keys) > 0 and value is not null")
+    if derive is None:
+        gives = derivations(F.col("tags"))
+    else:
+        name = t.name_or_ref(F.col("tags"))
+        gives = F.array_compact(F.array(*[F.when((t.get(F.col("tags"), k.split("=")[0]) == k.split("=")[1]) & name.isNotNull(), F.struct(F.lit(v).alias("key"), name.alias("value"))) for k, v in derive.items()]))
+    holders = places.where("kind = 'polygon'").withColumn("gives", gives).where("size(gives) > 0")
     held = containment.within(places.select("id", "kind", "rings"), holders.select(F.col("id").alias("area"), "rings"), cell).where("id <> area")
-    gives = with_box(holders).select(F.col("id").alias("area"), F.explode("keys").alias("key"), "value", ((F.col("north") - F.col("south")) * (F.col("east") - F.col("west"))).alias("size"))
-    rows = own.unionByName(held.join(gives, "area").select("id", F.lit(1).alias("rank"), "size", "key", "value"))
+    given = with_box(holders).select(F.col("id").alias("area"), F.explode("gives").alias("g"), F.round((F.col("north") - F.col("south")) * (F.col("east") - F.col("west")), 9).alias("size"))
+    rows = own.unionByName(held.join(given, "area").select("id", F.lit(1).alias("rank"), "size", F.col("g.key").alias("key"), F.col("g.value").alias("value")))
     return t.merge_maps(rows, ["id"], "key", "value", ["rank", "size"])

@@ -35,6 +35,10 @@ def query(sql: str | None = None):
     return put
 
 
+#: Road classes that stand-in roads take by their number.
+_HW = ["motorway", "primary", "residential", "service", "footway"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -338,6 +342,52 @@ def sharp_angle(spark, sf_dir):
     return p.where("angle < 60").select("l_orderkey", "pos", F.round("angle", 3).alias("angle"))
 
 
+def road_ways(spark, sf_dir):
+    """(id, nodes, tags): orders as roads over their parts; (id, lat, lon) of the parts, every 37th of which is unknown."""
+    k = F.col("id")
+    tags = F.create_map(F.lit("highway"), F.element_at(F.array(*map(F.lit, _HW)), (k % 5).cast("int") + 1), F.lit("oneway"), F.when(k % 3 == 0, "yes").otherwise("no"))
+    nodes = table(spark, sf_dir, "part").where("p_partkey % 37 <> 0").select(F.col("p_partkey").alias("id"), lat_of("p_partkey").alias("lat"), lon_of("p_partkey").alias("lon"))
+    return ways(spark, sf_dir).withColumn("tags", tags), nodes
+
+
+WAY_SQL = f"""f as (select l_orderkey as way, l_partkey as node, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as pos, count(*) over (partition by l_orderkey) as n from lineitem),
+nd as (select p_partkey as node, {LAT('p_partkey')} as lat, {LON('p_partkey')} as lon from part where p_partkey % 37 <> 0)"""
+
+
+@query(f"""with {WAY_SQL}, e as (select a.way, a.node, b.node as next from f a join f b on a.way = b.way where a.n > 1 and (a.pos = 0 and b.pos = 1 or a.pos = a.n - 1 and b.pos = a.n - 2)),
+x as (select e.way, e.node, p.lat as y2, p.lon as x2, q.lat as y1, q.lon as x1 from e join nd p on p.node = e.node join nd q on q.node = e.next),
+m as (select a.way as from_way, b.way as to_way, a.node as via_node, (a.x1 - a.x2) * (b.x1 - b.x2) + (a.y1 - a.y2) * (b.y1 - b.y2) as dot, sqrt((a.x1 - a.x2) * (a.x1 - a.x2) + (a.y1 - a.y2) * (a.y1 - a.y2)) * sqrt((b.x1 - b.x2) * (b.x1 - b.x2) + (b.y1 - b.y2) * (b.y1 - b.y2)) as size
+  from x a join x b on a.node = b.node and a.way <> b.way)
+select distinct from_way, to_way, via_node from m where size > 0 and degrees(acos(greatest(-1.0, least(1.0, dot / size)))) < 60 - 1e-9""")
+def sharp_turn_bars(spark, sf_dir):
+    w, nodes = road_ways(spark, sf_dir)
+    return graph.sharp_restrictions(w, nodes, degrees=60 - 1e-9).select("from_way", "to_way", "via_node")
+
+
+@query(f"""with {WAY_SQL}, u as (select * from f where way % 5 <> 4), c as (select node from u group by node having count(*) > 1 or bool_or(pos = 0 or pos = n - 1)),
+r as (select u.*, nd.lat, nd.lon, c.node is not null as core, max(case when nd.node is null then 1 else 0 end) over (partition by way order by pos) as broken from u left join nd using (node) left join c using (node)),
+s as (select *, lag(lat) over w as py, lag(lon) over w as px, lag(node) over w as before, sum(core::int) over (partition by way order by pos rows between unbounded preceding and 1 preceding) as seg from r where broken = 0 window w as (partition by way order by pos)),
+g as (select way, seg, sum({HAV('py', 'px', 'lat', 'lon')}) as distance, first(before order by pos) as from_node, last(node order by pos) as to_node, last(core order by pos) as whole from s where before is not null group by way, seg),
+b as (select way, from_node, to_node, min(distance) as distance from g where whole group by way, from_node, to_node)
+select way, from_node, to_node, round(distance, 2) as distance, round(distance * 3.6 / case way % 5 when 0 then 120.0 when 1 then 90.0 when 2 then 50.0 else 30.0 end, 3) as car,
+  round(case way % 5 when 0 then null else distance * 3.6 / 15 end, 3) as bicycle, cast(case when way % 3 = 0 then 1 else 0 end + case when way % 5 = 0 then 3 else 0 end as integer) as direction from b""")
+def search_edges(spark, sf_dir):
+    w, nodes = road_ways(spark, sf_dir)
+    e = graph.search_edges(w, nodes, {n: vehicle.PROFILES[n] for n in ("car", "bicycle")})
+    at = lambda m, k: F.try_element_at(m, F.lit(k))
+    return e.select("way", "from_node", "to_node", F.round("distance", 2).alias("distance"), F.round(at("weight", "car"), 3).alias("car"), F.round(at("weight", "bicycle"), 3).alias("bicycle"), at("direction", "car").alias("direction"))
+
+
+@query("""select 'motorcar' as vehicle, 'no_left_turn' as kind, o_orderkey as from_way, o_custkey as to_way, o_orderkey % 1000 as via_node from orders where o_orderkey % 4 = 1
+union all select 'bus', 'only_straight_on', o_orderkey, o_custkey, o_orderkey % 1000 from orders where o_orderkey % 4 in (1, 2)""")
+def relation_bars(spark, sf_dir):
+    k = F.col("o_orderkey")
+    member = lambda i, role, kind: F.struct(i.alias("id"), F.lit(role).alias("role"), F.lit(kind).alias("type"))
+    tags = F.map_filter(F.create_map(F.lit("restriction"), F.when(k % 4 == 1, "no_left_turn").otherwise("none"), F.lit("restriction:bus"), F.when((k % 4).isin(1, 2), "only_straight_on"), F.lit("type"), F.lit("restriction")), lambda _, v: v.isNotNull())
+    rel = table(spark, sf_dir, "orders").select(k.alias("id"), tags.alias("tags"), F.array(member(k, "from", 1), member(F.col("o_custkey"), "to", 1), member(k % 1000, "via", 0), member(k % 500, "via", 1)).alias("members"))
+    return graph.relation_restrictions(rel)
+
+
 def nation_edges(spark, sf_dir):
     """Each nation leads to three others by its number."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("a"))
@@ -412,7 +462,6 @@ def turn_routes(spark, sf_dir):
 
 # ---- vehicles ---------------------------------------------------------------------------------------------------------
 
-_HW = ["motorway", "primary", "residential", "service", "footway"]
 _HW_SQL = "['motorway', 'primary', 'residential', 'service', 'footway'][1 + cast(p_partkey % 5 as integer)]"
 _MS_SQL = "case when p_size % 3 = 0 then cast(p_size as varchar) when p_size % 3 = 1 then p_size || ' mph' end"
 
@@ -574,6 +623,20 @@ def customer_shapes(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), kind.alias("kind"), F.array(F.when(kind == "point", F.array(p(0, 0))).when(kind == "line", line).otherwise(shape)).alias("rings"))
 
 
+@query(f"""with {CP_SQL}, {L_SQL}, h as (select c_custkey, area from cp join ar on (y1 > lat) <> (y2 > lat) and lon < (lat - y1) * ((x2 - x1) / (y2 - y1)) + x1 group by c_custkey, area having count(*) % 2 = 1),
+d as (select h.c_custkey, case n_nationkey % 4 when 0 then 'addr:city' when 1 then 'addr:region' when 2 then 'addr:building' else 'addr:railway:station' end as key, n_name as value from h join nation on area = n_nationkey
+  union all select h.c_custkey, 'addr:postcode', cast(100000 + n_nationkey as varchar) from h join nation on area = n_nationkey where n_nationkey % 4 = 3)
+select c_custkey, key, min(value) as value from d where not (key = 'addr:city' and c_custkey % 5 = 0) group by c_custkey, key union all select c_custkey, 'addr:city', 'own' from cp where c_custkey % 5 = 0""")
+def enriched_places(spark, sf_dir):
+    bag = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    points = customer_points(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, bag("addr:city", "own")).otherwise(F.create_map().cast("map<string,string>")).alias("tags"), F.lit("point").alias("kind"), F.array(F.array(F.struct("lat", "lon"))).alias("rings"))
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    kinds = F.when(n % 4 == 0, bag("place", "city", "name", name)).when(n % 4 == 1, bag("type", "boundary", "admin_level", "4", "name", name)).when(n % 4 == 2, bag("building", "yes", "ref", name)).otherwise(bag("railway", "station", "name", name, "addr:postcode", (n + 100000).cast("string")))
+    areas_ = l_areas(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("area") == n).select((-n.cast("bigint") - 1).alias("id"), kinds.alias("tags"), F.lit("polygon").alias("kind"), "rings")
+    out = places.enrich(points.unionByName(areas_), cell=3.0)
+    return out.where("id >= 0").select(F.col("id").alias("c_custkey"), F.explode("tags").alias("key", "value"))
+
+
 _SIDE = "sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
 _APART = " and ".join(
     f"{_SIDE.format(ay=a[0], ax=a[1], by=a[2], bx=a[3], py=b[0], px=b[1])} * {_SIDE.format(ay=a[0], ax=a[1], by=a[2], bx=a[3], py=b[2], px=b[3])} < 0"
