@@ -33,10 +33,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest id. Rows without an id stay."""
-    stays = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, docs["doc_id"] == stays["__id"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of each group of linked fingerprints: the one with the smallest id, rows without an id last.
+
+    A row is known by its id and hashes of its text, so rows that share an id and not a text are told apart; of rows equal in both one stays.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
+    stays = simhash_components(keyed, "__row").where("doc_id = component_id").groupBy(F.col("doc_id").alias("__stays")).agg(F.count(F.lit(1)).alias("__n"))
+    meet = lambda some: keyed.join(stays.where(some), F.col("__row") == F.col("__stays"), "left_semi")
+    return meet("__n = 1").unionByName(meet("__n > 1").dropDuplicates(["__row"])).drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
