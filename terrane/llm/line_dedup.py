@@ -132,15 +132,19 @@ def _verified(near: DataFrame, texts: DataFrame, scratch: Scratch, name: str, k:
 def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, texts: DataFrame, scratch: Scratch, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of bucket mates in different components that may be similar, each once.
 
-    The hub of a bucket has met all its mates already. The others are cut into
-    blocks of about BLOCK forms and every two blocks meet in a join key of their
+    The hub of a bucket has met all its mates already. Of the others, those of the
+    largest component meet only the rest, and the rest meet each other, so a bucket of one
+    class and a few outliers costs as many comparisons as it has forms for each outlier. Both groups are cut into
+    blocks of about BLOCK forms and every two blocks that must meet do so in a join key of their
     own, so no key makes more than some BLOCK squared comparisons. Pairs that
     cannot be similar, and those that share a smaller key, end inside the join.
     """
     now = members.where("id <> hub").join(small(linked), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     now = scratch.keep(now, "now")
-    mixed = now.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r"), F.max("root").alias("last")).where("r < last")
-    mixed = scratch.keep(mixed.select("key", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("of")), "mixed")
+    parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mixed = scratch.keep(mixed.select("key", F.col("top.root").alias("lead"), blocks(F.col("top.c")).alias("of_lead"), blocks(F.col("m") - F.col("top.c")).alias("of")), "mixed")
     rows = scratch.keep(now.join(small(mixed), "key"), "rows")
     held = rows.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # LEAST keys at most
     held = scratch.keep(marks.join(held, "id"), "with")
@@ -149,14 +153,18 @@ def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, texts: DataF
     sizes = texts.join(small(scratch.keep(repeats, "repeats")), "id", "left_semi").select("id", F.size(F.expr(_shingles("norm", k))).alias("size"))
     sizes = scratch.keep(sizes, "sizes")
     held = scratch.keep(held.join(small(sizes), "id", "left").withColumn("w", F.coalesce("size", "w")).drop("size"), "held")
-    rows = rows.join(held, "id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.col("of")).cast("int"))
+    rows = rows.join(held, "id").withColumn("leads", F.col("root") == F.col("lead")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("leads"), F.col("of_lead")).otherwise(F.col("of"))).cast("int"))
     form = ["id", "root", "keys", "w", "x"]
-    x = rows.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, of - 1)")).alias("j"), *form).alias("p")
-    y = rows.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), *form).alias("q")
-    once = F.expr("p.root <> q.root and (p.i < p.j or p.id < q.id)")
+    meet = lambda kind, i, j: f"struct({kind} as kind, {i} as i, {j} as j)"
+    ahead = F.expr(f"if(leads, transform(sequence(0, of - 1), b -> {meet(1, 'own', 'b')}), transform(sequence(own, of - 1), b -> {meet(0, 'own', 'b')}))")
+    back = F.expr(f"concat(transform(sequence(0, own), b -> {meet(0, 'b', 'own')}), transform(sequence(0, of_lead - 1), b -> {meet(1, 'b', 'own')}))")
+    at = [F.col("t.kind").alias("kind"), F.col("t.i").alias("i"), F.col("t.j").alias("j")]
+    x = rows.withColumn("t", F.explode(ahead)).select("key", *at, *form).alias("p")
+    y = rows.where("not leads").withColumn("t", F.explode(back)).select("key", *at, *form).alias("q")
+    once = F.expr("p.root <> q.root and (p.kind = 1 or p.i < p.j or p.id < q.id)")
     sizes = F.expr(f"least(p.w, q.w) >= {similarity} * greatest(p.w, q.w) - 1e-9D")
     least = F.expr("p.key = array_min(array_intersect(p.keys, q.keys))")
-    same = F.expr("p.key = q.key and p.i = q.i and p.j = q.j")
+    same = F.expr("p.key = q.key and p.kind = q.kind and p.i = q.i and p.j = q.j")
     both = x.join(y, same & once & sizes & _may_link("p", "q", similarity) & least)
     out = both.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
     out = scratch.keep(out, "apart")
