@@ -8,26 +8,115 @@ from pyspark.sql import functions as F
 from ..functions import tags as t
 from ..functions.text import natural_key, present
 
-# The keys that a title names, from the widest place to the narrowest, and what stands before some values.
-LEVELS = (
-    "addr:postcode addr:region addr:peninsula addr:district addr:city addr:town addr:village addr:municipality addr:subdistrict addr:landuse addr:suburb addr:hamlet addr:allotments "
-    "addr:isolated_dwelling addr:neighbourhood addr:locality addr:place addr:quarter addr:island addr:islet addr:highway:yes addr:highway:motorway addr:highway:service addr:highway:track "
-    "addr:highway:trunk addr:highway:primary addr:highway:secondary addr:highway:tertiary addr:highway:unclassified addr:highway:residential addr:highway:footway addr:highway:cycleway "
-    "addr:highway:path addr:highway:road addr:highway:living_street addr:highway:pedestrian addr:highway:construction addr:highway:proposed addr:highway:raceway addr:highway:elevator "
-    "addr:highway:corridor addr:highway:services addr:highway:steps addr:highway:motorway_link addr:highway:service_link addr:highway:track_link addr:highway:trunk_link "
-    "addr:highway:primary_link addr:highway:secondary_link addr:highway:tertiary_link addr:railway:rail addr:railway:tram addr:railway:subway addr:railway:monorail addr:railway:funicular "
-    "addr:railway:razed addr:railway:construction addr:railway:preserved addr:railway:proposed addr:railway:yard addr:railway:service_station addr:bridge addr:tunnel addr:street addr:square "
-    "addr:housenumber addr:building addr:station addr:platform addr:highway:stop addr:railway:stop addr:highway:bus_stop addr:railway:tram_stop addr:railway:halt addr:highway:halt "
-    "addr:railway:subway_entrance addr:railway:station addr:highway:station addr:railway:platform addr:highway:platform addr:man_made addr:natural addr:shop"
-).split()
-BEFORE = {
-    "addr:railway:rail": "ж/д", "addr:railway:tram": "т/п", "addr:railway:subway": "метро", "addr:railway:monorail": "монорельс", "addr:railway:funicular": "фуникулёр", "addr:bridge": "мост",
-    "addr:tunnel": "туннель", "addr:station": "станция", "addr:platform": "платформа", "addr:highway:stop": "остановка", "addr:railway:stop": "остановка", "addr:highway:bus_stop": "остановка",
-    "addr:railway:tram_stop": "остановка", "addr:railway:halt": "остановка по требованию", "addr:highway:halt": "остановка по требованию", "addr:railway:subway_entrance": "станция",
-    "addr:railway:station": "станция", "addr:highway:station": "станция", "addr:railway:platform": "платформа", "addr:highway:platform": "платформа",
-}
-BUILDING_KEYS = "addr:region addr:city addr:town addr:village addr:street addr:square addr:housenumber".split()
-LEVEL_KEYS = "highway railway building addr:housenumber addr:building addr:man_made addr:natural addr:shop".split()
+# The keys that a title names, from the widest place to the narrowest, each with what stands before its value.
+TITLE_KEYS = (
+    ("addr:postcode", ""),
+    ("addr:region", ""),
+    ("addr:peninsula", ""),
+    ("addr:district", ""),
+    ("addr:city", ""),
+    ("addr:town", ""),
+    ("addr:village", ""),
+    ("addr:municipality", ""),
+    ("addr:subdistrict", ""),
+    ("addr:landuse", ""),
+    ("addr:suburb", ""),
+    ("addr:hamlet", ""),
+    ("addr:allotments", ""),
+    ("addr:isolated_dwelling", ""),
+    ("addr:neighbourhood", ""),
+    ("addr:locality", ""),
+    ("addr:place", ""),
+    ("addr:quarter", ""),
+    ("addr:island", ""),
+    ("addr:islet", ""),
+    ("addr:highway:yes", ""),
+    ("addr:highway:motorway", ""),
+    ("addr:highway:service", ""),
+    ("addr:highway:track", ""),
+    ("addr:highway:trunk", ""),
+    ("addr:highway:primary", ""),
+    ("addr:highway:secondary", ""),
+    ("addr:highway:tertiary", ""),
+    ("addr:highway:unclassified", ""),
+    ("addr:highway:residential", ""),
+    ("addr:highway:footway", ""),
+    ("addr:highway:cycleway", ""),
+    ("addr:highway:path", ""),
+    ("addr:highway:road", ""),
+    ("addr:highway:living_street", ""),
+    ("addr:highway:pedestrian", ""),
+    ("addr:highway:construction", ""),
+    ("addr:highway:proposed", ""),
+    ("addr:highway:raceway", ""),
+    ("addr:highway:elevator", ""),
+    ("addr:highway:corridor", ""),
+    ("addr:highway:services", ""),
+    ("addr:highway:steps", ""),
+    ("addr:highway:motorway_link", ""),
+    ("addr:highway:service_link", ""),
+    ("addr:highway:track_link", ""),
+    ("addr:highway:trunk_link", ""),
+    ("addr:highway:primary_link", ""),
+    ("addr:highway:secondary_link", ""),
+    ("addr:highway:tertiary_link", ""),
+    ("addr:railway:rail", "ж/д"),
+    ("addr:railway:tram", "т/п"),
+    ("addr:railway:subway", "метро"),
+    ("addr:railway:monorail", "монорельс"),
+    ("addr:railway:funicular", "фуникулёр"),
+    ("addr:railway:razed", ""),
+    ("addr:railway:construction", ""),
+    ("addr:railway:preserved", ""),
+    ("addr:railway:proposed", ""),
+    ("addr:railway:yard", ""),
+    ("addr:railway:service_station", ""),
+    ("addr:bridge", "мост"),
+    ("addr:tunnel", "туннель"),
+    ("addr:street", ""),
+    ("addr:square", ""),
+    ("addr:housenumber", ""),
+    ("addr:building", ""),
+    ("addr:station", "станция"),
+    ("addr:platform", "платформа"),
+    ("addr:highway:stop", "остановка"),
+    ("addr:railway:stop", "остановка"),
+    ("addr:highway:bus_stop", "остановка"),
+    ("addr:railway:tram_stop", "остановка"),
+    ("addr:railway:halt", "остановка по требованию"),
+    ("addr:highway:halt", "остановка по требованию"),
+    ("addr:railway:subway_entrance", "станция"),
+    ("addr:railway:station", "станция"),
+    ("addr:highway:station", "станция"),
+    ("addr:railway:platform", "платформа"),
+    ("addr:highway:platform", "платформа"),
+    ("addr:man_made", ""),
+    ("addr:natural", ""),
+    ("addr:shop", ""),
+)
+# The keys of a building's own title.
+BUILDING_KEYS = (
+    "addr:region",
+    "addr:city",
+    "addr:town",
+    "addr:village",
+    "addr:street",
+    "addr:square",
+    "addr:housenumber",
+)
+# Keys that make a document one of its own level.
+LEVEL_KEYS = (
+    "highway",
+    "railway",
+    "building",
+    "addr:housenumber",
+    "addr:building",
+    "addr:man_made",
+    "addr:natural",
+    "addr:shop",
+)
+LEVELS = [key for key, _ in TITLE_KEYS]
+BEFORE = {key: before for key, before in TITLE_KEYS if before}
 
 
 def title(tags, keys: list[str] = LEVELS) -> Column:
@@ -79,3 +168,10 @@ def address_documents(addrx: DataFrame) -> DataFrame:
         "id", "title", "custom_title", natural_key(F.col("title")).alias("sorting"), natural_key(F.col("custom_title")).alias("custom_sorting"), t.has_any_key(F.col("data"), LEVEL_KEYS).cast("int").alias("custom_level"),
         priority(F.col("data")).alias("priority"), t.has_key(F.col("data"), "building").cast("int").alias("building"), "lat", "lon", "data",
     )
+
+
+def documents_of(enriched: DataFrame, places: DataFrame) -> DataFrame:
+    """Index rows of enriched tags (id, tags) at the middles of their places (id, kind, rings); ids without a place have none."""
+    from .places import with_box
+
+    return address_documents(enriched.join(with_box(places.select("id", "kind", "rings")).select("id", "lat", "lon"), "id"))

@@ -867,6 +867,15 @@ def doc_priority(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.priority(F.col("tags")).alias("priority"))
 
 
+@query(f"""with {CB_SQL}, {CP_SQL} select cb.c_custkey as id, concat_ws(', ', country, case when lower(city) <> lower(country) then city end, street, number) || case when cb.c_custkey % 8 = 0 then ' / Side, 2' else '' end as title,
+  cast(case when number is not null then 66 when street is not null then 64 when city is not null then 5 else 2 end as integer) as priority, cast(case when number is not null then 1 else 0 end as integer) as custom_level, 0 as building, lat, lon
+from cb join cp on cb.c_custkey = cp.c_custkey""")
+def address_documents(spark, sf_dir):
+    shapes = customer_points(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.lit("point").alias("kind"), F.array(F.array(F.struct("lat", "lon"))).alias("rings"))
+    docs = docs_plan.documents_of(customer_bags(spark, sf_dir).withColumnRenamed("c_custkey", "id"), shapes)
+    return docs.select("id", "title", "priority", "custom_level", "building", "lat", "lon")
+
+
 @query("select c_custkey, case when c_custkey % 8 = 0 then ' / Side, 2' else '' end as alternatives from customer")
 def alt_addresses(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.alternatives(F.col("tags")).alias("alternatives"))
