@@ -145,14 +145,11 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
     labels = rounds.keep(labels.unionByName(start(1, "target", "source")) if both else labels, "labels")
     estimate = F.coalesce(F.lit(factor) * geo.haversine(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(0.0)) if guided and factor else F.lit(0.0)
     priority = F.greatest(F.col("f"), 2 * F.col("g")) if both else F.col("f")
-    while True:
-        bound = F.coalesce("best.cost", F.lit(float("inf")))
-        if most is not None:
-            bound = F.least(bound, F.lit(float(most)) + 1e-9)
+    bound = F.coalesce("best.cost", F.lit(float("inf")))
+    if most is not None:
+        bound = F.least(bound, F.lit(float(most)) + 1e-9)
+    while not labels.where("fresh").isEmpty():
         front = labels.where("fresh").join(_meets(labels, turns, both), "query", "left").where(priority < bound).drop("best")
-        front = rounds.keep(front, "front")
-        if front.isEmpty():
-            break
         step = front.join(arcs, ["side", "node"])
         if turns is not None:
             step = step.join(turns.select("side", "node", F.col("last").alias("turn"), F.col("next").alias("edge")), ["side", "node", "turn", "edge"], "left_anti")
@@ -164,7 +161,7 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
         every = labels.withColumn("fresh", F.lit(False)).unionByName(moved)
         order = F.struct("g", "fresh", "hops", "via", "from_node", "from_turn", "f", "goal", "goal_lat", "goal_lon")  # of equal costs the older label stays
         labels = rounds.keep(every.groupBy(*LABEL).agg(F.min(order).alias("l")).select(*LABEL, "l.g", "l.f", "l.hops", "l.via", "l.from_node", "l.from_turn", "l.fresh", "l.goal", "l.goal_lat", "l.goal_lon"), "labels")
-    rounds.drop("front", "arcs")
+    rounds.drop("arcs")
     best = _meets(labels, turns, both)
     if most is not None:
         best = best.where(F.col("best.cost") <= most)
