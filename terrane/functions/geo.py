@@ -170,3 +170,26 @@ def rings_area(rings) -> Column:
         return F.when(F.size(around) % 2 == 0, F.abs(ring_area(r))).otherwise(-F.abs(ring_area(r)))
 
     return F.aggregate(F.transform(rings, signed), F.lit(0.0), lambda x, y: x + y)
+
+
+def box_centre(b) -> Column:
+    return F.struct(((b["south"] + b["north"]) / 2).alias("lat"), ((b["west"] + b["east"]) / 2).alias("lon"))
+
+
+def box_with(b, lat, lon) -> Column:
+    """A box grown to hold a point."""
+    return F.struct(F.least(b["south"], lat).alias("south"), F.least(b["west"], lon).alias("west"), F.greatest(b["north"], lat).alias("north"), F.greatest(b["east"], lon).alias("east"))
+
+
+def box_ring(b) -> Column:
+    """A box as a closed ring, from its south-west corner round by the south-east."""
+    p = lambda y, x: F.struct(b[y].alias("lat"), b[x].alias("lon"))
+    return F.array(p("south", "west"), p("south", "east"), p("north", "east"), p("north", "west"), p("south", "west"))
+
+
+def in_rings_over_date_line(lat, lon, rings) -> Column:
+    """in_rings of rings that may lie over the date line: where their longitudes span more than half the globe, all are taken from 0 to 360."""
+    lons = F.transform(F.flatten(rings), lambda p: p["lon"])
+    wraps = F.coalesce(F.array_max(lons) - F.array_min(lons) > 180, F.lit(False))
+    moved = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p["lat"].alias("lat"), shift_longitude(p["lon"]).alias("lon"))))
+    return F.when(wraps, in_rings(lat, shift_longitude(lon), moved)).otherwise(in_rings(lat, lon, rings))

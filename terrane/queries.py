@@ -16,7 +16,7 @@ from .functions import geo, requests, tags as tg, units
 from .functions import text as tx
 from .operators import changes, containment, crossings, hierarchy, rounds, snapping, spatial
 from .plans import documents as docs_plan
-from .plans import graph, places, render, routing, search, stitch, vehicle
+from .plans import graph, maps, places, render, routing, search, stitch, vehicle
 from .streaming import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,6 +707,47 @@ def folded_areas(spark, sf_dir):
     return got.select(F.col("id").cast("int").alias("relation"), F.round(geo.rings_area(F.col("rings")), 6).alias("area"))
 
 
+def drawn_shapes(spark, sf_dir):
+    """(map, id, title, kind, rings): the customers' shapes by market segment, titled by nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("map"), F.concat(F.lit("Nation <"), F.col("c_nationkey").cast("string"), F.lit(">")).alias("title"))
+    return customer_shapes(spark, sf_dir).join(c, "id")
+
+
+_RING_POINT = "lat + case i when 1 then case when c_custkey % 3 = 1 then 7 else 8 end when 2 then case when c_custkey % 3 = 1 then 1 else 3 end else 0 end as lat, lon + case i when 1 then case when c_custkey % 3 = 1 then 1 else 2 end when 2 then case when c_custkey % 3 = 1 then 9 else 11 end else 0 end as lon"
+DRAWN_SQL = f"""{CP_SQL}, v as (select c_custkey as id, c_mktsegment as map, c_nationkey as n, i, {_RING_POINT} from cp, (select unnest([0, 1, 2]) as i) where c_custkey % 3 <> 0 or i = 0),
+w as (select map, (max(lat) + min(lat)) / 2 as cy, (max(lon) + min(lon)) / 2 as cx, least(800.0 / (radians(max(lon) - min(lon)) * 6371000.0 * cos(radians((max(lat) + min(lat)) / 2))), 600.0 / (radians(max(lat) - min(lat)) * 6371000.0)) as ratio from v group by map),
+k as (select id, map, n, i, lat, lon from v where id % 3 <> 0 union all select id, map, n, j, lat + 10.0 / ratio / 111320.0 / 2 * sin(2 * pi() * (j % 16) / 16), lon + 10.0 / ratio / (40075000.0 * cos(radians(lat)) / 360) / 2 * cos(2 * pi() * (j % 16) / 16) from v join w using (map), unnest(range(0, 17)) as u(j) where id % 3 = 0),
+q as (select id, map, n, 'M' || string_agg(printf('%.2f', radians(lon - cx) * 6371000.0 * cos(radians(cy)) * ratio + 400) || ',' || printf('%.2f', 300 - radians(lat - cy) * 6371000.0 * ratio), 'L' order by i) || case when id % 3 = 1 then '' else 'Z' end as path from k join w using (map) group by id, map, n),
+m as (select map, 'nation' || n as key, 'Nation <' || n || '>' as title, string_agg(path, ' ' order by id) as path from q group by map, n)"""
+
+
+@query(f"""with {DRAWN_SQL} select map, '<svg width="800" height="600">' || chr(10) || string_agg('<path d="' || path || '">' || chr(10) || '<title>' || replace(replace(title, '<', '&lt;'), '>', '&gt;') || '</title>' || chr(10) || '</path>', chr(10) order by key) || chr(10) || '</svg>' as svg from m group by map""")
+def svg_documents(spark, sf_dir):
+    return maps.svg_documents(drawn_shapes(spark, sf_dir), 800, 600)
+
+
+@query(f"""with {DRAWN_SQL} select map, '{{"width":800,"height":600,"items":[' || string_agg('{{"key":"' || key || '","title":"' || title || '","path":"' || path || '"}}', ',' order by key) || ']}}' as json from m group by map""")
+def map_documents(spark, sf_dir):
+    return maps.map_documents(drawn_shapes(spark, sf_dir), 800, 600)
+
+
+@query(f"with {AREA_SQL}, g as (select *, n_nationkey * 3.0::double - 40 as y, n_nationkey * 5.0::double - 60 as x from area) select n_nationkey, (south + north) / 2 as lat, (west + east) / 2 as lon, round((greatest(north, y) - least(south, y)) * (greatest(east, x) - least(west, x)), 6) as area from g")
+def grown_boxes(spark, sf_dir):
+    a = areas(spark, sf_dir).withColumn("b", F.struct("south", "west", "north", "east"))
+    grown = geo.box_with(F.col("b"), F.col("n_nationkey") * F.lit(3.0) - 40, F.col("n_nationkey") * F.lit(5.0) - 60)
+    a = a.select("n_nationkey", geo.box_centre(F.col("b")).alias("c"), geo.box_ring(grown).alias("ring"))
+    return a.select("n_nationkey", "c.lat", "c.lon", F.round(F.abs(geo.ring_area(F.col("ring"))), 6).alias("area"))
+
+
+@query(f"with {CP_SQL}, n as (select n_nationkey, n_nationkey * 5.0::double - 60 as y, 150 + n_nationkey * 2.0::double as west from nation) select c_custkey, n_nationkey from cp, n where lat > y and lat < y + 20 and (lon + case when west + 30 > 180 and lon < 0 then 360 else 0 end) > west and (lon + case when west + 30 > 180 and lon < 0 then 360 else 0 end) < west + 30")
+def date_line_areas(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * F.lit(5.0) - 60.001).alias("y"), (150.001 + F.col("n_nationkey") * F.lit(2.0)).alias("west"))
+    wrap = lambda x: F.when(x > 180, x - 360).otherwise(x)
+    p = lambda dy, dx: F.struct((F.col("y") + dy).alias("lat"), wrap(F.col("west") + dx).alias("lon"))
+    shapes = n.select("n_nationkey", F.array(F.array(p(0.002, 0), p(0.002, 29.998), p(20, 29.998), p(20, 0))).alias("rings"))
+    return customer_points(spark, sf_dir).join(F.broadcast(shapes), geo.in_rings_over_date_line(F.col("lat"), F.col("lon"), F.col("rings"))).select("c_custkey", "n_nationkey")  # one ring a nation
+
+
 def rings(spark, sf_dir):
     p = customer_points(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
     shape = F.transform(F.array_sort(F.collect_list(F.struct("rn", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))
@@ -876,6 +917,14 @@ def address_documents(spark, sf_dir):
     return docs.select("id", "title", "priority", "custom_level", "building", "lat", "lon")
 
 
+@query(f"""with {CB_SQL}, {CP_SQL}, d as (select cb.c_custkey as id, concat_ws(', ', country, case when lower(city) <> lower(country) then city end, street, number) || case when cb.c_custkey % 8 = 0 then ' / Side, 2' else '' end as title, {HAV('lat', 'lon', '48.85', '2.35')} as distance from cb join cp on cb.c_custkey = cp.c_custkey)
+select id, title, round(distance, 3) as distance from (select *, row_number() over (partition by lower(title) order by distance, id) as rn from d) where rn = 1 order by distance, id limit 20""")
+def reverse_geocode(spark, sf_dir):
+    shapes = customer_points(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.lit("point").alias("kind"), F.array(F.array(F.struct("lat", "lon"))).alias("rings"))
+    docs = docs_plan.documents_of(customer_bags(spark, sf_dir).withColumnRenamed("c_custkey", "id"), shapes)
+    return search.reverse_geocode(docs, 48.85, 2.35).select("id", "title", F.round("distance", 3).alias("distance"))
+
+
 @query("select c_custkey, case when c_custkey % 8 = 0 then ' / Side, 2' else '' end as alternatives from customer")
 def alt_addresses(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.alternatives(F.col("tags")).alias("alternatives"))
