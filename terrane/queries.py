@@ -16,7 +16,7 @@ from .functions import geo, requests, tags as tg, units
 from .functions import text as tx
 from .operators import changes, containment, crossings, hierarchy, rounds, snapping, spatial
 from .plans import documents as docs_plan
-from .plans import graph, maps, places, render, routing, search, stitch, vehicle
+from .plans import graph, maps, places, registry as registers, render, routing, search, stitch, vehicle
 from .streaming import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -925,6 +925,25 @@ def reverse_geocode(spark, sf_dir):
     return search.reverse_geocode(docs, 48.85, 2.35).select("id", "title", F.round("distance", 3).alias("distance"))
 
 
+@query("""with o as (select 'R' || r_regionkey as guid, cast(null as varchar) as parent, r_name as title from region union all select 'N' || n_nationkey, 'R' || n_regionkey, 'country ' || n_name from nation where n_nationkey % 7 <> 0),
+h as (select 'C' || c_custkey as guid, 'N' || c_nationkey as parent, concat_ws(' ', 'house', cast(c_custkey as varchar), case when c_custkey % 2 = 0 then 'к' || (c_custkey % 5) end, case when c_custkey % 3 = 0 then 'с' || (c_custkey % 4) end) as title,
+  case when c_custkey % 4 = 0 then cast(100000 + c_custkey as varchar) end as code from customer where c_custkey % 11 <> 0),
+d as (select o.guid, concat_ws(', ', p.title, o.title) as title, 0 as building from o left join o p on p.guid = o.parent union all select h.guid, concat_ws(', ', h.code, r.title, n.title, h.title), 1 from h left join o n on n.guid = h.parent left join o r on r.guid = n.parent)
+select guid, title, building, cast(len(string_split(title, ',')) as integer) as priority from d""")
+def fias_documents(spark, sf_dir):
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    r = table(spark, sf_dir, "region").select(text("R", "r_regionkey").alias("aoguid"), F.lit(None).cast("string").alias("parentguid"), F.lit(1).alias("aolevel"), F.lit("reg").alias("shortname"), F.col("r_name").alias("offname"), F.lit("x").alias("formalname"), F.lit(1).alias("livestatus"))
+    n = table(spark, sf_dir, "nation").select(text("N", "n_nationkey"), text("R", "n_regionkey"), F.lit(3), F.lit("c"), F.col("n_name"), F.lit("x"), F.when(F.col("n_nationkey") % 7 == 0, 0).otherwise(1))
+    types = r.select("aolevel").limit(1).select(F.explode(F.array(*[F.struct(F.lit(s_).alias("scname"), F.lit(l_).alias("level"), F.lit(t_).alias("socrname")) for s_, l_, t_ in (("reg", 1, "region"), ("c", 3, "country"), ("c", 4, "city"))])).alias("t")).select("t.*")
+    k, day = F.col("c_custkey"), lambda d: F.lit(d).cast("date")
+    house = table(spark, sf_dir, "customer").select(
+        text("C", "c_custkey").alias("houseguid"), text("N", "c_nationkey").alias("aoguid"), F.lit(2).alias("eststatus"), k.cast("string").alias("housenum"), F.when(k % 2 == 0, (k % 5).cast("string")).alias("buildnum"), F.when(k % 3 == 0, (k % 4).cast("string")).otherwise("").alias("strucnum"),
+        F.when(k % 4 == 0, (k + 100000).cast("string")).alias("postalcode"), day("2000-01-01").alias("startdate"), F.when(k % 11 == 0, day("2010-01-01")).otherwise(day("2079-06-06")).alias("enddate"),
+    )
+    kinds = house.limit(1).select(F.lit(2).alias("eststatid"), F.lit("house").alias("name"))
+    return registers.documents([registers.fias_objects(r.union(n), types), registers.fias_houses(house, kinds, F.lit("2020-01-01").cast("date"))], depth=4)
+
+
 @query("select c_custkey, case when c_custkey % 8 = 0 then ' / Side, 2' else '' end as alternatives from customer")
 def alt_addresses(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.alternatives(F.col("tags")).alias("alternatives"))
