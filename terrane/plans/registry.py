@@ -48,6 +48,20 @@ def gar_level(rows: DataFrame, links: DataFrame, title, building: int, id_col: s
     return active.join(up, "__id", "left").select(F.col("__id").cast("string").alias("guid"), "parent", title.alias("title"), F.lit(None).cast("string").alias("postcode"), F.lit(building).alias("building"))
 
 
+def gar_objects(objects: DataFrame, types: DataFrame, links: DataFrame) -> DataFrame:
+    """gar_level of address objects: the type's name, found by short name and level, before the object's; without a type the name alone."""
+    kinds = types.groupBy(F.col("SHORTNAME").alias("TYPENAME"), "LEVEL").agg(F.min("NAME").alias("__type"))
+    return gar_level(objects.join(kinds, ["TYPENAME", "LEVEL"], "left"), links, tx.joined(" ", F.col("__type"), F.col("NAME")), 0)
+
+
+def gar_numbered(rows: DataFrame, links: DataFrame, number: str, building: int, types: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """gar_level of houses, rooms, plots or parking places: the name of the type (types: ID, NAME) under a column, if there is one, before the number."""
+    if types is None:
+        return gar_level(rows, links, tx.present(F.col(number)), building)
+    kinds = types.groupBy(F.col("ID").alias("__kind")).agg(F.min("NAME").alias("__type"))
+    return gar_level(rows.join(kinds, rows[kind] == kinds["__kind"], "left"), links, tx.joined(" ", F.col("__type"), F.col(number)), building)
+
+
 def documents(levels: list[DataFrame], depth: int = 12) -> DataFrame:
     """Index rows (guid, title, priority, building) of all levels together.
 

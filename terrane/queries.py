@@ -944,6 +944,30 @@ def fias_documents(spark, sf_dir):
     return registers.documents([registers.fias_objects(r.union(n), types), registers.fias_houses(house, kinds, F.lit("2020-01-01").cast("date"))], depth=4)
 
 
+@query("""with o as (select r_regionkey + 1000 as id, cast(null as bigint) as parent, 'область ' || r_name as title from region union all select n_nationkey + 2000, n_regionkey + 1000, n_name from nation where n_nationkey % 7 <> 0),
+h as (select c_custkey + 10000 as id, c_nationkey + 2000 as parent, concat_ws(' ', case c_custkey % 3 when 0 then 'дом' when 1 then 'корпус' end, cast(c_custkey as varchar)) as title from customer where c_custkey % 5 <> 0),
+m as (select o_orderkey + 1000000 as id, o_custkey + 10000 as parent, 'помещение ' || (o_orderkey % 90) as title from orders where o_orderkey % 20 = 1),
+d as (select o.id, concat_ws(', ', p.title, o.title) as title, 0 as building from o left join o p on p.id = o.parent
+  union all select h.id, concat_ws(', ', r.title, n.title, h.title), 1 from h left join o n on n.id = h.parent left join o r on r.id = n.parent
+  union all select m.id, concat_ws(', ', r.title, n.title, h.title, m.title), 2 from m left join h on h.id = m.parent left join o n on n.id = h.parent left join o r on r.id = n.parent)
+select cast(id as varchar) as guid, title, building, cast(len(string_split(title, ',')) as integer) as priority from d""")
+def gar_documents(spark, sf_dir):
+    one, id_ = F.lit(1), lambda c, by: (F.col(c) + by).cast("bigint")
+    row = lambda df, i, *more: df.select(i.alias("OBJECTID"), *more, one.alias("ISACTUAL"))
+    region, nation, customer, orders = (table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders"))
+    objects = row(region, id_("r_regionkey", 1000), F.col("r_name").alias("NAME"), F.lit("обл").alias("TYPENAME"), F.lit("1").alias("LEVEL"), one.alias("ISACTIVE")).unionByName(
+        row(nation, id_("n_nationkey", 2000), F.col("n_name").alias("NAME"), F.lit("нет").alias("TYPENAME"), F.lit("5").alias("LEVEL"), F.when(F.col("n_nationkey") % 7 == 0, 0).otherwise(1).alias("ISACTIVE"))
+    )
+    houses = row(customer, id_("c_custkey", 10_000), F.col("c_custkey").cast("string").alias("HOUSENUM"), (F.col("c_custkey") % 3).cast("int").alias("HOUSETYPE"), F.when(F.col("c_custkey") % 5 == 0, 0).otherwise(1).alias("ISACTIVE"))
+    rooms = row(orders.where("o_orderkey % 20 = 1"), id_("o_orderkey", 1_000_000), (F.col("o_orderkey") % 90).cast("string").alias("NUMBER"), F.lit(1).alias("ROOMTYPE"), one.alias("ISACTIVE"))
+    link = lambda df, i, up: df.select(i.alias("OBJECTID"), up.alias("PARENTOBJID"), one.alias("ISACTIVE"))
+    links = link(nation, id_("n_nationkey", 2000), id_("n_regionkey", 1000)).unionByName(link(customer, id_("c_custkey", 10_000), id_("c_nationkey", 2000))).unionByName(link(orders, id_("o_orderkey", 1_000_000), id_("o_custkey", 10_000)))
+    types = region.limit(1).select(F.explode(F.array(*[F.struct(F.lit(a_).alias("SHORTNAME"), F.lit(b_).alias("LEVEL"), F.lit(c_).alias("NAME")) for a_, b_, c_ in (("обл", "1", "область"), ("обл", "2", "x"))])).alias("t")).select("t.*")
+    kinds = lambda *names: region.limit(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("ID", "NAME"))
+    levels = [registers.gar_objects(objects, types, links), registers.gar_numbered(houses, links, "HOUSENUM", 1, kinds("дом", "корпус"), "HOUSETYPE"), registers.gar_numbered(rooms, links, "NUMBER", 2, kinds("", "помещение"), "ROOMTYPE")]
+    return registers.documents(levels, depth=4)
+
+
 @query("select c_custkey, case when c_custkey % 8 = 0 then ' / Side, 2' else '' end as alternatives from customer")
 def alt_addresses(spark, sf_dir):
     return customer_bags(spark, sf_dir).select("c_custkey", docs_plan.alternatives(F.col("tags")).alias("alternatives"))
