@@ -36,11 +36,11 @@ CLASSES = HEAD_CLASSES + 2 * LENGTHS
 CLASS_BITS, WORD_BITS = 14, 16
 #: Words whose counts every task holds, at most, of at most KNOWN_BYTES each; counts of the others are joined.
 KNOWN, KNOWN_BYTES = 200_000, 64
-#: Rounds of training; each takes one of STRIDE positions of every training text, each round another one.
-ROUNDS, STRIDE = 2, 12
+#: Rounds of training; each takes every position of its share of the training texts, and together they take all texts.
+ROUNDS = 2
 #: Training tokens that one trainer reads at least, so what it sends is little against what it reads.
 TOKENS_A_TRAINER = 4_000_000
-BATCH, RATE = 2048, 0.25
+BATCH, RATE = 4096, 0.25
 #: Tokens that are scored together: their sums stay in a core's cache.
 SCORED = 1024
 #: Rows of weights that travel together.
@@ -183,7 +183,7 @@ def forward(w: Weights, keys: np.ndarray, codes: np.ndarray, k: np.ndarray):
 
 def _sums(rows: np.ndarray, d: np.ndarray, passes: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, how often, sums of d) of distinct rows; d[i % len(d)] belongs to rows[i]. Rows that come often are first, so each pass adds to a prefix."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # row numbers have 16 bits at most, which are sorted by radix
     flat = rows[order]
     order %= len(d)
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -271,15 +271,13 @@ def _joined(parts):
     return lens, codes, np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)
 
 
-def train(trainer: Trainer, lexicon: Lexicon, texts, turn: int) -> None:
-    """Steps over one of STRIDE positions of each text, by turn."""
+def train(trainer: Trainer, lexicon: Lexicon, texts) -> None:
+    """Steps over every position of each text."""
     for _, _, codes, places in _windows(texts):
         h, classes = lexicon.of(codes)
-        at = np.flatnonzero((places + places // STRIDE) % STRIDE == turn % STRIDE)
-        keys = histories(h, places, lexicon.hashes[0])[:, at]
-        own, k = codes[at], classes[at]
-        for i in range(0, len(at), BATCH):
-            trainer.step(keys[:, i : i + BATCH], own[i : i + BATCH], k[i : i + BATCH])
+        keys = histories(h, places, lexicon.hashes[0])
+        for i in range(0, len(codes), BATCH):
+            trainer.step(keys[:, i : i + BATCH], codes[i : i + BATCH], classes[i : i + BATCH])
 
 
 def score(w: Weights, lexicon: Lexicon, texts):
@@ -409,14 +407,14 @@ def _lists(column):
     return [values[bounds[i] : bounds[i + 1]] for i in range(len(column))]
 
 
-def _round(coded: DataFrame, shared, turn: int) -> DataFrame:
+def _round(coded: DataFrame, shared) -> DataFrame:
     """(part, block, change): the mean change of each row of weights over all trainers, by how often each of them used it."""
 
     def run(batches):
         lexicon, weights = _model(shared)
         trainer = Trainer(weights)
         for b in batches:
-            train(trainer, lexicon, _lists(b.column(0)), turn)
+            train(trainer, lexicon, _lists(b.column(0)))
         if trainer.tokens:
             parts = list(trainer.changes())
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2].tobytes() for p in parts], pa.binary()), pa.array([p[3].tobytes() for p in parts], pa.binary())], ["part", "block", "seen", "change"])
@@ -449,8 +447,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all whole texts.
 
     Counts cover every training text. Weights are trained in rounds: each trainer
-    makes gradient steps over its share of all training texts (one of STRIDE positions a
-    round), and the trainers' changes of a row are averaged by how often they used it. The
+    makes gradient steps over every position of its share of the round's texts, each training
+    text is in one round, and the trainers' changes of a row are averaged by how often they used it. The
     model (about 20 MB) is broadcast; counts of words outside the lexicon are joined.
 
     Null texts are empty (one token, the end), null ids count as training rows, repeated rows count again and are scored
@@ -471,7 +469,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     trainers = coded.where("not held_out").coalesce(max(1, total // TOKENS_A_TRAINER))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vars(lexicon), vars(weights)))
-        for part, block, change in _round(trainers, shared, turn).collect():  # at most one row for each block of the model
+        for part, block, change in _round(trainers.where(F.col("key") % rounds == turn), shared).collect():  # at most one row for each block of the model
             where = weights.tables[part] if part < 2 else weights.bias[part - 2]
             where[block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(change, "<f4").reshape(-1, where.shape[1])
         shared.destroy()

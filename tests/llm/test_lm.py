@@ -132,3 +132,25 @@ def test_sums_of_rows():
     np.add.at(want, rows, d[np.arange(200) % 50])
     assert sorted(at) == sorted(set(rows.tolist())) and n.sum() == 200
     assert np.allclose(want[at], got)
+
+
+def test_every_position_is_trained_on_in_one_round(spark):
+    class Recorder:
+        def __init__(self):
+            self.codes = []
+
+        def step(self, keys, codes, classes):
+            assert keys.shape[1] == len(codes) == len(classes)
+            self.codes.extend(codes.tolist())
+
+    texts = ["a b c d e f", "", "b " * 9_000, "c a"]
+    counts = np.array([4, 9_001, 2, 2, 1, 1, 1])
+    lexicon = m.Lexicon([b"", b"b", b"a", b"c", b"d", b"e", b"f"], counts, int(counts.sum()), len(counts), np.ones(2 * m.LENGTHS))
+    codes = [m.Codes(lexicon.words).read(t)[0] for t in texts]
+    seen = Recorder()
+    m.train(seen, lexicon, codes)
+    assert seen.codes == np.concatenate(codes).tolist()
+    # texts of one round and of the other all gain
+    docs = [(d, "rare pair here") for d in range(60) if not held(d)]
+    with_none, with_all = ({r.doc_id: r.score for r in lm_scores(spark.createDataFrame(docs, SCHEMA), rounds=k).collect()} for k in (0, 2))
+    assert all(with_all[d] > with_none[d] for d in with_all)
