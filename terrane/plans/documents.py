@@ -122,12 +122,13 @@ BEFORE = {key: before for key, before in TITLE_KEYS if before}
 def title(tags, keys: list[str] = LEVELS) -> Column:
     """Present values in the order of keys, each with what stands before it, without repeats that differ only in case, comma-joined.
 
-    Keys meet the bag by place in one array, so the expression's size does not
-    grow with the bag.
+    Only keys that the bag has are looked up, so neither the expression's size nor a
+    row's cost is that of the whole list.
     """
-    names = F.array(*[F.lit(k) for k in keys])
-    heads = F.array(*[F.lit(BEFORE[k] + " " if k in BEFORE else "") for k in keys])
-    values = F.zip_with(names, heads, lambda k, h: F.concat(h, present(F.try_element_at(tags, k))))
+    names = F.coalesce(F.array_intersect(F.array(*[F.lit(k) for k in keys]), F.map_keys(tags)), F.array().cast("array<string>"))
+    heads = [F.lit(x) for k in dict.fromkeys(keys) if k in BEFORE for x in (k, BEFORE[k] + " ")]
+    head = (lambda k: F.coalesce(F.try_element_at(F.create_map(*heads), k), F.lit(""))) if heads else (lambda k: F.lit(""))
+    values = F.transform(names, lambda k: F.concat(head(k), present(F.try_element_at(tags, k))))
     values = F.filter(values, lambda v: v.isNotNull())
     start = F.array().cast("array<string>")
     unique = F.aggregate(values, start, lambda acc, v: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v))))
@@ -151,8 +152,9 @@ def alternatives(tags) -> Column:
 
 def priority(tags, keys: list[str] = LEVELS) -> Column:
     """1-based place of the last key of a list that the tags have; 0 if none."""
-    found = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k, i: F.when(F.map_contains_key(tags, k), i + 1).otherwise(0))
-    return F.coalesce(F.array_max(found), F.lit(0))
+    back = F.array(*[F.lit(k) for k in reversed(keys)])
+    last = F.try_element_at(F.array_intersect(back, F.map_keys(tags)), F.lit(1))  # the bag is read once, outside of any lambda
+    return F.coalesce(len(keys) + 1 - F.array_position(back, last).cast("int"), F.lit(0))
 
 
 def custom_title(tags) -> Column:
