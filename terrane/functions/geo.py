@@ -189,7 +189,15 @@ def box_ring(b) -> Column:
 
 def in_rings_over_date_line(lat, lon, rings) -> Column:
     """in_rings of rings that may lie over the date line: where their longitudes span more than half the globe, all are taken from 0 to 360."""
+    return F.when(over_date_line(rings), in_rings(lat, shift_longitude(lon), shift_rings(rings))).otherwise(in_rings(lat, lon, rings))
+
+
+def over_date_line(rings) -> Column:
+    """Whether the longitudes of rings span more than half the globe."""
     lons = F.transform(F.flatten(rings), lambda p: p["lon"])
-    wraps = F.coalesce(F.array_max(lons) - F.array_min(lons) > 180, F.lit(False))
-    moved = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p["lat"].alias("lat"), shift_longitude(p["lon"]).alias("lon"))))
-    return F.when(wraps, in_rings(lat, shift_longitude(lon), moved)).otherwise(in_rings(lat, lon, rings))
+    return F.coalesce(F.array_max(lons) - F.array_min(lons) > 180, F.lit(False))
+
+
+def shift_rings(rings) -> Column:
+    """Rings with longitudes from 0 to 360."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p["lat"].alias("lat"), shift_longitude(p["lon"]).alias("lon"))))

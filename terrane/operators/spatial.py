@@ -31,6 +31,24 @@ def within_boxes(points: DataFrame, areas: DataFrame, lat: str, lon: str, size:
     return (hit if exact is None else hit.where(exact)).drop("__cell", "__cell_p")
 
 
+def within_rings_over_date_line(points: DataFrame, areas: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
+    """points joined to the areas (column rings) that hold them; areas over the date line are taken from 0 to 360, and so are the points that meet them.
+
+    Points meet the cells of the areas' boxes by an equi-join; only points in a box are tested against the rings.
+    """
+    flat = lambda c: F.transform(F.flatten("__rings"), lambda p: p[c])
+    wider = 1e-9  # what rounding may put on the edge of a box
+    box = {"south": F.array_min(flat("lat")) - wider, "west": F.array_min(flat("lon")) - wider, "north": F.array_max(flat("lat")) + wider, "east": F.array_max(flat("lon")) + wider}
+
+    def hits(over: bool) -> DataFrame:
+        rings, x = F.col("rings"), geo.shift_longitude(F.col(lon)) if over else F.col(lon)
+        some = areas.where(geo.over_date_line(rings) == over).withColumn("__rings", geo.shift_rings(rings) if over else rings).withColumns(box)
+        met = within_boxes(points.withColumns({"__lat": F.col(lat).cast("double"), "__lon": x.cast("double")}), some, "__lat", "__lon", size, geo.in_rings(F.col("__lat"), F.col("__lon"), F.col("__rings")))
+        return met.drop("__lat", "__lon", "__rings", *box)
+
+    return hits(False).unionByName(hits(True))
+
+
 def nearest(df: DataFrame, lat: str, lon: str, at_lat: float, at_lon: float, k: int, tie: str, planar: bool = False, name: str = "distance") -> DataFrame:
     """The k rows nearest to a point: metres on the sphere, or degrees in the plane. A top-k per partition, then one of those."""
     a, b = F.lit(float(at_lat)), F.lit(float(at_lon))

@@ -745,7 +745,7 @@ def date_line_areas(spark, sf_dir):
     wrap = lambda x: F.when(x > 180, x - 360).otherwise(x)
     p = lambda dy, dx: F.struct((F.col("y") + dy).alias("lat"), wrap(F.col("west") + dx).alias("lon"))
     shapes = n.select("n_nationkey", F.array(F.array(p(0.002, 0), p(0.002, 29.998), p(20, 29.998), p(20, 0))).alias("rings"))
-    return customer_points(spark, sf_dir).join(F.broadcast(shapes), geo.in_rings_over_date_line(F.col("lat"), F.col("lon"), F.col("rings"))).select("c_custkey", "n_nationkey")  # one ring a nation
+    return spatial.within_rings_over_date_line(customer_points(spark, sf_dir), shapes, "lat", "lon", 5.0).select("c_custkey", "n_nationkey")
 
 
 def rings(spark, sf_dir):
