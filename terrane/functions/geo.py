@@ -131,6 +131,16 @@ def segments_cross(lat1, lon1, lat2, lon2, lat3, lon3, lat4, lon4) -> Column:
     return F.when(t.between(0, 1) & u.between(0, 1), F.struct((lat1 + t * dy1).alias("lat"), (lon1 + t * dx1).alias("lon")))
 
 
+def crossing_parts(lat1, lon1, dy1, dx1, lat2, lon2, dy2, dx2) -> tuple[Column, Column, Column]:
+    """(whole, t, u) of two segments, each a start and a step: they cross at the shares t / whole of the first and u / whole of the second."""
+    return dx1 * dy2 - dy1 * dx2, (lon2 - lon1) * dy2 - (lat2 - lat1) * dx2, (lon2 - lon1) * dy1 - (lat2 - lat1) * dx1
+
+
+def may_be_share(part, whole) -> Column:
+    """Whether part / whole is from 0 to 1, without the division: true for all that are, whatever the rounding."""
+    return (part * whole >= 0) & (F.abs(part) <= F.abs(whole) * (1 + 1e-12))
+
+
 def along(lat1, lon1, lat2, lon2, metres) -> Column:
     """(lat, lon) at a distance along a segment, by share of its length."""
     t = F.coalesce(F.try_divide(metres, haversine(lat1, lon1, lat2, lon2)), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane import queries as engine
 from terrane.functions import geo
-from terrane.operators import spatial
+from terrane.operators import crossings, spatial
 from terrane.plans import documents, graph
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,30 @@ def test_sharp_turns_are_made_distinct_only_where_a_way_ends_twice(spark):
     near = (10, 11, 12)
     assert sorted(map(tuple, bars.collect())) == sorted((a, b, 1) for a in near for b in near if a != b)
     assert optimized(bars).startswith("Union")
+
+
+def test_crossings_are_dealt_by_their_pairs_and_not_by_their_bytes(spark):
+    rnd = random.Random(7)
+    shapes = lambda n: [(i, [{"lat": float(rnd.randrange(12)), "lon": float(rnd.randrange(12))} for _ in range(rnd.randrange(1, 5))], i % 3 == 0) for i in range(n)]
+    a, b = shapes(60), shapes(50)
+    frame = lambda rows: spark.createDataFrame(rows, "id int, shape array<struct<lat:double,lon:double>>, closed boolean")
+    got = crossings.crossings(frame(a), frame(b), 2.5)
+
+    def pieces(shape, closed):
+        p = [(x["lat"], x["lon"]) for x in shape]
+        return list(enumerate(zip(p, p[1:] + p[:1]) if closed else zip(p, p[1:])))
+
+    want = set()
+    for i, s, c in a:
+        for j, t, d in b:
+            for k, ((y1, x1), (y2, x2)) in pieces(s, c):
+                for m, ((y3, x3), (y4, x4)) in pieces(t, d):
+                    whole = (x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)
+                    if whole and 0 <= ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / whole <= 1 and 0 <= ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / whole <= 1:
+                        want.add((i, j, k, m))
+    rows = [tuple(r)[:4] for r in got.collect()]
+    assert sorted(rows) == sorted(want) and len(want) > 500
+    plan = crossings.crossings(frame(a), frame(b), 2.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 4
+    joins = [line for line in plan.splitlines() if "Join" in line and "cy#" in line]
+    assert joins and not any(" / " in line for line in joins)  # places are divided out behind the join
