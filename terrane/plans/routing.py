@@ -58,6 +58,13 @@ def needs_search(source_edge, source_offset, target_edge, target_offset, directi
 
 METHODS = {"dijkstra": (False, False), "astar": (False, True), "bidirectional": (True, False), "mm": (True, True)}
 LABEL = ["query", "side", "node", "turn"]
+#: Rows up to which their nodes are sent to all tasks.
+FEW = 1_000_000
+
+
+def _near(table: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a graph's table that a wave's (written) rows can meet: where these are few, the table is read but not shuffled."""
+    return table.join(F.broadcast(rows.select(*on).distinct()), on, "left_semi") if rows.count() <= FEW else table
 
 
 def frontier_pairs(forward: DataFrame, backward: DataFrame, estimate: Column) -> DataFrame:
@@ -76,7 +83,7 @@ def _arcs(edges: DataFrame, at: DataFrame, turns: DataFrame | None, both: bool)
     return arcs.join(asked, ["side", "to", "edge"], "left").withColumn("to_turn", F.coalesce("asked", F.lit(FREE))).drop("asked")
 
 
-def _meets(labels: DataFrame, turns: DataFrame | None, both: bool) -> DataFrame:
+def _meets(labels: DataFrame, turns: DataFrame | None, both: bool, rounds: Rounds) -> DataFrame:
     """(query, best): the cheapest meeting of both sides by a legal turn, or arrival where there is one side."""
     ahead = labels.where("side = 0").select("query", "node", F.col("turn").alias("f"), "g", "goal")
     if not both:
@@ -84,8 +91,9 @@ def _meets(labels: DataFrame, turns: DataFrame | None, both: bool) -> DataFrame:
     else:
         met = ahead.join(labels.where("side = 1").select("query", "node", F.col("turn").alias("b"), F.col("g").alias("more")), ["query", "node"]).withColumn("g", F.col("g") + F.col("more"))
         if turns is not None:
+            met = rounds.keep(met, "met")
             barred = turns.where("side = 0").select("node", F.col("last").alias("f"), F.col("next").alias("b"))
-            met = met.join(barred, ["node", "f", "b"], "left_anti")
+            met = met.join(_near(barred, met, ["node"]), ["node", "f", "b"], "left_anti")
     return met.groupBy("query").agg(F.min(F.struct(F.col("g").alias("cost"), "node", "f", "b")).alias("best"))
 
 
@@ -113,7 +121,7 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
     last edge where a restriction (from_edge, to_edge, via_node) begins with it, so a
     barred turn never hides a longer legal way. Each wave all labels that got better step
     over the edges by an equi-join, and one aggregate merges what comes in, so neither
-    the graph nor a query is ever in one task. Only labels whose priority
+    the graph nor a query is ever in one task. A wave of few labels shuffles only the edges and turns at their nodes. Only labels whose priority
     is under the best route found are worth a step: g + estimate, and twice g
     with two sides, which so stop in the middle. Waves end when no such label is
     left; costs are then the least of the whole graph.
@@ -148,11 +156,15 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
     bound = F.coalesce("best.cost", F.lit(float("inf")))
     if most is not None:
         bound = F.least(bound, F.lit(float(most)) + 1e-9)
-    while not labels.where("fresh").isEmpty():
-        front = labels.where("fresh").join(_meets(labels, turns, both), "query", "left").where(priority < bound).drop("best")
-        step = front.join(arcs, ["side", "node"])
+    while True:
+        front = labels.where("fresh").join(_meets(labels, turns, both, rounds), "query", "left").where(priority < bound).drop("best")
+        front = rounds.keep(front, "front")
+        if front.isEmpty():
+            break
+        step = front.join(_near(arcs, front, ["side", "node"]), ["side", "node"])
         if turns is not None:
-            step = step.join(turns.select("side", "node", F.col("last").alias("turn"), F.col("next").alias("edge")), ["side", "node", "turn", "edge"], "left_anti")
+            barred = _near(turns, front, ["side", "node"]).select("side", "node", F.col("last").alias("turn"), F.col("next").alias("edge"))
+            step = step.join(barred, ["side", "node", "turn", "edge"], "left_anti")
         g = F.col("g") + F.col("w")
         moved = step.select(
             "query", "side", F.col("to").alias("node"), F.col("to_turn").alias("turn"), g.alias("g"), (g + estimate).alias("f"), (F.col("hops") + 1).alias("hops"), F.col("edge").alias("via"), F.col("node").alias("from_node"), F.col("turn").alias("from_turn"),
@@ -161,8 +173,8 @@ def shortest_paths(queries: DataFrame, edges: DataFrame, nodes: DataFrame, restr
         every = labels.withColumn("fresh", F.lit(False)).unionByName(moved)
         order = F.struct("g", "fresh", "hops", "via", "from_node", "from_turn", "f", "goal", "goal_lat", "goal_lon")  # of equal costs the older label stays
         labels = rounds.keep(every.groupBy(*LABEL).agg(F.min(order).alias("l")).select(*LABEL, "l.g", "l.f", "l.hops", "l.via", "l.from_node", "l.from_turn", "l.fresh", "l.goal", "l.goal_lat", "l.goal_lon"), "labels")
-    rounds.drop("arcs")
-    best = _meets(labels, turns, both)
+    rounds.drop("arcs", "front")
+    best = _meets(labels, turns, both, rounds)
     if most is not None:
         best = best.where(F.col("best.cost") <= most)
     best = rounds.keep(best, "best")

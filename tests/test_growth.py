@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from terrane import queries as engine
 from terrane.functions import geo
-from terrane.operators import crossings, spatial
-from terrane.plans import documents, graph
+from terrane.operators import crossings, rounds, spatial
+from terrane.plans import documents, graph, routing
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,25 @@ def test_search_edges_read_the_callers_ways_once_and_gather_no_shapes_unasked(sp
     df = engine.QUERIES["search_edges"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_a_wave_of_few_labels_shuffles_no_graph(spark, monkeypatch, few):
+    monkeypatch.setattr(routing, "FEW", few)
+    written, keep = {}, rounds.Rounds.keep
+    monkeypatch.setattr(rounds.Rounds, "keep", lambda self, df, name: (written.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()), keep(self, df, name))[1])
+    rnd = random.Random(5)
+    edges = [(i, rnd.randrange(12), rnd.randrange(12), rnd.random()) for i in range(40)]
+    bars = [(a[0], b[0], b[1]) for a in edges for b in edges if a[2] == b[1] and (a[0] + b[0]) % 4 == 0]
+    e, t = spark.createDataFrame(edges, "edge bigint, a bigint, b bigint, w double"), spark.createDataFrame(bars, "from_edge bigint, to_edge bigint, via_node bigint")
+    q = spark.createDataFrame([(1, 0, 5)], "query bigint, source bigint, target bigint")
+    n = spark.createDataFrame([(i, 0.0, 0.0) for i in range(12)], "node bigint, lat double, lon double")
+    [found] = routing.shortest_paths(q, e, n, t).collect()
+    best = {x[0]: x[3] for x in edges if x[1] == 0}
+    for _ in edges:
+        for a in edges:
+            for b in edges:
+                if a[0] in best and a[2] == b[1] and (a[0] + b[0]) % 4:
+                    best[b[0]] = min(best.get(b[0], 9e9), best[a[0]] + b[3])
+    assert abs(found.cost - min(c for k, c in best.items() if edges[k][2] == 5)) < 1e-9
+    assert ("strategy=broadcast" in written["labels"][-1]) == bool(few)
