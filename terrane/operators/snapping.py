@@ -24,7 +24,8 @@ def nearest_lines(points: DataFrame, lines: DataFrame, size: float, k: int = 1,
     least REACH such cells away, so a point whose k-th distance is under that is done; the
     others go on with cells twice as large. A cell is only opened if it begins
     nearer than the k-th line found and, for k = 1, than the far corner of another cell with lines. Points
-    and lines meet by equi-joins on cells; no point is compared with all lines. Points without a place are
+    and lines meet by equi-joins on cells; no point is compared with all lines. For k = 1 they meet
+    twice, first for each point's least distance, then for the place at it, so pairs are neither sorted nor gathered. Points without a place are
     left out, and so are lines of fewer than two points; without lines there are no rows.
     """
     rounds = Rounds(points.sparkSession, "snap")
@@ -33,6 +34,14 @@ def nearest_lines(points: DataFrame, lines: DataFrame, size: float, k: int = 1,
     extent = base.agg(F.min("cy"), F.max("cy"), F.min("cx"), F.max("cx")).first()
     left = rounds.keep(points.select("id", "lat", "lon").where("lat is not null and lon is not null").withColumn("far", F.lit(None).cast("double")), "left")
     best = None
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = F.round(F.sqrt(geo.planar2(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))), DIGITS)
+
+    def met_by(taken: DataFrame, level: DataFrame) -> DataFrame:
+        # the number of partitions is given, so they are not merged by their bytes: their cost are the pairs
+        both = taken.repartition(parts, "cy", "cx").join(level.repartition(parts, "cy", "cx"), ["cy", "cx"])
+        return both.withColumn("p", geo.closest_on_segment(F.col("lat"), F.col("lon"), F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")))
+
     for j in range(rounds_most if extent[0] is not None else 0):
         wide, last = size * 2**j, False
         level = base.withColumns({"cy": F.shiftright("cy", j), "cx": F.shiftright("cx", j)})
@@ -46,8 +55,12 @@ def nearest_lines(points: DataFrame, lines: DataFrame, size: float, k: int = 1,
         if k == 1:
             first = taken.groupBy("id").agg(F.min("ends").alias("within"))
             taken = taken.join(first, "id").where("begins <= within + 1e-9").drop("within")
-        met = taken.join(level, ["cy", "cx"]).withColumn("p", geo.closest_on_segment(F.col("lat"), F.col("lon"), F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")))
-        d = F.round(F.sqrt(geo.planar2(F.col("p.lat"), F.col("p.lon"), F.col("lat"), F.col("lon"))), DIGITS)
+            taken = rounds.keep(taken, "taken")
+            least = met_by(taken, level).groupBy("id").agg(F.min(d).alias("least"))  # numbers alone: a hash aggregate, which holds points and not pairs
+            taken = taken.join(rounds.keep(least, "least"), "id").where("begins <= least + 1e-8")
+        met = met_by(taken, level)
+        if k == 1:
+            met = met.where(d <= F.col("least"))
         met = met.select("id", "line", F.struct(d.alias("distance"), "seg", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), "y1", "x1", "y2", "x2").alias("s"))
         one = met.groupBy("id", "line").agg(F.min("s").alias("s"))
         if best is not None:
@@ -62,7 +75,7 @@ def nearest_lines(points: DataFrame, lines: DataFrame, size: float, k: int = 1,
         seen_all = (cell(F.col("lat"), wide) - REACH <= (extent[0] >> j)) & (cell(F.col("lat"), wide) + REACH >= (extent[1] >> j)) & (cell(F.col("lon"), wide) - REACH <= (extent[2] >> j)) & (cell(F.col("lon"), wide) + REACH >= (extent[3] >> j))
         on = left.drop("far").join(reached, "id", "left").where(~(seen_all | ((F.coalesce("n", F.lit(0)) >= k) & (F.col("worst") <= safe))))
         left = rounds.keep(on.select("id", "lat", "lon", F.when(F.col("n") >= k, F.col("worst")).alias("far")), "left")
-        rounds.drop(f"found{j}")
+        rounds.drop(f"found{j}", "taken", "least")
         if left.isEmpty():
             break
     if best is None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane import queries as engine
 from terrane.functions import geo
-from terrane.operators import crossings, rounds, spatial
+from terrane.operators import crossings, rounds, snapping, spatial
 from terrane.plans import documents, graph, routing
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +109,22 @@ def test_a_wave_of_few_labels_shuffles_no_graph(spark, monkeypatch, few):
                     best[b[0]] = min(best.get(b[0], 9e9), best[a[0]] + b[3])
     assert abs(found.cost - min(c for k, c in best.items() if edges[k][2] == 5)) < 1e-9
     assert ("strategy=broadcast" in written["labels"][-1]) == bool(few)
+
+
+def test_nearest_lines_neither_sort_nor_gather_pairs(spark, monkeypatch):
+    written, keep = {}, rounds.Rounds.keep
+    monkeypatch.setattr(rounds.Rounds, "keep", lambda self, df, name: (written.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df, name))[1])
+    rnd = random.Random(9)
+    points = [(i, float(rnd.randrange(20)), float(rnd.randrange(20))) for i in range(50)]
+    lines = [(j, [{"lat": float(rnd.randrange(20)), "lon": float(rnd.randrange(20))} for _ in range(2)]) for j in range(30)] + [(30 + j, [{"lat": 4.0, "lon": 4.0}, {"lat": 9.0, "lon": 9.0}]) for j in range(3)]
+    got = snapping.nearest_lines(spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(lines, "line int, shape array<struct<lat:double,lon:double>>"), 1.0)
+
+    def away(y, x, s):
+        (a, b), (c, d) = ((p["lat"], p["lon"]) for p in s)
+        size = (c - a) ** 2 + (d - b) ** 2
+        t = max(0.0, min(1.0, ((x - b) * (d - b) + (y - a) * (c - a)) / size)) if size else 0.0
+        return round(((a + t * (c - a) - y) ** 2 + (b + t * (d - b) - x) ** 2) ** 0.5, 9)
+
+    want = {i: min((away(y, x, s), j) for j, s in lines) for i, y, x in points}
+    assert {r.id: (r.distance, r.line) for r in got.collect()} == want
+    assert all("HashAggregate" in p and "SortAggregate" not in p for p in written["least"])
