@@ -23,8 +23,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 LEAST, RUN = 18, 3
 #: Hashes of a form that are gathered, about; where fewer than LEAST distinct ones come, the form is signed anew by all its hashes.
 GATHERED = 32
-#: Longs of a form's bitmap of shingles.
-LONGS = 64
+#: Longs of a form's bitmap of shingles, each a column of its own.
+LONGS = 32
 #: Forms of a bucket that meet in one join key.
 BLOCK = 1_000
 
@@ -37,7 +37,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """Non-blank lines with their normal form (trimmed, lower case) and its 128-bit hash (h1, h2)."""
-    normal = lines.select("doc_id", "mark", "line_no", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
+    normal = lines.where(F.trim("line") != "").select("doc_id", "mark", "line_no", F.lower(F.trim("line")).alias("norm"))
     return normal.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
@@ -59,6 +59,11 @@ def _hashes(forms: DataFrame, keys: list[str], k: int, first: tuple = (), gather
     return g.select(*keys, once, "bound", F.when(F.col("i") > 0, h).alias("h")).where("h is null or h <= bound").select(*keys, "first", "h")
 
 
+def _shingles(text: str, k: int) -> str:
+    """SQL for the distinct hashes of _hashes as an array; the encoded text is a lambda's argument, so that it is made once."""
+    return f"array_distinct(transform(array(encode({text}, 'UTF-32')), b -> transform(sequence(1, greatest(length(b) - {4 * k - 1}, 1), 4), i -> xxhash64(substring(b, i, {4 * k}))))[0])"
+
+
 def _band_keys(s: str) -> Column:
     """Keys of the runs of a signature; those of four or five hashes have their pairs, those of one or two themselves as well.
 
@@ -80,28 +85,20 @@ def signed_forms(lines: DataFrame, scratch: Scratch, k: int = SHINGLE) -> DataFr
     pos is the smallest (doc_id, line_no, mark) and n the number of a form's
     lines. One shuffle carries each distinct text once a task; the form is
     signed where it arrives. Forms that gather too few hashes, because they
-    repeat the same shingles, come out with their text and are signed by all of
-    their hashes.
+    repeat the same shingles, are signed by all of their hashes.
     """
     forms = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "mark")).alias("pos"), F.count(F.lit(1)).alias("n"), F.first("norm").alias("norm"))
     rows = _hashes(forms, ["h1", "h2"], k, ("pos", "n", "norm"), GATHERED).groupBy("h1", "h2").agg(F.first("first", ignorenulls=True).alias("f"), _least().alias("s"))
     few = (F.size("s") < LEAST) & (F.col("f.w") > GATHERED)
-    rows = rows.select("h1", "h2", "f.pos", "f.n", F.when(few, F.col("f.norm")).alias("norm"), "s")
-    some = scratch.keep(rows.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "pos", "n", "norm", F.when(F.col("norm").isNull(), _band_keys("s")).alias("keys")), "some")
-    anew = _hashes(some.where("norm is not null"), ["id"], k).distinct().groupBy("id").agg(_least().alias("s")).select("id", _band_keys("s").alias("keys"))
-    anew = scratch.keep(anew, "anew")
-    out = some.alias("a").join(small(anew.withColumnRenamed("keys", "more")), "id", "left")
-    return out.select("id", "h1", "h2", "pos", "n", F.coalesce("keys", "more").alias("keys"))
+    anew = F.expr(f"slice(sort_array({_shingles('f.norm', k)}), 1, {LEAST})")
+    rows = rows.select("h1", "h2", "f.pos", "f.n", F.when(few, anew).otherwise(F.col("s")).alias("s"))
+    return scratch.keep(rows.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "pos", "n", _band_keys("s").alias("keys")), "some")
 
 
 def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
-    """(id, w, x): each form's number of shingles, repeats included, and the bitmap of their hashes, as an array of longs."""
-    word = F.expr(f"cast(shiftright(h, 6) & {LONGS - 1} as int)").alias("word")
-    words = _hashes(texts, ["id"], k).groupBy("id", word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("x"), F.count(F.lit(1)).alias("w"))
-    forms = words.groupBy("id").agg(F.sum("w").alias("w"), F.collect_list(F.struct("word", "x")).alias("l"))
-    # the map is a lambda's argument, so that it is built once and not for every long
-    longs = f"transform(array(map_from_entries(l)), m -> transform(sequence(0, {LONGS - 1}), j -> coalesce(m[j], 0L)))[0]"
-    return forms.select("id", "w", F.expr(longs).alias("x"))
+    """(id, w, x0, x1, …): each form's number of shingles, repeats included, and the bitmap of their hashes."""
+    bit = lambda j: F.bit_or(F.expr(f"if((shiftright(h, 6) & {LONGS - 1}) = {j}, shiftleft(1L, cast(h & 63 as int)), 0L)")).alias(f"x{j}")
+    return _hashes(texts, ["id"], k).groupBy("id").agg(F.count(F.lit(1)).alias("w"), *map(bit, range(LONGS)))
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
@@ -111,15 +108,10 @@ def _may_link(a: str, b: str, similarity: float) -> Column:
     similarity s, (1 - s) / (1 + s) of both sets' sizes is the most that can differ;
     w is a set's size or more.
     """
-    differ = f"aggregate(zip_with({a}.x, {b}.x, (u, v) -> bit_count(u ^ v)), 0, (n, v) -> n + v)"
+    differ = " + ".join(f"bit_count({a}.x{j} ^ {b}.x{j})" for j in range(LONGS))
     return F.expr(f"{differ} <= ({a}.w + {b}.w) * {(1 - similarity) / (1 + similarity) + 1e-9}D")
 
 
-def _shingles(text: str, k: int) -> str:
-    """SQL for the hashes of a string's distinct shingles."""
-    return f"array_distinct(transform(if(length({text}) < {k}, array({text}), regexp_extract_all({text}, '(?s)(?=(.{{{k}}}))', 1)), v -> xxhash64(v)))"
-
-
 def _verified(near: DataFrame, texts: DataFrame, scratch: Scratch, name: str, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
     both = near.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
@@ -149,12 +141,13 @@ def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, texts: DataF
     held = rows.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # LEAST keys at most
     held = scratch.keep(marks.join(held, "id"), "with")
     # where a bitmap has far fewer bits than so many different shingles would set, the repeats are left out of w
-    repeats = held.where(f"aggregate(x, 0, (n, v) -> n + bit_count(v)) < 0.9 * {64 * LONGS} * (1 - exp(-w / {64 * LONGS}D))").select("id")
+    set_bits = " + ".join(f"bit_count(x{j})" for j in range(LONGS))
+    repeats = held.where(f"{set_bits} < 0.9 * {64 * LONGS} * (1 - exp(-w / {64 * LONGS}D))").select("id")
     sizes = texts.join(small(scratch.keep(repeats, "repeats")), "id", "left_semi").select("id", F.size(F.expr(_shingles("norm", k))).alias("size"))
     sizes = scratch.keep(sizes, "sizes")
     held = scratch.keep(held.join(small(sizes), "id", "left").withColumn("w", F.coalesce("size", "w")).drop("size"), "held")
     rows = rows.join(held, "id").withColumn("leads", F.col("root") == F.col("lead")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("leads"), F.col("of_lead")).otherwise(F.col("of"))).cast("int"))
-    form = ["id", "root", "keys", "w", "x"]
+    form = ["id", "root", "keys", "w", *(f"x{j}" for j in range(LONGS))]
     meet = lambda kind, i, j: f"struct({kind} as kind, {i} as i, {j} as j)"
     ahead = F.expr(f"if(leads, transform(sequence(0, of - 1), b -> {meet(1, 'own', 'b')}), transform(sequence(own, of - 1), b -> {meet(0, 'own', 'b')}))")
     back = F.expr(f"concat(transform(sequence(0, own), b -> {meet(0, 'b', 'own')}), transform(sequence(0, of_lead - 1), b -> {meet(1, 'b', 'own')}))")
@@ -162,10 +155,9 @@ def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, texts: DataF
     x = rows.withColumn("t", F.explode(ahead)).select("key", *at, *form).alias("p")
     y = rows.where("not leads").withColumn("t", F.explode(back)).select("key", *at, *form).alias("q")
     once = F.expr("p.root <> q.root and (p.kind = 1 or p.i < p.j or p.id < q.id)")
-    sizes = F.expr(f"least(p.w, q.w) >= {similarity} * greatest(p.w, q.w) - 1e-9D")
     least = F.expr("p.key = array_min(array_intersect(p.keys, q.keys))")
     same = F.expr("p.key = q.key and p.kind = q.kind and p.i = q.i and p.j = q.j")
-    both = x.join(y, same & once & sizes & _may_link("p", "q", similarity) & least)
+    both = x.join(y, same & once & _may_link("p", "q", similarity) & least)
     out = both.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
     out = scratch.keep(out, "apart")
     scratch.drop("now", "mixed", "rows", "with", "repeats", "sizes", "held")
@@ -190,6 +182,7 @@ def line_classes(forms: DataFrame, lines: DataFrame, k: int = SHINGLE, similarit
     members = scratch.keep(bands.join(small(full), "key").select("key", "id", "m"), "shared")
     shares = scratch.keep(members.groupBy("id").agg(F.sum(F.log2("m")).alias("shares")), "shares")
     wanted = scratch.keep(forms.join(small(shares.select("id")), "id", "left_semi").select(*{"id", *by}), "wanted")
+    scratch.drop("full", "some")
     texts = lines.select(*by, "norm").join(small(wanted), by).groupBy("id").agg(F.first("norm").alias("norm"))
     texts = scratch.keep(texts, "texts")
     marks = scratch.keep(_bitmaps(texts, k), "marks")
@@ -197,12 +190,13 @@ def line_classes(forms: DataFrame, lines: DataFrame, k: int = SHINGLE, similarit
     members = scratch.keep(members.join(small(scratch.keep(hubs, "hubs")), "key").select("key", "id", "hub"), "members")
     stars = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     near = stars.join(marks.alias("p"), F.col("a") == F.col("p.id")).join(marks.alias("q"), (F.col("b") == F.col("q.id")) & _may_link("p", "q", similarity))
+    scratch.drop("shared", "shares", "wanted", "hubs")
     found = _verified(near.select("a", "b"), texts, scratch, "found", k, similarity)
     linked = scratch.keep(_linked(found), "linked")
     rest = _apart(members, linked, marks, texts, scratch, k, similarity)
     more = _verified(rest, texts, scratch, "more", k, similarity)
     out = scratch.keep(_linked(found.unionByName(more)), "classes")
-    scratch.drop("full", "shared", "shares", "wanted", "texts", "marks", "hubs", "members", "found", "linked", "apart", "more")
+    scratch.drop("texts", "marks", "members", "found", "linked", "apart", "more")
     return out
 
 
@@ -214,13 +208,14 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, k: int, similarity:
     """(lines, keeps): _hashed lines, and (h1, h2, keep) of the forms that stand in several lines or are in a class of several forms."""
     lines = _hashed(lines_of(docs, id_col, text_col))
     scratch = Scratch(docs.sparkSession, "lines")
-    forms = signed_forms(lines, scratch, k)
-    classes = line_classes(forms, lines, k, similarity, scratch)
+    signed = signed_forms(lines, scratch, k)
+    forms = scratch.keep(signed.drop("keys"), "forms")
+    classes = line_classes(signed, lines, k, similarity, scratch)
     roots = forms.join(small(classes), "id", "left").where("root is not null or n > 1").select("h1", "h2", "pos", F.coalesce("root", "id").alias("root"))
     roots = scratch.keep(roots, "roots")
     heads = roots.groupBy("root").agg(F.min("pos").alias("keep"))
     keeps = scratch.keep(roots.join(heads, "root").select("h1", "h2", "keep"), "keeps")
-    scratch.drop("some", "anew", "classes", "roots")
+    scratch.drop("forms", "classes", "roots")
     return lines.select("doc_id", "mark", "line_no", "h1", "h2"), keeps
 
 

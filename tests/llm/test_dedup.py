@@ -180,6 +180,13 @@ def test_bucket_mates_beside_an_outlier_are_compared(spark):
     assert classes_of_buckets(spark, forms, {i: [7] for i in forms}) == [[2, 3]]
 
 
+def test_mates_that_repeat_shingles_are_not_lost(spark):
+    rng = random.Random(6)
+    r = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(99))
+    forms = {2: r[:87], 3: r + r[:11], 9: "an outlier that is the hub and like none of them"}  # 80 shingles, and 103 of which 99 are distinct
+    assert classes_of_buckets(spark, forms, {i: [7] for i in forms}) == [[2, 3]]
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_all_classes_of_a_hot_bucket_are_found(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
