@@ -23,8 +23,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 LEAST, RUN = 18, 3
 #: Hashes of a form that are gathered, about; where fewer than LEAST distinct ones come, the form is signed anew by all its hashes.
 GATHERED = 32
-#: Longs of a form's bitmap of shingles, each a column of its own.
-LONGS = 32
+#: Longs of a form's bitmap of shingles, each a column of its own, and how many of them are filled together.
+LONGS, TOGETHER = 32, 4
 #: Forms of a bucket that meet in one join key.
 BLOCK = 1_000
 
@@ -96,9 +96,20 @@ def signed_forms(lines: DataFrame, scratch: Scratch, k: int = SHINGLE) -> DataFr
 
 
 def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
-    """(id, w, x0, x1, …): each form's number of shingles, repeats included, and the bitmap of their hashes."""
-    bit = lambda j: F.bit_or(F.expr(f"if((shiftright(h, 6) & {LONGS - 1}) = {j}, shiftleft(1L, cast(h & 63 as int)), 0L)")).alias(f"x{j}")
-    return _hashes(texts, ["id"], k).groupBy("id").agg(F.count(F.lit(1)).alias("w"), *map(bit, range(LONGS)))
+    """(id, w, x0, x1, …): each form's number of shingles, repeats included, and the bitmap of their hashes.
+
+    Filled by parts of TOGETHER longs, where each shingle is held against these alone; parts of a form stay in one partition.
+    """
+    h = _hashes(texts.repartition("id"), ["id"], k).select("id", F.expr(f"cast(shiftright(h, 6) & {LONGS - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    h = h.select("id", F.expr(f"at div {TOGETHER}").alias("part"), F.expr(f"at % {TOGETHER}").alias("at"), "bit")
+    parts = h.groupBy("id", "part").agg(F.count(F.lit(1)).alias("w"), *(F.bit_or(F.expr(f"if(at = {j}, bit, 0L)")).alias(f"y{j}") for j in range(TOGETHER)))
+    return parts.groupBy("id").agg(F.sum("w").alias("w"), *(F.bit_or(F.expr(f"if(part = {j // TOGETHER}, y{j % TOGETHER}, 0L)")).alias(f"x{j}") for j in range(LONGS)))
+
+
+def _filled(marks: DataFrame) -> DataFrame:
+    """marks with numbers that cannot be null. With checks for nulls the code of a join by _may_link is over 8,000 bytes long, which the JVM never compiles."""
+    numbers = ["w", *(f"x{j}" for j in range(LONGS))]
+    return marks.select(*(c for c in marks.columns if c not in numbers), *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in numbers))
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
@@ -145,7 +156,7 @@ def _apart(members: DataFrame, linked: DataFrame, marks: DataFrame, texts: DataF
     repeats = held.where(f"{set_bits} < 0.9 * {64 * LONGS} * (1 - exp(-w / {64 * LONGS}D))").select("id")
     sizes = texts.join(small(scratch.keep(repeats, "repeats")), "id", "left_semi").select("id", F.size(F.expr(_shingles("norm", k))).alias("size"))
     sizes = scratch.keep(sizes, "sizes")
-    held = scratch.keep(held.join(small(sizes), "id", "left").withColumn("w", F.coalesce("size", "w")).drop("size"), "held")
+    held = _filled(scratch.keep(held.join(small(sizes), "id", "left").withColumn("w", F.coalesce("size", "w")).drop("size"), "held"))
     rows = rows.join(held, "id").withColumn("leads", F.col("root") == F.col("lead")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("leads"), F.col("of_lead")).otherwise(F.col("of"))).cast("int"))
     form = ["id", "root", "keys", "w", *(f"x{j}" for j in range(LONGS))]
     meet = lambda kind, i, j: f"struct({kind} as kind, {i} as i, {j} as j)"
@@ -185,7 +196,7 @@ def line_classes(forms: DataFrame, lines: DataFrame, k: int = SHINGLE, similarit
     scratch.drop("full", "some")
     texts = lines.select(*by, "norm").join(small(wanted), by).groupBy("id").agg(F.first("norm").alias("norm"))
     texts = scratch.keep(texts, "texts")
-    marks = scratch.keep(_bitmaps(texts, k), "marks")
+    marks = _filled(scratch.keep(_bitmaps(texts, k), "marks"))
     hubs = members.join(small(shares), "id").groupBy("key").agg(F.max(F.struct("shares", "id"))["id"].alias("hub"))
     members = scratch.keep(members.join(small(scratch.keep(hubs, "hubs")), "key").select("key", "id", "hub"), "members")
     stars = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

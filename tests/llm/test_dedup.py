@@ -187,6 +187,30 @@ def test_mates_that_repeat_shingles_are_not_lost(spark):
     assert classes_of_buckets(spark, forms, {i: [7] for i in forms}) == [[2, 3]]
 
 
+def test_bucket_mates_meet_in_code_that_the_jvm_compiles(spark, monkeypatch):
+    longest = []
+
+    class Watched(line_dedup.Scratch):
+        def keep(self, df, name):
+            if name == "apart":
+                plan = df._jdf.queryExecution().executedPlan()
+                codes = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+                longest.append(max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())))
+            return super().keep(df, name)
+
+    monkeypatch.setattr(line_dedup, "small", lambda df, rows=0: df)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        forms = spark.createDataFrame([(1, [7], "an outlier that is like none of them"), (2, [7], "the same sentence, a"), (3, [7], "the same sentence, b")], "id bigint, keys array<bigint>, norm string")
+        line_dedup.line_classes(forms.drop("norm"), forms.drop("keys"), scratch=Watched(spark, "watched"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(longest) <= 8_000
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_all_classes_of_a_hot_bucket_are_found(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
