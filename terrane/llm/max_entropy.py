@@ -181,6 +181,11 @@ def forward(w: Weights, keys: np.ndarray, codes: np.ndarray, k: np.ndarray):
     return logp, (rows, p, zp, (kh, wrows, place, q, zq))
 
 
+def _whole_rows(table: np.ndarray) -> np.ndarray:
+    """A table as one item a row, so that rows are put in place by one copy each."""
+    return table.view(np.dtype((np.void, table.shape[1] * table.itemsize)))[:, 0]
+
+
 def _sums(rows: np.ndarray, d: np.ndarray, passes: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, how often, sums of d) of distinct rows; d[i % len(d)] belongs to rows[i]. Rows that come often are first, so each pass adds to a prefix."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # row numbers have 16 bits at most, which are sorted by radix
@@ -190,14 +195,16 @@ def _sums(rows: np.ndarray, d: np.ndarray, passes: int = 24) -> tuple[np.ndarray
     n = np.diff(np.concatenate([first, [len(flat)]]))
     often = np.argsort(-n, kind="stable")
     first, n = first[often], n[often]
-    out = d[order[first]]
+    out = np.take(d, order[first], axis=0, mode="clip")  # takes whole rows at once, unlike d[…]
+    more = np.empty_like(out)
     for j in range(1, passes + 1):
         k = int(np.searchsorted(-n, -j))  # rows that come more than j times
         if not k:
             break
-        out[:k] += d[order[first[:k] + j]]
+        np.take(d, order[first[:k] + j], axis=0, out=more[:k], mode="clip")
+        out[:k] += more[:k]
     for i in range(int(np.searchsorted(-n, -passes - 1))):
-        out[i] += d[order[first[i] + passes + 1 : first[i] + n[i]]].sum(axis=0)
+        out[i] += np.take(d, order[first[i] + passes + 1 : first[i] + n[i]], axis=0, mode="clip").sum(axis=0)
     return flat[first], n, out
 
 
@@ -229,9 +236,12 @@ class Trainer:
     def _move(self, t: int, rows: np.ndarray, d: np.ndarray) -> None:
         at, n, g = _sums(rows.ravel(), d)
         self.seen[t][at] += n
-        self.squares[t][at] += np.einsum("ij,ij->i", g, g)
-        g *= (RATE / np.sqrt(self.squares[t][at]))[:, None]
-        self.w.tables[t][at] -= g
+        squares = self.squares[t][at] + np.einsum("ij,ij->i", g, g)
+        self.squares[t][at] = squares
+        g *= (RATE / np.sqrt(squares))[:, None]
+        now = np.take(self.w.tables[t], at, axis=0, mode="clip")
+        now -= g
+        _whole_rows(self.w.tables[t])[at] = _whole_rows(now)
 
     def _bias(self, t: int, at: np.ndarray, d: np.ndarray) -> None:
         one = np.zeros((len(d), len(self.w.bias[t])), dtype=np.float32)

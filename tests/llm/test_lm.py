@@ -134,6 +134,27 @@ def test_sums_of_rows():
     assert np.allclose(want[at], got)
 
 
+def test_rows_are_taken_and_put_whole():
+    class Whole(np.ndarray):
+        """Rows by number only come out by take(), which copies each as a whole."""
+
+        def __getitem__(self, at):
+            assert not isinstance(at, np.ndarray)
+            return super().__getitem__(at)
+
+    rnd = np.random.default_rng(3)
+    rows, d = np.concatenate([rnd.integers(0, 40, 1900), np.full(100, 7)]), rnd.normal(size=(500, m.CLASS_WORDS)).astype(np.float32)
+    want = np.zeros((40, m.CLASS_WORDS))
+    np.add.at(want, rows, d[np.arange(2000) % 500])
+    at, _, got = m._sums(rows, d.view(Whole))
+    assert np.allclose(want[at], np.asarray(got), atol=1e-4)
+    t = m.Trainer(model()[0])
+    before, squares = t.w.tables[1].copy(), t.squares[1][:40] + (want**2).sum(axis=1)
+    t._move(1, rows.reshape(4, 500), d)
+    assert np.allclose(t.w.tables[1][:40], before[:40] - m.RATE * want / np.sqrt(squares)[:, None], atol=1e-4)
+    assert (t.w.tables[1][40:] == before[40:]).all() and np.allclose(t.squares[1][:40], squares, rtol=1e-4)
+
+
 def test_every_position_is_trained_on_in_one_round(spark):
     class Recorder:
         def __init__(self):
